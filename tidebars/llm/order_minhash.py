@@ -218,6 +218,8 @@ def edit_sensitivity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 if guest:
                     rows.append((*waiting[0], likeness(waiting[1], sketch(text, k, length, hashes).tobytes())))
                     closed = True
-            yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=columns)
 
-    return with_next(docs, id_col, text_col).mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    # ids travel as text: pandas would make a column of longs with nulls one of floats
+    rows = with_next(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return rows.mapInPandas(run, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -60,7 +60,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             got = np.array([fingerprint(t, width) for t in f["text"]], dtype=np.uint64)
             yield pd.DataFrame({"doc_id": f["doc_id"], "fp": got.view(np.int64)})
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    # ids travel as text: pandas would make a column of longs with nulls one of floats
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id string, fp long")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "fp")
 
 
 def covering_masks(radius: int, seed: int) -> list[int]:
