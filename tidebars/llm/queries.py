@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebars.llm import bpe, decontaminate, line_dedup, order_minhash, simhash, toxicity
+from tidebars.llm import bpe, decontaminate, line_dedup, order_minhash, pii, secrets, simhash, toxicity
 from tidebars.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_sensitivity(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.summary(table(spark, sf_dir, "documents"))
 
@@ -22,6 +26,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,7 +44,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_order_minhash, op4_line_dedup, op6_bpe, op8_toxicity, op9_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_order_minhash, op3_pii, op4_line_dedup, op6_bpe, op7_secrets, op8_toxicity, op9_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
