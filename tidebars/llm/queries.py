@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebars.llm import bpe, decontaminate, line_dedup, order_minhash, pii, secrets, simhash, toxicity
+from tidebars.llm import bpe, decontaminate, line_dedup, order_minhash, pii, secrets, simhash, suffix_dedup, toxicity
 from tidebars.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edit_sensitivity(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_order_minhash, op3_pii, op4_line_dedup, op6_bpe, op7_secrets, op8_toxicity, op9_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_order_minhash, op3_pii, op4_line_dedup, op6_bpe, op7_secrets, op8_toxicity, op9_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
