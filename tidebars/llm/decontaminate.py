@@ -97,7 +97,7 @@ def frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
         for f in frames:
             for t in f["_text"]:
                 counts.update([w for w in words_of(t) if w in known])
-        yield pd.DataFrame({"w": list(counts), "n": list(counts.values())}).astype({"n": "int64"})
+        yield pd.DataFrame({"w": pd.Series(list(counts), dtype=object), "n": np.array(list(counts.values()), np.int64)})
 
     rows = docs.select("_text").mapInPandas(run, "w binary, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()
     return {bytes(r.w): r.n for r in rows}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebars.llm import bpe, decontaminate, line_dedup, order_minhash, pii, secrets, simhash, suffix_dedup, toxicity
+from tidebars.llm import bpe, decontaminate, interpolation, line_dedup, order_minhash, pii, secrets, simhash, suffix_dedup, toxicity
 from tidebars.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.summary(table(spark, sf_dir, "documents"))
 
 
+def op5_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_order_minhash, op3_pii, op4_line_dedup, op6_bpe, op7_secrets, op8_toxicity, op9_simhash, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_order_minhash, op3_pii, op4_line_dedup, op5_interpolation, op6_bpe, op7_secrets, op8_toxicity, op9_simhash, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
