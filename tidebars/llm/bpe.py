@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebars.llm.common import by_text
+
 #: White space of the vocabulary's patterns (the Unicode property), which differs from Python's \s.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
@@ -142,10 +144,12 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
             made.index = frame.index
             yield pd.concat([frame.drop(columns="_text"), made], axis=1)
 
-    src = docs.select(F.col(id_col), *[F.col(c) for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    there, back = by_text(docs, id_col, *keep)
+    src = docs.select(*there, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_text")
     extra = ", ids array<int>, decoded string" if full else ""
-    return src.mapInPandas(run, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+    out = src.mapInPandas(run, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string{extra}")
+    return out.select(*back, *out.columns[len(back) :])
 
 
 def decode(rows: DataFrame, path: str | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -46,3 +46,10 @@ def crc_mod(col: str | Column, n: int) -> Column:
 
 def parts(spark: SparkSession, least: int = 8) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def by_text(df: DataFrame, *cols: str) -> tuple[list[Column], list[Column]]:
+    """Columns to send through pandas, and to select afterwards: whole numbers travel as text, since pandas would make a column
+    with nulls one of floats."""
+    whole = {f.name: f.dataType for f in df.schema if f.dataType.typeName() in ("long", "integer", "short", "byte")}
+    return [F.col(c).cast("string").alias(c) if c in whole else F.col(c) for c in cols], [F.col(c).cast(whole[c]).alias(c) if c in whole else F.col(c) for c in cols]

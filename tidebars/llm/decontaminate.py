@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebars.llm.common import by_text
+
 #: Bytes that separate words, and upper-case letters, as one translation: words are what split() then gives.
 FOLD = bytes(32 if b <= 0x2F or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -107,7 +109,8 @@ def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     """One row per row of docs: id, the columns of keep, n_words, n_hit, n_items, items_sha256, contaminated, hit_spans (word
     intervals)."""
     spark = docs.sparkSession
-    now = docs.select(F.col(id_col), *[F.col(c) for c in keep], F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    there, back = by_text(docs, id_col, *keep)
+    now = docs.select(*there, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in now.schema if f.name != "_text")
     bare = now
     now = now.withColumns({"_spans": F.lit(None).cast("array<int>"), "_items": F.lit(None).cast("array<string>")})
@@ -137,4 +140,5 @@ def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
             sha = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in ids]
             yield f.drop(columns=["_text", "_spans", "_items"]).assign(n_words=n, n_hit=hit, n_items=[len(i) for i in ids], items_sha256=sha, contaminated=[h > 0 for h in hit], hit_spans=[[int(x) for x in s] for s in spans])
 
-    return now.mapInPandas(report, f"{kept}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<int>")
+    out = now.mapInPandas(report, f"{kept}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<int>")
+    return out.select(*back, *out.columns[len(back) :])
