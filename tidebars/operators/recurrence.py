@@ -351,13 +351,19 @@ class HeikinAshi(Machine):
 
 
 class McGinley(Machine):
+    """A mean that follows faster when the value is below it; it starts anew where it has come to zero, and holds where the step
+    has no finite size (a value far below it)."""
+
     def __init__(self, n: int = 14):
         self.n, self.y = n, None
 
     def step(self, x: Value) -> tuple[Value]:
         if x is None:
             return (self.y,)
-        self.y = x if self.y is None or self.y == 0 else self.y + (x - self.y) / (self.n * (x / self.y) ** 4) if x else self.y
+        if not self.y:
+            self.y = x
+        elif abs(x / self.y) > 1e-3:
+            self.y += (x - self.y) / (self.n * (x / self.y) ** 4)
         return (self.y,)
 
 

@@ -169,7 +169,7 @@ PLAIN = [
     walk_forward_folds, fold_sizes, prior_gate, gate_summary, feature_catalog, feature_matrix,
 ]
 MACHINES = [
-    machine("trail_psar", ("psar", "psar_trend"), S.Psar), machine("trail_supertrend", ("supertrend", "direction"), S.SuperTrend), machine("trail_chandelier", ("chandelier", "direction"), S.Chandelier),
+    machine("trail_psar", ("psar", "psar_trend"), S.Psar), machine("trail_supertrend", ("supertrend", "direction"), S.SuperTrend), machine("trail_chandelier", ("long_stop", "short_stop", "direction"), S.Chandelier),
     machine("trail_stop", ("stop", "signal"), S.TrailingStop), machine("heikin_ashi", ("ha_open", "ha_high", "ha_low", "ha_close"), S.HeikinAshi), machine("mcginley", ("mcginley",), S.McGinley),
     machine("cusum_events", ("event",), lambda: S.Cusum(50.0)), machine("kama", ("kama",), S.Kama), machine("tsi", ("tsi", "tsi_signal"), S.Tsi),
 ]
