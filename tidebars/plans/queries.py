@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebars.functions import rolling as R
-from tidebars.operators import labels, oscillators
+from tidebars.operators import evaluation, labels, oscillators
 from tidebars.operators import recurrence as S
 from tidebars.plans.matrix import FAMILIES, build, catalog, finished, matrix
 from tidebars.sources import bars as B
@@ -164,7 +164,39 @@ def gate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(labels.gate_summary(gate(spark, sf_dir)))
 
 
+def volume_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of 500 units, by return flag."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(C("l_returnflag").alias("symbol"), C("l_extendedprice").alias("price"), "l_quantity", "l_shipdate", "l_orderkey", "l_linenumber")
+    return rounded(evaluation.amount_bars(lines, "l_quantity", 500.0, ["l_shipdate", "l_orderkey", "l_linenumber"]), 4)
+
+
+def crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades entered where the close passes above its mean of 20 bars."""
+    return evaluation.trades(labelled(B.event_bars(spark, sf_dir)), R.crosses_above(C("close"), C("bb_basis")))
+
+
+def backtest_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finished(crossings(spark, sf_dir), ["holding_bars", "pnl"])
+
+
+def backtest_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.measures(crossings(spark, sf_dir)), 5)
+
+
+def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    later = C("ts") >= F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    return rounded(evaluation.stability_index(B.event_bars(spark, sf_dir), "close", later, 0.0, 200.0))
+
+
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brier score of always giving the label's overall share, by quality."""
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    share = rows.agg(F.avg(C("toxic").cast("double")).alias("share"))  # one row
+    return rounded(evaluation.brier(rows.crossJoin(F.broadcast(share)), ["quality"], C("share"), C("toxic")))
+
+
 PLAIN = [
+    volume_bars, backtest_trades, backtest_measures, drift, calibration,
     bars_30m, bars_daily_orders, bars_daily_lines, resample_4h, range_scan, latest_bar, keep_last, exponential, bollinger, window_statistics, event_distance, triple_barrier, label_shares, prior_entropy,
     walk_forward_folds, fold_sizes, prior_gate, gate_summary, feature_catalog, feature_matrix,
 ]
@@ -373,12 +405,41 @@ def gate_sql(select: str) -> str:
     return f"{barriers(ORDER_BARS)}, {fold_parts('b3')}, {GATE_CTE} {select}"
 
 
+TAKEN = (
+    "c AS (SELECT symbol, ts, rn, holding_bars, coalesce(pnl_pct IS NOT NULL AND lag(close) OVER w <= lag(mid) OVER w AND close > mid, false) AS sig, pnl_pct - 0.09 AS pnl FROM (SELECT *, (exit_price - close) / nullif(close, 0) * 100 AS pnl_pct FROM b3) WINDOW w AS (PARTITION BY symbol ORDER BY ts)), "
+    "o AS (SELECT symbol, rn, sig AS taken, CASE WHEN sig THEN holding_bars ELSE 0 END AS rest FROM c WHERE rn = 1 UNION ALL "
+    "SELECT c.symbol, c.rn, o.rest = 0 AND c.sig, CASE WHEN o.rest > 0 THEN o.rest - 1 WHEN c.sig THEN c.holding_bars ELSE 0 END FROM o JOIN c ON c.symbol = o.symbol AND c.rn = o.rn + 1), "
+    "tr AS (SELECT c.* FROM c JOIN o ON c.symbol = o.symbol AND c.rn = o.rn WHERE taken)"
+)
+
+
+def measures_sql() -> str:
+    return (
+        f"{barriers(EVENT_BARS)}, {TAKEN}, a AS (SELECT *, sum(pnl) OVER s AS total FROM tr WINDOW s AS (PARTITION BY symbol ORDER BY ts)), d AS (SELECT *, greatest(max(total) OVER s, 0) - total AS fall FROM a WINDOW s AS (PARTITION BY symbol ORDER BY ts)) "
+        "SELECT symbol, count(*) AS trades, round(avg((pnl > 0)::DOUBLE), 5) AS win_rate, round(avg(pnl), 5) AS mean_pnl, round(stddev_pop(pnl), 5) AS sd_pnl, round(avg(pnl) / nullif(stddev_pop(pnl), 0), 5) AS sharpe, round(avg(pnl) / nullif(sqrt(avg(least(pnl, 0) ** 2)), 0), 5) AS sortino, "
+        "round(sum(pnl) FILTER (pnl > 0) / -sum(pnl) FILTER (pnl < 0), 5) AS profit_factor, sum(holding_bars)::BIGINT AS bars_held, round(max(fall), 5) AS max_drawdown FROM d GROUP BY symbol"
+    )
+
+
+VOLUME_BARS = (
+    "WITH t AS (SELECT l_returnflag AS symbol, l_extendedprice AS price, l_quantity AS q, row_number() OVER w AS i, floor(coalesce(sum(l_quantity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 500)::BIGINT AS bar FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber)) "
+    "SELECT symbol, bar, round(arg_min(price, i), 4) AS open, round(max(price), 4) AS high, round(min(price), 4) AS low, round(arg_max(price, i), 4) AS close, round(sum(q), 4) AS volume, count(*) AS ticks FROM t GROUP BY 1, 2"
+)
+DRIFT = (
+    f"WITH b AS ({EVENT_BARS}), c AS (SELECT symbol, least(greatest(floor(close / 20), 0), 9) AS k, count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS p, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS q FROM b GROUP BY 1, 2), "
+    "g AS (SELECT symbol, k, coalesce(p, 0) + 0.5 AS p, coalesce(q, 0) + 0.5 AS q FROM (SELECT DISTINCT b.symbol, r.k FROM b, range(0, 10) r(k)) LEFT JOIN c USING (symbol, k)), s AS (SELECT symbol, p::DOUBLE / sum(p) OVER (PARTITION BY symbol) AS p, q::DOUBLE / sum(q) OVER (PARTITION BY symbol) AS q FROM g) "
+    "SELECT symbol, round(sum((q - p) * ln(q / p)), 6) AS psi FROM s GROUP BY 1"
+)
+
+
 def plain_bars(bars: str, digits: int = 6) -> str:
     return steps(bars) + shown(same(*OHLCV), 0, digits=digits)
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "volume_bars": VOLUME_BARS, "drift": DRIFT, "backtest_measures": measures_sql(), "backtest_trades": f"{barriers(EVENT_BARS)}, {TAKEN} SELECT symbol, ts, holding_bars::INT AS holding_bars, round(pnl, 6) AS pnl FROM tr",
+        "calibration": "SELECT quality, round(avg((s - toxic) ** 2), 6) AS brier, count(*) AS n FROM (SELECT *, avg(toxic) OVER () AS s FROM labels) GROUP BY 1",
         "bars_30m": plain_bars(EVENT_BARS), "bars_daily_orders": plain_bars(ORDER_BARS, 4), "bars_daily_lines": plain_bars(LINE_BARS, 4), "resample_4h": resample_sql(),
         "range_scan": "SELECT event_id, ts, event_type, round(value, 6) AS value FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-10'",
         "latest_bar": f"SELECT symbol, max(ts) AS last_ts, count(*) AS bars FROM ({EVENT_BARS}) GROUP BY 1",
