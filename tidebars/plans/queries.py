@@ -227,7 +227,7 @@ ORDER_BARS = numbered(
 LINE_BARS = numbered(
     "SELECT 'LINES' AS symbol, date_trunc('day', l_shipdate)::TIMESTAMP AS ts, first(l_extendedprice ORDER BY l_shipdate, l_orderkey, l_linenumber) AS open, max(l_extendedprice) AS high, min(l_extendedprice) AS low, last(l_extendedprice ORDER BY l_shipdate, l_orderkey, l_linenumber) AS close, sum(l_quantity)::DOUBLE AS volume FROM lineitem GROUP BY 2"
 )
-FRAMES = ", ".join(f"w{n} AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (5, 9, 10, 14, 20, 26, 50, 52, 100))
+FRAMES = ", ".join(f"w{n} AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (5, 9, 10, 14, 20, 26, 49, 50, 52, 100))
 WINDOWS = f"WINDOW w AS (PARTITION BY symbol ORDER BY ts), s AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), s1 AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {FRAMES}"
 TRUE_RANGE = "greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w))"
 
@@ -261,30 +261,58 @@ BANDS = (
 )
 
 
+BAND_COLUMNS = {
+    "bb_basis": "mid", "bb_upper": "mid + 2 * sd", "bb_lower": "mid - 2 * sd", "kc_upper": "mid + 1.5 * tr20", "kc_lower": "mid - 1.5 * tr20", "bb_width_pct": "4 * sd / nullif(mid, 0) * 100",
+    "bb_position": "(close - (mid - 2 * sd)) / nullif(4 * sd, 0)", "squeeze_state": "CASE WHEN inside THEN -1 WHEN lag(inside) OVER w THEN 1 ELSE 0 END",
+}
+
+
 def bollinger_sql() -> str:
-    return steps(EVENT_BARS, *BANDS) + shown(
-        {
-            "bb_basis": "mid", "bb_upper": "mid + 2 * sd", "bb_lower": "mid - 2 * sd", "kc_upper": "mid + 1.5 * tr20", "kc_lower": "mid - 1.5 * tr20", "bb_width_pct": "4 * sd / nullif(mid, 0) * 100",
-            "bb_position": "(close - (mid - 2 * sd)) / nullif(4 * sd, 0)", "squeeze_state": "CASE WHEN inside THEN -1 WHEN lag(inside) OVER w THEN 1 ELSE 0 END",
-        }, 3, ("squeeze_state",),
-    )
+    return steps(EVENT_BARS, *BANDS) + shown(BAND_COLUMNS, 3, ("squeeze_state",))
 
 
-def exponential_sql() -> str:
-    """State by state along each symbol's bars, by recursion."""
+def walk_sql() -> str:
+    """b1: the bars with what recursion gives, state by state along each symbol's bars."""
     weights = {"ema9": 2 / 10, "ema21": 2 / 22, "ema50": 2 / 51, "e12": 2 / 13, "e26": 2 / 27}
     walk = ", ".join(f"{a!r} * b.close + {1 - a!r} * r.{n} AS {n}" for n, a in weights.items())
     line = f"({weights['e12']!r} * b.close + {1 - weights['e12']!r} * r.e12 - {weights['e26']!r} * b.close - {1 - weights['e26']!r} * r.e26)"
-    mean = lambda new, old: f"CASE WHEN {old} IS NULL THEN {new} ELSE ({new}) / 14.0 + {old} * 13.0 / 14.0 END"
+    mean = lambda new, old, n=14: f"CASE WHEN {old} IS NULL THEN {new} ELSE ({new}) / {n}.0 + {old} * {n - 1}.0 / {n}.0 END"
     rise, fall = "greatest(b.close - r.close, 0)", "greatest(r.close - b.close, 0)"
     tr = "greatest(b.high - b.low, abs(b.high - r.close), abs(b.low - r.close))"
     return (
-        f"WITH RECURSIVE b0 AS MATERIALIZED ({EVENT_BARS}), r AS (SELECT symbol, ts, rn, close, {', '.join(f'close AS {n}' for n in weights)}, NULL::DOUBLE AS sig, NULL::DOUBLE AS up, NULL::DOUBLE AS dn, (high - low)::DOUBLE AS atr FROM b0 WHERE rn = 1 "
-        f"UNION ALL SELECT b.symbol, b.ts, b.rn, b.close, {walk}, CASE WHEN b.rn < 26 THEN NULL WHEN r.sig IS NULL THEN {line} ELSE 0.2 * {line} + 0.8 * r.sig END, {mean(rise, 'r.up')}, {mean(fall, 'r.dn')}, {mean(tr, 'r.atr')} FROM r JOIN b0 b ON b.symbol = r.symbol AND b.rn = r.rn + 1), "
-        "b1 AS (SELECT * FROM r)"
-    ) + shown(
+        f"WITH RECURSIVE b0 AS MATERIALIZED ({EVENT_BARS}), r AS (SELECT symbol, ts, rn, close, {', '.join(f'close AS {n}' for n in weights)}, NULL::DOUBLE AS sig, NULL::DOUBLE AS up, NULL::DOUBLE AS dn, (high - low)::DOUBLE AS atr, (high - low)::DOUBLE AS atr5 FROM b0 WHERE rn = 1 "
+        f"UNION ALL SELECT b.symbol, b.ts, b.rn, b.close, {walk}, CASE WHEN b.rn < 26 THEN NULL WHEN r.sig IS NULL THEN {line} ELSE 0.2 * {line} + 0.8 * r.sig END, {mean(rise, 'r.up')}, {mean(fall, 'r.dn')}, {mean(tr, 'r.atr')}, {mean(tr, 'r.atr5', 5)} FROM r JOIN b0 b ON b.symbol = r.symbol AND b.rn = r.rn + 1), "
+        f"b1 AS (SELECT b0.*, {', '.join(f'r.{n}' for n in weights)}, sig, up, dn, CASE WHEN b0.rn >= 14 THEN atr END AS atr_14, CASE WHEN b0.rn >= 5 THEN atr5 END AS atr_5 FROM b0 JOIN r ON r.symbol = b0.symbol AND r.rn = b0.rn)"
+    )
+
+
+def exponential_sql() -> str:
+    return walk_sql() + shown(
         {n: f"CASE WHEN rn >= {k} THEN {n} END" for n, k in RECURSIVE.items()}
-        | {"rsi_14": "CASE WHEN rn >= 15 AND dn > 0 THEN 100 - 100 / (1 + up / dn) END", "macd_line": "CASE WHEN rn >= 26 THEN e12 - e26 END", "macd_signal": "CASE WHEN rn >= 34 THEN sig END", "atr_14": "CASE WHEN rn >= 14 THEN atr END"}, 1,
+        | {"rsi_14": "CASE WHEN rn >= 15 AND dn > 0 THEN 100 - 100 / (1 + up / dn) END", "macd_line": "CASE WHEN rn >= 26 THEN e12 - e26 END", "macd_signal": "CASE WHEN rn >= 34 THEN sig END", "atr_14": "atr_14"}, 1,
+    )
+
+
+def volatility_sql() -> str:
+    layers = [*BANDS[:2], f"{BANDS[2]}, CASE WHEN count(atr_14) OVER w100 = 100 THEN array_agg(atr_14) OVER w100 END AS a"]
+    return walk_sql() + "".join(f", b{i + 2} AS (SELECT *, {more} FROM b{i + 1} {WINDOWS})" for i, more in enumerate(layers)) + shown(
+        same("atr_14", "atr_5") | {"atr_ratio": "atr_5 / nullif(atr_14, 0)", "atr_percentile": "len(list_filter(a, lambda x: x < atr_14)) + (len(list_filter(a, lambda x: x = atr_14)) + 1) / 2.0"} | BAND_COLUMNS, 4, ("squeeze_state",),
+    )
+
+
+def reversion_sql() -> str:
+    n = 20
+    powers = ", ".join(f"list_sum(list_transform(a, lambda x: (x - m) ** {k})) / {n} AS m{k}" for k in (2, 3, 4))
+    z = lambda k: f"(close - {roll('avg', 'close', k)}) / nullif({roll('stddev_pop', 'close', k)}, 0)"
+    return steps(
+        EVENT_BARS, f"{BANDS[0]}, CASE WHEN close > 0 AND lag(close) OVER w > 0 THEN ln(close / lag(close) OVER w) END AS r", f"CASE WHEN count(r) OVER w{n} = {n} THEN array_agg(r) OVER w{n} END AS a, lag(r) OVER w AS p", "list_avg(a) AS m, CASE WHEN r IS NOT NULL AND p IS NOT NULL THEN r END AS x, CASE WHEN r IS NOT NULL THEN p END AS y", powers,
+    ) + shown(
+        {
+            "bb_pct_b": BAND_COLUMNS["bb_position"], "bb_dist_mid_sigma": z(20), "zscore_20": z(20), "zscore_50": z(50),
+            "skewness_20": f"CASE WHEN m2 = 0 THEN 0 ELSE m3 / m2 ** 1.5 * {((n * (n - 1)) ** 0.5 / (n - 2))!r} END",
+            "kurtosis_20": f"CASE WHEN m2 = 0 THEN -3 ELSE (({n} + 1) * (m4 / m2 ** 2 - 3) + 6) * {((n - 1) / ((n - 2) * (n - 3)))!r} END",
+            "autocorr_1": "CASE WHEN count(x) OVER w49 = 49 THEN covar_pop(x, y) OVER w49 / nullif(stddev_pop(x) OVER w49 * stddev_pop(y) OVER w49, 0) END",
+        }, 4,
     )
 
 
@@ -445,7 +473,7 @@ def oracle_sql() -> dict[str, str]:
         "latest_bar": f"SELECT symbol, max(ts) AS last_ts, count(*) AS bars FROM ({EVENT_BARS}) GROUP BY 1",
         "keep_last": "SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey, round(arg_max(o_totalprice, o_orderkey), 6) AS o_totalprice FROM orders GROUP BY 1, 2",
         "exponential": exponential_sql(), "bollinger": bollinger_sql(), "window_statistics": statistics_sql(), "event_distance": distance_sql(),
-        "features_candles": candles_sql(), "features_calendar": calendar_sql(), "features_context": context_sql(), "features_ichimoku": ichimoku_sql(), "triple_barrier": barrier_sql(),
+        "features_volatility": volatility_sql(), "features_mean_reversion": reversion_sql(), "features_candles": candles_sql(), "features_calendar": calendar_sql(), "features_context": context_sql(), "features_ichimoku": ichimoku_sql(), "triple_barrier": barrier_sql(),
         "label_shares": barriers(EVENT_BARS) + " SELECT symbol, label, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY symbol), 6) AS share FROM b3 GROUP BY symbol, label",
         "prior_entropy": "SELECT toxic, round(-sum(n / s * ln(n / s)), 6) AS prior, sum(n)::BIGINT AS n FROM (SELECT toxic, quality, count(*) AS n, sum(count(*)) OVER (PARTITION BY toxic) AS s FROM labels GROUP BY toxic, quality) GROUP BY toxic",
         "walk_forward_folds": f"WITH b0 AS ({ORDER_BARS}), {FOLDS} SELECT * FROM f",
