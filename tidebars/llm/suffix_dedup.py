@@ -33,6 +33,8 @@ WINDOW, K = 50, 16
 BLOCK = 1 << 20
 #: Different fragments that one collection holds at least, if there are as many.
 COLLECTION = 512
+#: Fragments handed on at once.
+BATCH = 1 << 14
 LAST = (1 << 63) - 1
 END = 255  # no byte of UTF-8
 
@@ -181,7 +183,14 @@ def repeated(rows: DataFrame) -> DataFrame:
 def fragment_rows(docs: DataFrame, metas: DataFrame, window: int, k: int) -> DataFrame:
     """(anchor, fragment, doc, tag, start)."""
 
+    def table(held: list[tuple]) -> pd.DataFrame:
+        size = [len(x[1]) for x in held]
+        of = lambda i, kind: np.repeat(np.array([x[i] for x in held], kind), size)
+        pieces = [p for x in held for p in x[1]]
+        return pd.DataFrame({"anchor": np.concatenate([x[0] for x in held]), "fragment": pieces, "doc": of(2, np.int64), "tag": of(3, np.int32), "start": np.concatenate([x[4] for x in held])})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, count = [], 0
         for f in frames:
             for doc, text, meta in zip(f["doc"], f["text"], f["metas"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
@@ -195,7 +204,13 @@ def fragment_rows(docs: DataFrame, metas: DataFrame, window: int, k: int) -> Dat
                 kmers = np.lib.stride_tricks.sliding_window_view(data, k)[at]
                 h = kmer_hashes(np.concatenate((kmers.reshape(-1), np.zeros(k, np.uint8))), k)[: len(at) * k : k]
                 pieces = [raw[s : s + m + window] for s, m in zip(lo.tolist(), more.tolist(), strict=True)]
-                yield pd.DataFrame({"anchor": h.view(np.int64), "fragment": pieces, "doc": doc, "tag": np.int32(zlib.crc32(raw) & 0x7FFFFFFF), "start": lo.astype(np.int32)})
+                held.append((h.view(np.int64), pieces, doc, zlib.crc32(raw) & 0x7FFFFFFF, lo.astype(np.int32)))
+                count += len(pieces)
+                if count >= BATCH:
+                    yield table(held)
+                    held, count = [], 0
+        if held:
+            yield table(held)
 
     joined = docs.join(metas.groupBy("doc").agg(F.collect_list("meta").alias("metas")), "doc")
     return joined.select("doc", "text", "metas").mapInPandas(run, "anchor long, fragment binary, doc long, tag int, start int")
@@ -218,9 +233,31 @@ def removed_intervals(fragments: DataFrame, window: int) -> DataFrame:
         _, past = np.nonzero(edge == -1)
         return pd.DataFrame({"doc": docs[row], "tag": f["tag"].to_numpy()[row], "start": f["start"].to_numpy()[row] + first.astype(np.int32), "size": (past - first + window - 1).astype(np.int32)})
 
+    def several(f: pd.DataFrame) -> pd.DataFrame:
+        """Rows of whole anchors with different fragments in more than one document; others have nothing left to repeat."""
+        if not len(f):
+            return f
+        a, d = f["anchor"].to_numpy(), f["doc"].to_numpy()
+        start = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+        more = np.minimum.reduceat(d, start) != np.maximum.reduceat(d, start)
+        return f[np.repeat(more, np.diff(np.append(start, len(a))))]
+
+    def settled(ready: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """In collections of whole anchors, about COLLECTION rows each."""
+        rows = pd.concat(ready, ignore_index=True) if ready else None
+        if rows is None or not len(rows):
+            return
+        a = rows["anchor"].to_numpy()
+        begin = 0
+        for at in [*np.flatnonzero(a[1:] != a[:-1]) + 1, len(a)]:
+            if at - begin >= COLLECTION or at == len(a):
+                yield settle(rows.iloc[begin:at])
+                begin = int(at)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []  # first rows: of anchors that may go on, or too few for a collection
-        count, last, last_doc = 0, None, None
+        held: list[pd.DataFrame] = []  # first rows of anchors that may go on
+        ready: list[pd.DataFrame] = []  # those of whole anchors, too few for a collection
+        count, waiting, last, last_doc = 0, 0, None, None
         for f in frames:
             if not len(f):
                 continue
@@ -245,16 +282,16 @@ def removed_intervals(fragments: DataFrame, window: int) -> DataFrame:
                 rows = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
                 a = rows["anchor"].to_numpy()
                 bounds = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-                # whole anchors only; the last may go on
-                begin = 0
-                for at in [*bounds[1:]]:
-                    if at - begin >= COLLECTION or at == bounds[-1]:
-                        yield settle(rows.iloc[begin:at])
-                        begin = int(at)
-                rest = rows.iloc[begin:]
+                rest = rows.iloc[bounds[-1] :]  # may go on
                 held, count = [rest], len(rest)
+                ready.append(several(rows.iloc[: bounds[-1]]))
+                waiting += len(ready[-1])
+                if waiting >= COLLECTION:
+                    yield from settled(ready)
+                    ready, waiting = [], 0
         if count:
-            yield settle(pd.concat(held, ignore_index=True))
+            ready.append(several(pd.concat(held, ignore_index=True)))
+        yield from settled(ready)
         yield pd.DataFrame([], columns=columns).astype({"doc": "int64", "tag": "int32", "start": "int32", "size": "int32"})
 
     dealt = fragments.repartition(n, "anchor").sortWithinPartitions("anchor", "fragment", "doc")
