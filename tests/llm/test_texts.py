@@ -193,3 +193,14 @@ def test_trigram_queries_miss_no_match():
     for rule, p in zip(secrets.BASE, KEYS, strict=False):
         for t in HARD:
             assert all(holds(secrets.derive(rule.pattern), m[0].lower()) for m in re.finditer(p[1], t))
+
+
+def test_full_encoding_in_small_slices(spark):
+    docs = spark.createDataFrame([(1, "Hello world"), (2, None), (3, ""), (4, "x" * 200), (None, "a b")], "doc_id long, text string")
+    key = lambda rows: sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows)
+    whole = bpe.encode(docs, full=True).collect()
+    assert key(whole) == key(bpe.encode(docs).collect())
+    assert all(len(r["ids"]) == r["n_tokens"] for r in whole)
+    frame = docs.toPandas().rename(columns={"text": "_text"}).fillna({"_text": ""})
+    assert [len(x) for x in bpe.slices(frame)] == [5]
+    assert sum(len(x) for x in bpe.slices(frame.iloc[:0])) == 0

@@ -17,6 +17,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -28,6 +29,8 @@ from tidebars.llm.common import by_text
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 CACHE = 300_000
+#: Characters whose tokens are held at once, and handed on together.
+CHUNK = 1 << 21
 
 
 def default_vocabulary() -> str:
@@ -125,6 +128,13 @@ def loaded(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def slices(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Runs of rows with about CHUNK characters each (a longer text is alone), so that tokens never pile up."""
+    part = np.cumsum(frame["_text"].str.len().to_numpy(np.int64)) // CHUNK
+    for rows in np.split(np.arange(len(frame)), np.flatnonzero(np.diff(part)) + 1):
+        yield frame.iloc[rows]
+
+
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), full: bool = False) -> DataFrame:
     """One row per row of docs: id, the columns of keep, n_tokens, ids_sha256, decoded_sha256; with full, ids and decoded too.
     path: the vocabulary file, at the same place on every machine."""
@@ -132,17 +142,18 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = loaded(path)
-        for frame in frames:
-            rows = []
-            for text in frame["_text"]:
-                got = bpe.pieces(text or "")
-                raw = b"".join([p[0] for p in got])
-                decoded = " ".join([p[1] for p in got])
-                row = (len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                rows.append((*row, list(struct.unpack(f"<{row[0]}I", raw)), decoded) if full else row)
-            made = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 5 if full else 3])
-            made.index = frame.index
-            yield pd.concat([frame.drop(columns="_text"), made], axis=1)
+        for whole in frames:
+            for frame in slices(whole):
+                rows = []
+                for text in frame["_text"]:
+                    got = bpe.pieces(text or "")
+                    raw = b"".join([p[0] for p in got])
+                    decoded = " ".join([p[1] for p in got])
+                    row = (len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+                    rows.append((*row, np.frombuffer(raw, "<u4").astype(np.int32), decoded) if full else row)
+                made = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 5 if full else 3])
+                made.index = frame.index
+                yield pd.concat([frame.drop(columns="_text"), made], axis=1)
 
     there, back = by_text(docs, id_col, *keep)
     src = docs.select(*there, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
