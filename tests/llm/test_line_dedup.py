@@ -92,3 +92,9 @@ def test_nulls_blank_and_repeated_rows(docs_of):
     out = {(r.doc_id, r.text) for r in L.without_repeats(docs).collect()}
     assert out == {(3, "same line here ok"), (4, "x"), (5, None)}
     assert L.summary(docs_of([])).count() == 0
+
+
+def test_rows_with_no_id_or_one_id_lose_only_their_own_lines(docs_of):
+    docs = docs_of([(None, "line A\nline B"), (None, "line C\nline A"), (7, "line D\nline E"), (7, "line F\nline D"), (7, "line D\nline G")])
+    got = sorted(line for r in L.without_repeats(docs).collect() for line in r.text.split("\n") if line)
+    assert got == [f"line {c}" for c in "ABCDEFG"]

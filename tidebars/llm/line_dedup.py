@@ -12,8 +12,8 @@ Equal lines are one node from the start, so copies never meet in a group; hot li
 shuffle. Keys that one line alone holds end where they meet; only lines that share a key send their text, found again with
 a bit table of fixed size. A crowded key is verified in blocks of lines dealt to separate tasks. No links are dropped.
 
-Blank lines are never removed or linked. Null texts have no lines. Null doc_ids order last; rows with the same doc_id and
-line number count as the same place. Lines are nodes by a 63-bit hash of their text.
+Blank lines are never removed or linked. Null texts have no lines. Null doc_ids order last. Rows are told apart by doc_id and
+the hash of their text: a line is removed from its own row only, and of equal rows all keep the first line of a class. Lines are nodes by a 63-bit hash of their text.
 """
 
 from __future__ import annotations
@@ -144,22 +144,23 @@ def linked(left: list[str], right: list[str] | None, max_edits: int, chars_per_e
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, node); node is null for a blank line."""
+    """(doc_id, row, line_no, node): row is the hash of the whole text; node is null for a blank line."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            ids, numbers, nodes = [], [], []
-            for doc_id, text in zip(f["doc_id"], f["text"], strict=True):
+            ids, rows, numbers, nodes = [], [], [], []
+            for doc_id, row, text in zip(f["doc_id"], f["row"].tolist(), f["text"], strict=True):
                 if text is None:
                     continue
                 for i, line in enumerate(text.split("\n")):
                     ids.append(doc_id)
+                    rows.append(row)
                     numbers.append(i)
                     nodes.append(node_of(line) if line.strip() else None)
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "line_no": np.array(numbers, np.int32), "node": pd.Series(nodes, dtype=object)})
+            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype=object), "row": np.array(rows, np.int64), "line_no": np.array(numbers, np.int32), "node": pd.Series(nodes, dtype=object)})
 
     # ids travel as text: pandas would make a column of longs with nulls one of floats
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id string, line_no int, node long")
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id string, row long, line_no int, node long")
     return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -315,20 +316,20 @@ def links(docs: DataFrame, text_col: str = "text", max_edits: int = MAX_EDITS, c
 
 
 def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
-    """(doc_id, line_no, node, class_doc, class_line, n_links, removed) of every line; blank lines have no class."""
+    """(doc_id, row, line_no, node, class_doc, class_line, n_links, removed) of every line; blank lines have no class."""
     lines = cut(lines_of(docs, id_col, text_col))
     pairs = cut(links(docs, text_col, max_edits, chars_per_edit))
     counts = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     roots = components(pairs, "a", "b").join(counts, "node")
-    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "line_no")
+    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "line_no", "row")
     # first places per node, then per class: hot lines are folded before they meet
     first = lines.where("node is not null").groupBy("node").agg(F.min(place).alias("p"))
     first = first.join(roots, "node", "left").select("node", "p", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     head = first.groupBy("root").agg(F.min("p").alias("head"))
     per_node = first.join(head, "root").select("node", "head", "n_links")
     out = lines.join(per_node, "node", "left")
-    removed = F.coalesce(~(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("line_no") == F.col("head.line_no"))), F.lit(False)) & F.col("node").isNotNull()
-    return out.select("doc_id", "line_no", "node", F.col("head.doc_id").alias("class_doc"), F.col("head.line_no").alias("class_line"), F.coalesce("n_links", F.lit(0)).alias("n_links"), removed.alias("removed"))
+    removed = F.coalesce(~(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("line_no") == F.col("head.line_no")) & (F.col("row") == F.col("head.row"))), F.lit(False)) & F.col("node").isNotNull()
+    return out.select("doc_id", "row", "line_no", "node", F.col("head.doc_id").alias("class_doc"), F.col("head.line_no").alias("class_line"), F.coalesce("n_links", F.lit(0)).alias("n_links"), removed.alias("removed"))
 
 
 def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -346,7 +347,7 @@ def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with the removed lines cut out of the text; no document is dropped."""
     found = classified(docs, id_col, text_col, **options)
-    gone = found.where("removed").groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = found.where("removed").groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
     kept = F.array_join(F.filter(F.transform(F.split(text_col, "\n", -1), lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull()), "\n")
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_d")), "left")
+    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_d")) & (F.xxhash64(text_col) == F.col("_row")), "left")
     return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
