@@ -1,16 +1,18 @@
 """Language-model scores by deleted interpolation.
 
-Tokens are lower-cased words and one end token a text. Words that training hasn't seen are one token, new, with the share that
-such words have among held-out tokens. A known word's probability mixes its own maximum-likelihood estimate with that of its
-spelling: maximum-likelihood estimates of letter n-grams of orders 1 to `ORDER` (with marks at both ends of a word), each
-mixed into the next lower one by a weight that depends on how often the context occurs (a bucket for each power of two), down to
-a uniform distribution over letters and an unseen one. All weights are learned by expectation-maximisation on counts held out
-from the estimates: those of training documents with crc32 mod 7 = 3. The final estimates then use all training documents.
-
-Gathering: word counts of all texts are folded in each task and shuffled by word; a hot word has one row a task. The letter
-n-grams come from the counted words and are folded into a table of at most 2^`SLOT_BITS` slots, so what reaches the driver and
-is broadcast has a fixed bound (n-grams that share a slot count as one). Scoring: texts are dealt to batches; a batch asks for
-each of its different words once, and gets the count and the probability from the table of words.
+Tokens are lower-cased words and one end token a text. A token's probability mixes the maximum-likelihood estimate of its trigram
+(two start marks stand before a text) into that of its bigram, that into its share of all tokens, and that into a uniform
+distribution over known words. Words that training hasn't seen are one token, new, with the share that such words have among
+held-out tokens. The weights of bigrams and trigrams depend on how often the context occurs (a bucket for each power of two). All
+weights are learned by expectation-maximisation on counts held out from the estimates: those of training documents with
+crc32 mod 7 = 3. The final estimates then use all training documents.
+
+Gathering: texts are dealt to batches; a batch counts its n-grams and sends each different one once, with its counts, to where all
+batches' counts of it meet; so a hot n-gram has one row a batch. The sums go back to each batch that has the n-gram, unless that is
+the only one. No table is cut and none goes through the driver: it gets sums by bucket and by hundredth of a decade only.
+N-grams are known by 62 bits of hash.
+
+`Spelling` (letter n-grams) isn't used for the scores.
 
 Null texts are empty: one end token. A null doc_id is in no held-out part and is trained on. Every row gives one row.
 """
@@ -20,7 +22,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,42 +31,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.llm.common import crc_mod, parts, shared_dir, words_of
+from tidebars.llm.line_dedup import grouped
 
 ORDER = 5
-SLOT_BITS = 22
 END = "\n"
-FLUSH = 400_000
+SLICE = 200_000
 BATCH_BYTES = 12 << 20
 BUCKETS = 64
+START = np.uint64(0x5BD1E9955BD1E995)
 
 
 def tokens_of(text: str | None) -> list[bytes]:
     return [*words_of(text), END.encode()]
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, main, held) of all rows of docs (text, part): part 0 is scored only, 1 is held out from the estimates, 2 is for them."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = [Counter(), Counter(), Counter()]
-
-        def flush() -> pd.DataFrame:
-            words = list(set().union(*counts))
-            out = pd.DataFrame({"word": pd.Series([w.decode("utf-8", "replace") for w in words], dtype=object), "main": np.array([counts[2].get(w, 0) for w in words], np.int64), "held": np.array([counts[1].get(w, 0) for w in words], np.int64)})
-            for c in counts:
-                c.clear()
-            return out
-
-        for f in frames:
-            for text, part in zip(f["text"], f["part"], strict=True):
-                counts[part].update(tokens_of(text))
-                if sum(map(len, counts)) >= FLUSH:
-                    yield flush()
-        yield flush()
-
-    return docs.select("text", "part").mapInPandas(run, "word string, main long, held long").groupBy("word").agg(F.sum("main").alias("main"), F.sum("held").alias("held"))
-
-
 def hashes(words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64).view(np.int64)
 
@@ -74,36 +54,6 @@ def spelled(word: str, order: int) -> list[str]:
     return [s[max(0, i - order + 1) : i + 1] for i in range(1, len(s))]
 
 
-def gram_table(words: DataFrame, order: int, slot_bits: int) -> pd.DataFrame:
-    """(gram, main, held): letter n-grams of full order, shorter at a word's start; at most 2^slot_bits rows."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        main, held = Counter(), Counter()
-
-        def flush() -> pd.DataFrame:
-            grams = list(main.keys() | held.keys())
-            slot = np.array([xxhash.xxh3_64_intdigest(g) & (1 << slot_bits) - 1 for g in grams], np.int64)
-            out = pd.DataFrame({"slot": slot, "gram": pd.Series(grams, dtype=object), "main": np.array([main[g] for g in grams], np.int64), "held": np.array([held[g] for g in grams], np.int64)})
-            main.clear()
-            held.clear()
-            return out
-
-        for f in frames:
-            for word, m, h in zip(f["word"], f["main"].tolist(), f["held"].tolist(), strict=True):
-                for g in spelled(word, order):
-                    if m:
-                        main[g] += m
-                    if h:
-                        held[g] += h
-            if len(main) + len(held) >= FLUSH:
-                yield flush()
-        yield flush()
-
-    known = words.where("main + held > 0").select("word", "main", "held")
-    rows = known.mapInPandas(run, "slot long, gram string, main long, held long")
-    return rows.groupBy("slot").agg(F.min("gram").alias("gram"), F.sum("main").alias("main"), F.sum("held").alias("held")).drop("slot").toPandas()
-
-
 def levels_of(grams: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For n = 1 to order: n-grams (sorted) and their counts, from counts of full ones."""
     size = np.array([len(g) for g in grams])
@@ -196,99 +146,163 @@ class Spelling:
         return total
 
 
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ b >> np.uint64(31)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ x >> np.uint64(32)
+
+
+def keyed(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the n-grams that end at each token (a row for each of the orders 1 to 3; 62 bits of hash, then the order), and the
+    tokens of each text. Before a text stand two start marks."""
+    seen: dict[bytes, int] = {}
+    ids = [np.array([seen.setdefault(w, len(seen)) for w in tokens_of(t)], np.int64) for t in texts]
+    size = np.array([len(i) for i in ids], np.int64)
+    w = hashes(list(seen)).view(np.uint64)[np.concatenate(ids)]
+    first = np.cumsum(size) - size
+    before = np.concatenate(([START], w[:-1]))
+    before[first] = START
+    two = mixed(before, w)
+    context = np.concatenate(([START], two[:-1]))
+    context[first] = mixed(np.array([START]), np.array([START]))[0]
+    mask = ~np.uint64(3)
+    return np.stack([w & mask | np.uint64(1), two & mask | np.uint64(2), mixed(context, w) & mask | np.uint64(3)]).view(np.int64), size
+
+
+def counted(texts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys (sorted), their counts in these texts' main and held-out parts, each token's places among them, and text sizes."""
+    keys, size = keyed(texts["text"])
+    unique, at = np.unique(keys, return_inverse=True)
+    at = at.reshape(keys.shape)
+    part = np.repeat(texts["part"].to_numpy(), size)
+    main, held = (np.bincount(at[:, part == p].ravel(), minlength=len(unique)) for p in (2, 1))
+    return unique, main, held, at, size
+
+
+def corpus_counts(texts: pd.DataFrame, answer: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, token) counts in the whole corpus, main and held out, text sizes, and the places of texts' first tokens. A key that isn't
+    answered occurs in this batch alone."""
+    unique, main, held, at, size = counted(texts)
+    i = np.searchsorted(unique, answer["h"].to_numpy(np.int64))
+    main[i], held[i] = answer["main"].to_numpy(np.int64), answer["held"].to_numpy(np.int64)
+    return main[at], held[at], size, np.cumsum(size) - size
+
+
 class Model:
-    """share: of a known word's own estimate against its spelling; new: of tokens that training hasn't seen."""
-
-    def __init__(self, spelling: Spelling, share: float, new: float, tokens: int, words: int):
-        self.spelling, self.share, self.new, self.tokens, self.words = spelling, share, new, tokens, words
-
-    def word(self, word: str, count: int) -> float:
-        """log10 probability of a token that training has seen count times."""
-        if not count:
-            return math.log10(self.new)
-        spelling = 10.0 ** max(self.spelling.word(word), -300.0)
-        return math.log10((1 - self.new) * (self.share * count / self.tokens + (1 - self.share) * spelling))
-
-
-def fit(words: DataFrame, order: int = ORDER, slot_bits: int = SLOT_BITS) -> Model:
-    """words: (word, main, held) of the whole corpus."""
-    main_n, held_n, known = words.agg(F.coalesce(F.sum("main"), F.lit(0)), F.coalesce(F.sum("held"), F.lit(0)), F.count_if(F.col("main") + F.col("held") > 0)).first()
-    table = gram_table(words, order, slot_bits).sort_values("gram")
-    grams, main, held = table["gram"].to_numpy(object), table["main"].to_numpy(), table["held"].to_numpy()
-    letters = len({g[-1] for g in grams})
-    first = Spelling(levels_of(grams, main, order), letters, held=levels_of(grams, held, order))
-    final = Spelling(levels_of(grams, main + held, order), letters, weights=first.weights)
-    share, new = 0.5, 0.5 / (main_n + held_n + 1)
-    if main_n and held_n:
-        unseen = words.where("main = 0").agg(F.sum("held")).first()[0] or 0
-        new = (unseen + 0.5) / (held_n + 1)
-        shared = words.sparkSession.sparkContext.broadcast(first)
-
-        def ratios(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                low = np.array([shared.value.word(w) for w in f["word"]])
-                step = np.round(100 * (np.log10(f["main"].to_numpy() / main_n) - low)).clip(-30_000, 30_000)
-                yield pd.DataFrame({"step": step.astype(np.int64), "n": f["held"].to_numpy()}).groupby("step", as_index=False).sum()
-
-        # a row for each hundredth of a decade: a bounded table
-        steps = words.where("held > 0 and main > 0").select("word", "main", "held").mapInPandas(ratios, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).toPandas()
-        share = weight_by_em(10.0 ** (steps["step"].to_numpy(float) / 100), steps["n"].to_numpy(float))
-    return Model(final, share, new, int(main_n + held_n), int(known))
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, slot_bits: int = SLOT_BITS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """tokens, words, texts: counts of training; new: share of tokens that it hasn't seen; shares: for orders 2 and 3, of the own
+    estimate, by context-frequency bucket (a power of two); share: of order 1."""
+
+    def __init__(self, tokens: int, words: int, texts: int, new: float, share: float, shares: list[np.ndarray]):
+        self.tokens, self.words, self.texts, self.new, self.share, self.shares = tokens, words, texts, new, share, shares
+
+    def contexts(self, count: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of every token, for orders 2 and 3: the context's count and bucket. count: (order, token)."""
+        x = np.empty((2, count.shape[1]), np.int64)
+        x[:, 1:] = count[:2, :-1]
+        x[:, first] = self.texts
+        return x, np.minimum(np.log2(np.maximum(x, 1)).astype(int), BUCKETS - 1)
+
+    def probabilities(self, count: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Of every token, with as many orders as there are shares for."""
+        known = (1 - self.new) * (self.share * count[0] / max(self.tokens, 1) + (1 - self.share) / max(self.words, 1))
+        p = np.where(count[0] > 0, known, self.new)
+        x, bucket = self.contexts(count, first)
+        for i, shares in enumerate(self.shares):
+            share = np.where(x[i] > 0, shares[bucket[i]], 0.0)
+            p = share * count[i + 1] / np.maximum(x[i], 1) + (1 - share) * p
+        return p
+
+
+def step_of(ratio: np.ndarray) -> np.ndarray:
+    """Hundredths of a decade: EM's events are summed by them, so what reaches the driver is bounded."""
+    return np.round(100 * np.log10(np.maximum(ratio, 1e-300))).astype(np.int64)
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     mod = F.coalesce(crc_mod(id_col, 7), F.lit(0))
     src = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.when(mod == 2, 0).when(mod == 3, 1).otherwise(2).alias("part"))
-    folder = f"{shared_dir(spark)}/words-{uuid.uuid4().hex}"
-    word_counts(src).write.parquet(folder)
-    words = spark.read.parquet(folder)
-    model = fit(words, order, slot_bits)
-    shared = spark.sparkContext.broadcast(model)
-
-    def probabilities(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for f in frames:
-            yield pd.DataFrame({"word": f["word"], "c": f["c"], "p": np.array([m.word(w, c) for w, c in zip(f["word"], f["c"].tolist(), strict=True)], np.float64)})
-
-    known = words.select("word", (F.col("main") + F.col("held")).alias("c")).mapInPandas(probabilities, "word string, c long, p double")
-    total = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total, main_texts, held_texts = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(F.col("part") == 2), F.count_if(F.col("part") == 1)).first()
     n = max(1, -(-total // batch_bytes))
-    batches = src.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).drop("part").repartition(max(n, parts(spark)), "batch")
-
-    def asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each different word of a batch, once (rows of a batch come one after another)."""
-        now, seen = None, set()
-
-        def rows() -> pd.DataFrame:
-            words_ = list(seen)
-            return pd.DataFrame({"batch": np.full(len(words_), -1 if now is None else now, np.int32), "h": hashes(words_), "word": pd.Series([w.decode("utf-8", "replace") for w in words_], dtype=object)})
-
-        for f in frames:
-            for batch, text in zip(f["batch"].tolist(), f["text"], strict=True):
-                if batch != now:
-                    yield rows()
-                    now, seen = batch, set()
-                seen.update(tokens_of(text))
-        yield rows()
-
-    requests = batches.sortWithinPartitions("batch").select("batch", "text").mapInPandas(asked, "batch int, h long, word string")
-    answers = requests.join(known, "word").select("batch", "h", "c", F.col("p").cast("float").alias("p"))
-    base = math.log10(model.tokens + model.words + 1)
-
-    def told(texts: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
-        answer = answer.sort_values("h")
-        h, c, p = answer["h"].to_numpy(), answer["c"].to_numpy(), answer["p"].to_numpy(np.float64)
-        seen: dict[bytes, int] = {}
-        ids = [np.array([seen.setdefault(w, len(seen)) for w in tokens_of(t)]) for t in texts["text"]]
-        at = np.searchsorted(h, hashes(list(seen)))
-        c, p = c[at], p[at]
-        plain = np.log10(c + 1.0) - base
-        out = [(d, len(i), int((c[i] > 0).sum()), float(plain[i].sum()), float(p[i].sum())) for d, i in zip(texts["doc_id"], ids, strict=True)]
-        return pd.DataFrame(out, columns=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    scored = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(told, "doc_id string, n_tokens long, n_known long, base_score double, score double")
+    # held-out texts have batches of their own, the first ones
+    held_n = -(-n // 7)
+    hashed = F.xxhash64("doc_id", "text")
+    batch = F.when(F.col("part") == 1, F.pmod(hashed, F.lit(held_n))).otherwise(F.pmod(hashed, F.lit(n)) + held_n).cast("int")
+    batches = src.withColumn("batch", batch).repartition(max(n, parts(spark)), "batch")
+
+    def gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each different n-gram of a batch, once, with its counts there."""
+        for f in grouped(frames, ["batch"]):
+            for b, g in f.groupby("batch", sort=False):
+                unique, main, held, *_ = counted(g)
+                for lo in range(0, len(unique), SLICE):
+                    at = slice(lo, lo + SLICE)
+                    yield pd.DataFrame({"h": unique[at], "batch": np.full(len(unique[at]), b, np.int32), "main": main[at].astype(np.int32), "held": held[at].astype(np.int32)})
+
+    def met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The corpus counts of n-grams that several batches have; in batch -1 sums over words, in -2 held-out tokens by step of the main count."""
+        sums, steps = np.zeros(5, np.int64), Counter()
+        for f in grouped(frames, ["h"]):
+            h = f["h"].to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            size = np.diff(np.append(starts, len(h)))
+            main, held = (np.add.reduceat(f[c].to_numpy(np.int64), starts) for c in ("main", "held"))
+            word = h[starts] & 3 == 1
+            m, d = main[word], held[word]
+            sums += [m.sum(), d.sum(), (m > 0).sum(), (m + d > 0).sum(), d[m == 0].sum()]
+            both = (m > 0) & (d > 0)
+            for k, c in zip(step_of(m[both]).tolist(), d[both].tolist(), strict=True):
+                steps[k] += c
+            several = np.repeat(size > 1, size)
+            yield pd.DataFrame({"batch": f["batch"].to_numpy()[several], "h": h[several], "main": np.repeat(main, size)[several], "held": np.repeat(held, size)[several]})
+        yield pd.DataFrame({"batch": np.full(5, -1, np.int32), "h": np.arange(5), "main": sums, "held": 0})
+        yield pd.DataFrame({"batch": np.full(len(steps), -2, np.int32), "h": np.array(list(steps), np.int64), "main": np.array(list(steps.values()), np.int64), "held": 0})
+
+    folder = f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}"
+    rows = batches.sortWithinPartitions("batch").select("batch", "text", "part").mapInPandas(gathered, "h long, batch int, main int, held int")
+    rows.repartition(parts(spark), "h").sortWithinPartitions("h").mapInPandas(met, "batch int, h long, main long, held long").write.parquet(folder)
+    counts = spark.read.parquet(folder)
+    told = counts.where("batch < 0").groupBy("batch", "h").agg(F.sum("main").alias("n")).collect()
+    main_n, held_tokens, main_words, words, unseen = (next((r.n for r in told if (r.batch, r.h) == (-1, i)), 0) for i in range(5))
+    share, new = 0.5, 0.5 / (main_n + held_tokens + 1)
+    if main_n and held_tokens:
+        new = (unseen + 0.5) / (held_tokens + 1)
+        steps = [(r.h, r.n) for r in told if r.batch == -2]
+        share = weight_by_em(np.array([10.0 ** (k / 100) * main_words / main_n for k, _ in steps]), np.array([c for _, c in steps], float))
+    model = Model(main_n, main_words, main_texts, new, share, [])
+    held = batches.where(F.col("batch") < held_n)
+    asked = counts.where((F.col("batch") >= 0) & (F.col("batch") < held_n))
+    for order in (2, 3):  # each is learned over the orders below
+
+        def events(texts: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
+            """Held-out tokens with a known context: by its bucket and the step of the order's estimate over that of the orders below."""
+            if not len(texts):
+                return pd.DataFrame({"bucket": [], "step": [], "n": []}, dtype="int64")
+            main, _, _, first = corpus_counts(texts, answer)
+            below = model.probabilities(main, first)
+            x, bucket = (v[order - 2] for v in model.contexts(main, first))
+            some = x > 0
+            found = pd.DataFrame({"bucket": bucket[some], "step": step_of(main[order - 1][some] / x[some] / below[some])})
+            return found.groupby(["bucket", "step"]).size().rename("n").reset_index()
+
+        got = held.groupBy("batch").cogroup(asked.groupBy("batch")).applyInPandas(events, "bucket long, step long, n long").groupBy("bucket", "step").agg(F.sum("n").alias("n")).toPandas()
+        ratio, count, where = 10.0 ** (got["step"].to_numpy(float) / 100), got["n"].to_numpy(float), got["bucket"].to_numpy(int)
+        out = np.full(BUCKETS, weight_by_em(ratio, count))
+        for b in np.unique(where):
+            out[b] = weight_by_em(ratio[where == b], count[where == b])
+        model.shares = [*model.shares, out]
+    final = Model(main_n + held_tokens, words, main_texts + held_texts, new, share, model.shares)
+    base = math.log10(final.tokens + final.words + 1)
+
+    def scores(texts: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
+        main, held, size, first = corpus_counts(texts, answer)
+        count = main + held
+        p = np.log10(final.probabilities(count, first))
+        plain = np.log10(count[0] + 1.0) - base
+        return pd.DataFrame({"doc_id": texts["doc_id"].to_numpy(object), "n_tokens": size, "n_known": np.add.reduceat((count[0] > 0).astype(np.int64), first), "base_score": np.add.reduceat(plain, first), "score": np.add.reduceat(p, first)})
+
+    scored = batches.groupBy("batch").cogroup(counts.where("batch >= 0").groupBy("batch")).applyInPandas(scores, "doc_id string, n_tokens long, n_known long, base_score double, score double")
     doc_id = F.col("doc_id").cast("long")
     held_out = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
-    return scored.select(doc_id.alias("doc_id"), held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select(doc_id.alias("doc_id"), held_out.alias("held_out"), "n_tokens", "n_known", F.lit(final.tokens).cast("long").alias("train_tokens"), "base_score", "score")
