@@ -3,10 +3,12 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from tidebars.llm import order_minhash as O
 from tidebars.llm import simhash as S
+from tidebars.llm.components import components
 
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -134,3 +136,10 @@ def test_edits_take_the_next_document(docs_of):
     assert len(one) == 1 and one[0].near_edited < 1 and one[0].near_next == 1
     assert O.edit_sensitivity(docs_of([])).count() == 0
     assert O.edit_sensitivity(docs_of([(1, "a" * 40), (1, "b" * 40), (1, "b" * 40)])).count() == 3
+
+
+def test_components_raise_when_rounds_run_out(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "src long, dst long")
+    assert {r.root for r in components(path).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(path, rounds=1)

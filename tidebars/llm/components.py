@@ -14,7 +14,7 @@ from tidebars.llm.common import cut
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 60) -> DataFrame:
     """(node, root): the smallest reachable node of every node that has an edge. Self-loops and repeated edges are harmless;
-    nodes without an edge do not appear; null ends are dropped."""
+    nodes without an edge do not appear; null ends are dropped. Raises if `rounds` don't settle it."""
     e = edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).where("a is not null and b is not null and a <> b").distinct()
     e = cut(e)
     seen = None
@@ -29,5 +29,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+    else:
+        raise RuntimeError(f"components not settled after {rounds} rounds")
     roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
