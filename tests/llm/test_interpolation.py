@@ -35,32 +35,6 @@ def test_base_counts_and_better_scores(docs_of):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
-def test_spellings_sum_to_one():
-    rng = random.Random(2)
-    words = Counter("".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))) for _ in range(200))
-    grams = Counter(g for w, c in words.items() for g in I.spelled(w, 3) for _ in range(c))
-    held = Counter(g for w in ["ab", "cab", "d"] for g in I.spelled(w, 3))
-    names = np.array(sorted({*grams, *held}), object)
-    level = lambda c: I.levels_of(names, np.array([c[g] for g in names]), 3)
-    m = I.Spelling(level(grams), 4, held=level(held))
-    for context in ("^", "^a", "ab", "ba", "zz", "^z"):
-        total = 0.0
-        for ch in ["a", "b", "c", "$", "d"]:  # letters seen at all are three and the end; one stands for the unseen
-            s, lo, p = context + ch, max(0, len(context) - 2), 0.0
-            while True:
-                got = m.log.get(s[lo:])
-                if got is not None:
-                    p += got
-                    break
-                p += m.left.get(s[lo:-1], 0.0)
-                if lo == len(s) - 1:
-                    p += m.uniform
-                    break
-                lo += 1
-            total += 10**p
-        assert abs(total - 1) < 1e-9, context
-
-
 def test_em_finds_the_likeliest_share():
     ratio, count = np.array([0.0, 0.5, 4.0]), np.array([3.0, 5.0, 9.0])
     best = max(np.linspace(0.001, 0.999, 999), key=lambda s: (count * np.log(s * ratio + 1 - s)).sum())
@@ -72,8 +46,7 @@ def test_empty_table(docs_of):
     assert I.score(docs_of([None, ""])).count() == 2
 
 
-def test_scores_are_those_of_plain_trigrams_and_order_counts(docs_of, monkeypatch):
-    monkeypatch.setattr(I, "SLICE", 100)
+def test_scores_are_those_of_plain_trigrams_and_order_counts(docs_of):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(30)]
     follow = {w: rng.sample(words, 3) for w in words}

@@ -7,14 +7,13 @@ held-out tokens. The weights of bigrams and trigrams depend on how often the con
 weights are learned by expectation-maximisation on counts held out from the estimates: those of training documents with
 crc32 mod 7 = 3. The final estimates then use all training documents.
 
-Gathering: texts are dealt to batches; a batch counts its n-grams and sends each different one once, with its counts, to where all
-batches' counts of it meet; so a hot n-gram has one row a batch. The sums go back to each batch that has the n-gram, unless that is
-the only one. No table is cut and none goes through the driver: it gets sums by bucket and by hundredth of a decade only.
-N-grams are known by 62 bits of hash.
+Gathering: texts are dealt out once (see deals). Each chunk sends its different n-grams with their counts, packed, to where all
+chunks' counts of them meet; the sums go back to each chunk that has the n-gram, unless it is the only one. No table is cut
+and none goes through the driver: it gets sums by bucket and by hundredth of a decade only. Words are known by 64 bits of hash,
+longer n-grams by 24 bits more than would number all tokens.
 
-`Spelling` (letter n-grams) isn't used for the scores.
-
-Null texts are empty: one end token. A null doc_id is in no held-out part and is trained on. Every row gives one row.
+Null and empty texts are one end token; a long text is a chunk of its own. A null doc_id is in no held-out part and is trained on.
+Equal rows count as often as they occur. Other columns of docs are ignored. Every row gives one row.
 """
 
 from __future__ import annotations
@@ -22,47 +21,29 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.llm.common import crc_mod, parts, shared_dir, words_of
+from tidebars.llm.common import UPPER_TO_LOWER, crc_mod, parts, shared_dir
+from tidebars.llm.deals import CHUNK_BYTES, answered, bucket_bits, cuts_of, packed, packed_keys, ranked, rows_of, unpacked, unpacked_keys, written
 from tidebars.llm.line_dedup import grouped
 
-ORDER = 5
 END = "\n"
-SLICE = 200_000
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = CHUNK_BYTES
 BUCKETS = 64
+ORDERS = (1, 2, 3)
 START = np.uint64(0x5BD1E9955BD1E995)
-
-
-def tokens_of(text: str | None) -> list[bytes]:
-    return [*words_of(text), END.encode()]
-
-
-def hashes(words: list[bytes]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64).view(np.int64)
-
-
-def spelled(word: str, order: int) -> list[str]:
-    s = f"^{word}$"
-    return [s[max(0, i - order + 1) : i + 1] for i in range(1, len(s))]
-
-
-def levels_of(grams: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For n = 1 to order: n-grams (sorted) and their counts, from counts of full ones."""
-    size = np.array([len(g) for g in grams])
-    out = []
-    for n in range(1, order + 1):
-        some = (size >= n) & (counts > 0)
-        names, at = np.unique(np.array([g[-n:] for g in grams[some]], object).astype(str), return_inverse=True) if some.any() else (np.zeros(0, "U1"), np.zeros(0, int))
-        out.append((names, np.bincount(at, counts[some].astype(float), len(names))))
-    return out
+#: Hashes of words: a random number for each byte value, times powers of a factor by place in the word.
+OF_BYTE = np.random.default_rng(5).integers(0, 2**63, 256, np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
+FACTOR = 0x9E3779B97F4A7C15
+SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+LAST = 0xFF  # no byte of UTF-8: the end of a text
+BLOCK = 1 << 19
 
 
 def weight_by_em(ratio: np.ndarray, count: np.ndarray, rounds: int = 60) -> float:
@@ -79,113 +60,97 @@ def weight_by_em(ratio: np.ndarray, count: np.ndarray, rounds: int = 60) -> floa
     return min(max(share, 1e-4), 1 - 1e-4)
 
 
-class Spelling:
-    """Interpolated letter n-grams: log10 of each known one's probability, and of what a known context leaves to the lower order."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], letters: int, weights: list[np.ndarray] | None = None, held: list[tuple[np.ndarray, np.ndarray]] | None = None):
-        """weights: by order, a share for each context-frequency bucket; learned from held if not given."""
-        self.order = len(levels)
-        self.weights = [] if weights is None else weights
-        self.log: dict[str, float] = {}
-        self.left: dict[str, float] = {}
-        uniform = 1 / (letters + 1)
-        low: dict[str, float] = {}
-        for n, (names, counts) in enumerate(levels, 1):
-            context = np.array([g[:-1] for g in names.tolist()], object).astype(str) if len(names) else np.zeros(0, "U1")
-            unique, at = np.unique(context, return_inverse=True)
-            sums = np.bincount(at, counts, len(unique)) if len(names) else np.zeros(0)
-            bucket = np.minimum(np.log2(np.maximum(sums, 1)).astype(int), BUCKETS - 1)
-            estimate = counts / sums[at] if len(names) else counts
-            below = np.array([low.get(g[1:], uniform) for g in names.tolist()]) if n > 1 else np.full(len(names), uniform)
-            if weights is None:
-                self.weights.append(self.learn(held[n - 1], names, estimate, below, unique, bucket))
-            share = self.weights[n - 1][bucket]
-            prob = share[at] * estimate + (1 - share[at]) * below if len(names) else estimate
-            self.left |= dict(zip(unique.tolist(), np.log10(1 - share).tolist(), strict=True))
-            self.log |= dict(zip(names.tolist(), np.log10(prob).tolist(), strict=True))
-            low = dict(zip(names.tolist(), prob.tolist(), strict=True))
-        self.uniform = math.log10(uniform)
-
-    def learn(self, held: tuple[np.ndarray, np.ndarray], names: np.ndarray, estimate: np.ndarray, below: np.ndarray, unique: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """EM by bucket on the held-out n-grams whose context is known."""
-        grams, count = held
-        own = dict(zip(names.tolist(), range(len(names)), strict=True))
-        context = dict(zip(unique.tolist(), bucket.tolist(), strict=True))
-        ratio, weight, where = [], [], []
-        for g, c in zip(grams.tolist(), count.tolist(), strict=True):
-            b = context.get(g[:-1])
-            if b is None:
-                continue
-            i = own.get(g)
-            ratio.append(0.0 if i is None else estimate[i] / below[i])
-            weight.append(c)
-            where.append(b)
-        ratio, weight, where = np.array(ratio), np.array(weight), np.array(where, int)
-        every = weight_by_em(ratio, weight) if len(ratio) else 0.5
-        out = np.full(BUCKETS, every)
-        for b in np.unique(where):
-            out[b] = weight_by_em(ratio[where == b], weight[where == b])
-        return out
-
-    def word(self, word: str) -> float:
-        """log10 probability of the spelling."""
-        log, left, total = self.log, self.left, 0.0
-        s = f"^{word}$"
-        for i in range(1, len(s)):
-            lo = max(0, i - self.order + 1)
-            while True:
-                p = log.get(s[lo : i + 1])
-                if p is not None:
-                    total += p
-                    break
-                total += left.get(s[lo:i], 0.0)
-                if lo == i:
-                    total += self.uniform
-                    break
-                lo += 1
-        return total
-
-
-def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ b >> np.uint64(31)) * np.uint64(0xC2B2AE3D27D4EB4F)
+def finished(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ x >> np.uint64(32)
 
 
-def keyed(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the n-grams that end at each token (a row for each of the orders 1 to 3; 62 bits of hash, then the order), and the
-    tokens of each text. Before a text stand two start marks."""
-    seen: dict[bytes, int] = {}
-    ids = [np.array([seen.setdefault(w, len(seen)) for w in tokens_of(t)], np.int64) for t in texts]
-    size = np.array([len(i) for i in ids], np.int64)
-    w = hashes(list(seen)).view(np.uint64)[np.concatenate(ids)]
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return finished(a * np.uint64(0x9E3779B97F4A7C15) + (b ^ b >> np.uint64(31)) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def powers(n: int) -> np.ndarray:
+    out = np.full(n, FACTOR, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each token, and the number of tokens of each text."""
+    found, size = [], []
+    blocks, held = [[]], 0
+    for t in texts:
+        if held > BLOCK:
+            blocks, held = [*blocks, []], 0
+        blocks[-1].append(t)
+        held += len(t)
+    for block in blocks:
+        raw = b"".join([t.encode("utf-8", "surrogatepass") + b"\xff" for t in block])
+        data = np.frombuffer(raw.translate(UPPER_TO_LOWER), np.uint8)
+        if not len(data):
+            continue
+        last, space = data == LAST, SPACES[data]
+        begins = ~space
+        begins[1:] &= space[:-1] | last[:-1] | last[1:]
+        first = np.flatnonzero(begins)
+        place = np.arange(len(data)) - first[np.maximum(np.cumsum(begins) - 1, 0)]
+        place[space] = 0
+        value = OF_BYTE[data] * powers(int(place.max()) + 1)[place]
+        value[space] = 0
+        found.append(finished(np.add.reduceat(value, first)))
+        ends = np.flatnonzero(last[first]) + 1
+        size.append(np.diff(ends, prepend=0))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(found), np.concatenate(size)) if found else (none.view(np.uint64), none)
+
+
+def keyed(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Keys of the n-grams that end at each token, for the orders 1 to 3, and the tokens of each text. Before a text stand two start
+    marks."""
+    w, size = token_hashes(texts)
     first = np.cumsum(size) - size
     before = np.concatenate(([START], w[:-1]))
     before[first] = START
     two = mixed(before, w)
     context = np.concatenate(([START], two[:-1]))
     context[first] = mixed(np.array([START]), np.array([START]))[0]
-    mask = ~np.uint64(3)
-    return np.stack([w & mask | np.uint64(1), two & mask | np.uint64(2), mixed(context, w) & mask | np.uint64(3)]).view(np.int64), size
-
-
-def counted(texts: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Different keys (sorted), their counts in these texts' main and held-out parts, each token's places among them, and text sizes."""
-    keys, size = keyed(texts["text"])
-    unique, at = np.unique(keys, return_inverse=True)
-    at = at.reshape(keys.shape)
-    part = np.repeat(texts["part"].to_numpy(), size)
-    main, held = (np.bincount(at[:, part == p].ravel(), minlength=len(unique)) for p in (2, 1))
-    return unique, main, held, at, size
-
-
-def corpus_counts(texts: pd.DataFrame, answer: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(order, token) counts in the whole corpus, main and held out, text sizes, and the places of texts' first tokens. A key that isn't
-    answered occurs in this batch alone."""
-    unique, main, held, at, size = counted(texts)
-    i = np.searchsorted(unique, answer["h"].to_numpy(np.int64))
-    main[i], held[i] = answer["main"].to_numpy(np.int64), answer["held"].to_numpy(np.int64)
-    return main[at], held[at], size, np.cumsum(size) - size
+    return [w, two, mixed(context, w)], size
+
+
+class Chunk:
+    """Of each order: the different keys (`keys`), their counts here (`here`) and each token's place among them (`at`); size: tokens of
+    each text; main, held: counts in the corpus, those of this chunk until answer() adds to them. shift: bits that longer n-grams'
+    keys leave out."""
+
+    def __init__(self, rows: pa.Table, kind: int, shift: int):
+        self.rows = rows
+        keys, self.size = keyed(rows.column("text").to_pylist())
+        self.first = np.cumsum(self.size) - self.size
+        counts = np.repeat(rows.column("part").to_numpy() != 0, self.size)
+        self.keys, self.at, here = [], [], []
+        for order, key in zip(ORDERS, keys, strict=True):
+            unique, _, at = ranked(key if order == 1 else key >> np.uint64(shift) << np.uint64(shift))
+            self.keys.append(unique)
+            self.at.append(at)
+            here.append(np.bincount(at[counts], minlength=len(unique)))
+        none = [np.zeros_like(x) for x in here]
+        self.here = here
+        self.main, self.held = (none, here) if kind else (here, none)
+
+    def answer(self, told: list[dict], bits: int) -> Chunk:
+        main, held = ([x.copy() for x in y] for y in (self.main, self.held))
+        cuts = [cuts_of(k, bits) for k in self.keys]
+        for x in told:
+            order, bucket = x["p"] & 3, x["p"] >> 2
+            a, b = cuts[order - 1][bucket : bucket + 2]
+            some = np.flatnonzero(np.unpackbits(np.frombuffer(x["several"], np.uint8), count=int(b - a))) + a
+            main[order - 1][some], held[order - 1][some] = unpacked(x["main"]), unpacked(x["held"])
+        self.main, self.held = main, held
+        return self
+
+    def counts(self, held: bool = False) -> np.ndarray:
+        """(order, token); with held, those of both parts."""
+        return np.stack([(m + h if held else m)[at] for m, h, at in zip(self.main, self.held, self.at, strict=True)])
 
 
 class Model:
@@ -218,91 +183,116 @@ def step_of(ratio: np.ndarray) -> np.ndarray:
     return np.round(100 * np.log10(np.maximum(ratio, 1e-300))).astype(np.int64)
 
 
+def counted_rows(steps: Counter) -> pd.DataFrame:
+    made = pd.DataFrame(list(steps), columns=["bucket", "step"], dtype="int64")
+    return made.assign(n=np.array(list(steps.values()), np.int64))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. batch_bytes: of a chunk's texts."""
     spark = docs.sparkSession
     mod = F.coalesce(crc_mod(id_col, 7), F.lit(0))
-    src = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.when(mod == 2, 0).when(mod == 3, 1).otherwise(2).alias("part"))
-    total, main_texts, held_texts = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(F.col("part") == 2), F.count_if(F.col("part") == 1)).first()
-    n = max(1, -(-total // batch_bytes))
-    # held-out texts have batches of their own, the first ones
-    held_n = -(-n // 7)
-    hashed = F.xxhash64("doc_id", "text")
-    batch = F.when(F.col("part") == 1, F.pmod(hashed, F.lit(held_n))).otherwise(F.pmod(hashed, F.lit(n)) + held_n).cast("int")
-    batches = src.withColumn("batch", batch).repartition(max(n, parts(spark)), "batch")
+    src = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.when(mod == 2, 0).when(mod == 3, 1).otherwise(2).alias("part"))
+    total, main_texts, held_texts = src.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)), F.count_if(F.col("part") == 2), F.count_if(F.col("part") == 1)).first()
+    deals = written(src.withColumn("kind", (F.col("part") == 1).cast("int")), "kind", batch_bytes, 4 * batch_bytes)
+    bits = bucket_bits(2 * parts(spark))
+    shift = max(0, 64 - 24 - int(total).bit_length())
 
     def gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Each different n-gram of a batch, once, with its counts there."""
-        for f in grouped(frames, ["batch"]):
-            for b, g in f.groupby("batch", sort=False):
-                unique, main, held, *_ = counted(g)
-                for lo in range(0, len(unique), SLICE):
-                    at = slice(lo, lo + SLICE)
-                    yield pd.DataFrame({"h": unique[at], "batch": np.full(len(unique[at]), b, np.int32), "main": main[at].astype(np.int32), "held": held[at].astype(np.int32)})
+        """Each different n-gram of a chunk, once, with its count there; p is bucket and order."""
+        for f in frames:
+            for deal, kind, blobs in zip(f["deal"], f["kind"], f["chunks"], strict=True):
+                for c, blob in enumerate(blobs):
+                    chunk = Chunk(rows_of(blob), kind, shift)
+                    for order in ORDERS:
+                        keys, here = chunk.keys[order - 1], chunk.here[order - 1]
+                        cuts = cuts_of(keys, bits)
+                        made = [(b << 2 | order, deal, c, kind, packed_keys(keys[x:y]), packed(here[x:y])) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
+                        yield pd.DataFrame(made, columns=["p", "deal", "c", "kind", "keys", "n"])
 
     def met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The corpus counts of n-grams that several batches have; in batch -1 sums over words, in -2 held-out tokens by step of the main count."""
+        """For each chunk's entries of a bucket: which of them other chunks have too, and these ones' counts in the corpus. In deal -1 sums
+        over words, in -2 held-out tokens by step of the main count."""
         sums, steps = np.zeros(5, np.int64), Counter()
-        for f in grouped(frames, ["h"]):
-            h = f["h"].to_numpy()
-            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            size = np.diff(np.append(starts, len(h)))
-            main, held = (np.add.reduceat(f[c].to_numpy(np.int64), starts) for c in ("main", "held"))
-            word = h[starts] & 3 == 1
-            m, d = main[word], held[word]
-            sums += [m.sum(), d.sum(), (m > 0).sum(), (m + d > 0).sum(), d[m == 0].sum()]
-            both = (m > 0) & (d > 0)
-            for k, c in zip(step_of(m[both]).tolist(), d[both].tolist(), strict=True):
-                steps[k] += c
-            several = np.repeat(size > 1, size)
-            yield pd.DataFrame({"batch": f["batch"].to_numpy()[several], "h": h[several], "main": np.repeat(main, size)[several], "held": np.repeat(held, size)[several]})
-        yield pd.DataFrame({"batch": np.full(5, -1, np.int32), "h": np.arange(5), "main": sums, "held": 0})
-        yield pd.DataFrame({"batch": np.full(len(steps), -2, np.int32), "h": np.array(list(steps), np.int64), "main": np.array(list(steps.values()), np.int64), "held": 0})
+        for f in grouped(frames, ["p"]):
+            for p, g in f.groupby("p", sort=False):
+                lists = [unpacked_keys(x) for x in g["keys"]]
+                size = np.array([len(x) for x in lists])
+                n = np.concatenate([unpacked(x) for x in g["n"]]).astype(np.int64)
+                keys, entries, at = ranked(np.concatenate(lists))
+                held_row = np.repeat(g["kind"].to_numpy() == 1, size)
+                main, held = (np.bincount(at[x], n[x], len(keys)).astype(np.int64) for x in (~held_row, held_row))
+                if p & 3 == 1:
+                    sums += [main.sum(), held.sum(), (main > 0).sum(), (main + held > 0).sum(), held[main == 0].sum()]
+                    both = (main > 0) & (held > 0)
+                    for k, c in zip(step_of(main[both]).tolist(), held[both].tolist(), strict=True):
+                        steps[k] += c
+                several, made = entries > 1, []
+                for mine, deal, c in zip(np.split(at, np.cumsum(size)[:-1]), g["deal"], g["c"], strict=True):
+                    shared = several[mine]
+                    if shared.any():
+                        made.append((deal, c, p, np.packbits(shared).tobytes(), packed(main[mine[shared]]), packed(held[mine[shared]]), 0))
+                yield pd.DataFrame(made, columns=["deal", "c", "p", "several", "main", "held", "sum"])
+        told = [(-1, 0, i, b"", b"", b"", x) for i, x in enumerate(sums.tolist())] + [(-2, 0, k, b"", b"", b"", c) for k, c in steps.items()]
+        yield pd.DataFrame(told, columns=["deal", "c", "p", "several", "main", "held", "sum"])
 
     folder = f"{shared_dir(spark)}/ngrams-{uuid.uuid4().hex}"
-    rows = batches.sortWithinPartitions("batch").select("batch", "text", "part").mapInPandas(gathered, "h long, batch int, main int, held int")
-    rows.repartition(parts(spark), "h").sortWithinPartitions("h").mapInPandas(met, "batch int, h long, main long, held long").write.parquet(folder)
+    rows = deals.mapInPandas(gathered, "p int, deal long, c int, kind int, keys binary, n binary")
+    rows = rows.repartition(parts(spark), "p").sortWithinPartitions("p").mapInPandas(met, "deal long, c int, p int, several binary, main binary, held binary, sum long")
+    rows.write.option("compression", "uncompressed").parquet(folder)
     counts = spark.read.parquet(folder)
-    told = counts.where("batch < 0").groupBy("batch", "h").agg(F.sum("main").alias("n")).collect()
-    main_n, held_tokens, main_words, words, unseen = (next((r.n for r in told if (r.batch, r.h) == (-1, i)), 0) for i in range(5))
+    told = counts.where("deal < 0").groupBy("deal", "p").agg(F.sum("sum").alias("n")).collect()
+    main_n, held_tokens, main_words, words, unseen = (next((r.n for r in told if (r.deal, r.p) == (-1, i)), 0) for i in range(5))
     share, new = 0.5, 0.5 / (main_n + held_tokens + 1)
     if main_n and held_tokens:
         new = (unseen + 0.5) / (held_tokens + 1)
-        steps = [(r.h, r.n) for r in told if r.batch == -2]
+        steps = [(r.p, r.n) for r in told if r.deal == -2]
         share = weight_by_em(np.array([10.0 ** (k / 100) * main_words / main_n for k, _ in steps]), np.array([c for _, c in steps], float))
     model = Model(main_n, main_words, main_texts, new, share, [])
-    held = batches.where(F.col("batch") < held_n)
-    asked = counts.where((F.col("batch") >= 0) & (F.col("batch") < held_n))
+    complete = answered(deals, counts.where("deal >= 0").select("deal", "c", "p", "several", "main", "held"))
+
+    def chunks_of(batch: pa.RecordBatch) -> Iterator[Chunk]:
+        for i in range(batch.num_rows):
+            side = batch.column("side")[i].as_py() or []
+            kind = batch.column("kind")[i].as_py()
+            for c, blob in enumerate(batch.column("chunks")[i]):
+                yield Chunk(rows_of(blob.as_buffer()), kind, shift).answer([x for x in side if x["c"] == c], bits)
+
     for order in (2, 3):  # each is learned over the orders below
 
-        def events(texts: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
+        def events(batches: Iterator[pa.RecordBatch], order=order, model=model) -> Iterator[pa.RecordBatch]:
             """Held-out tokens with a known context: by its bucket and the step of the order's estimate over that of the orders below."""
-            if not len(texts):
-                return pd.DataFrame({"bucket": [], "step": [], "n": []}, dtype="int64")
-            main, _, _, first = corpus_counts(texts, answer)
-            below = model.probabilities(main, first)
-            x, bucket = (v[order - 2] for v in model.contexts(main, first))
-            some = x > 0
-            found = pd.DataFrame({"bucket": bucket[some], "step": step_of(main[order - 1][some] / x[some] / below[some])})
-            return found.groupby(["bucket", "step"]).size().rename("n").reset_index()
-
-        got = held.groupBy("batch").cogroup(asked.groupBy("batch")).applyInPandas(events, "bucket long, step long, n long").groupBy("bucket", "step").agg(F.sum("n").alias("n")).toPandas()
+            steps = Counter()
+            for batch in batches:
+                for chunk in chunks_of(batch):
+                    main = chunk.counts()
+                    below = model.probabilities(main, chunk.first)
+                    x, bucket = (v[order - 2] for v in model.contexts(main, chunk.first))
+                    some = x > 0
+                    pairs = np.stack((bucket[some], step_of(main[order - 1][some] / x[some] / below[some])))
+                    found, n = np.unique(pairs, axis=1, return_counts=True)
+                    for b, s, k in zip(*found.tolist(), n.tolist(), strict=True):
+                        steps[b, s] += k
+            yield pa.RecordBatch.from_pandas(counted_rows(steps), preserve_index=False)
+
+        got = complete.where("kind = 1").mapInArrow(events, "bucket long, step long, n long").groupBy("bucket", "step").agg(F.sum("n").alias("n")).toPandas()
         ratio, count, where = 10.0 ** (got["step"].to_numpy(float) / 100), got["n"].to_numpy(float), got["bucket"].to_numpy(int)
         out = np.full(BUCKETS, weight_by_em(ratio, count))
         for b in np.unique(where):
             out[b] = weight_by_em(ratio[where == b], count[where == b])
-        model.shares = [*model.shares, out]
+        model = Model(main_n, main_words, main_texts, new, share, [*model.shares, out])
     final = Model(main_n + held_tokens, words, main_texts + held_texts, new, share, model.shares)
     base = math.log10(final.tokens + final.words + 1)
 
-    def scores(texts: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
-        main, held, size, first = corpus_counts(texts, answer)
-        count = main + held
-        p = np.log10(final.probabilities(count, first))
-        plain = np.log10(count[0] + 1.0) - base
-        return pd.DataFrame({"doc_id": texts["doc_id"].to_numpy(object), "n_tokens": size, "n_known": np.add.reduceat((count[0] > 0).astype(np.int64), first), "base_score": np.add.reduceat(plain, first), "score": np.add.reduceat(p, first)})
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks_of(batch):
+                count, first = chunk.counts(held=True), chunk.first
+                p = np.log10(final.probabilities(count, first))
+                plain = np.log10(count[0] + 1.0) - base
+                sums = [np.add.reduceat(x, first) for x in ((count[0] > 0).astype(np.int64), plain, p)]
+                yield pa.RecordBatch.from_arrays([chunk.rows.column("doc_id").combine_chunks(), pa.array(chunk.size, pa.int64()), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    scored = batches.groupBy("batch").cogroup(counts.where("batch >= 0").groupBy("batch")).applyInPandas(scores, "doc_id string, n_tokens long, n_known long, base_score double, score double")
-    doc_id = F.col("doc_id").cast("long")
+    scored = complete.mapInArrow(scores, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     held_out = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
-    return scored.select(doc_id.alias("doc_id"), held_out.alias("held_out"), "n_tokens", "n_known", F.lit(final.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(final.tokens).cast("long").alias("train_tokens"), "base_score", "score")
