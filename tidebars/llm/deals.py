@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tidebars.llm.common import parts, shared_dir
 
-CHUNK_BYTES, DEAL_BYTES = 6 << 20, 24 << 20
+CHUNK_BYTES, DEAL_BYTES = 4 << 20, 24 << 20
 
 
 def to_blob(pieces: list[pa.RecordBatch]) -> bytes:
@@ -139,7 +139,7 @@ def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
-    at = np.empty(len(keys), np.int64)
-    at[order] = np.cumsum(new) - 1
+    at = np.empty(len(keys), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
     starts = np.flatnonzero(new)
     return keys[starts], np.diff(np.append(starts, len(keys))), at

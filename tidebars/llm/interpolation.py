@@ -10,7 +10,7 @@ crc32 mod 7 = 3. The final estimates then use all training documents.
 Gathering: texts are dealt out once (see deals). Each chunk sends its different n-grams with their counts, packed, to where all
 chunks' counts of them meet; the sums go back to each chunk that has the n-gram, unless it is the only one. No table is cut
 and none goes through the driver: it gets sums by bucket and by hundredth of a decade only. Words are known by 64 bits of hash,
-longer n-grams by 24 bits more than would number all tokens.
+longer n-grams by 20 bits more than would number all bytes.
 
 Null and empty texts are one end token; a long text is a chunk of its own. A null doc_id is in no held-out part and is trained on.
 Equal rows count as often as they occur. Other columns of docs are ignored. Every row gives one row.
@@ -194,9 +194,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     mod = F.coalesce(crc_mod(id_col, 7), F.lit(0))
     src = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.when(mod == 2, 0).when(mod == 3, 1).otherwise(2).alias("part"))
     total, main_texts, held_texts = src.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)), F.count_if(F.col("part") == 2), F.count_if(F.col("part") == 1)).first()
-    deals = written(src.withColumn("kind", (F.col("part") == 1).cast("int")), "kind", batch_bytes, 4 * batch_bytes)
+    deals = written(src.withColumn("kind", (F.col("part") == 1).cast("int")), "kind", batch_bytes, 6 * batch_bytes)
     bits = bucket_bits(2 * parts(spark))
-    shift = max(0, 64 - 24 - int(total).bit_length())
+    shift = max(0, 64 - 20 - int(total).bit_length())
 
     def gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each different n-gram of a chunk, once, with its count there; p is bucket and order."""

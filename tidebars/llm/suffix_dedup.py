@@ -2,32 +2,39 @@
 
 A byte is removed if a string of `window` bytes over it also starts in a document with a smaller doc_id. Suffixes only matter to
 a depth of `window` bytes, so the corpus needn't be one collection: every window has one anchor, the k-mer in it of least hash
-(the rightmost of equals), and windows with equal bytes have equal anchors. Anchors that occur in one document only can't
-repeat and go no further. Around each of the others a fragment (all windows of that anchor) is dealt by the anchor, and each
-dealt part is a collection of short documents whose suffix order is built as in external multi-document construction: one
-round for each column adds a symbol to every document at once, re-reading the transform so far in sequence (one stable pass by
-symbol moves each suffix to its place and leaves room for the new ones); neighbours' common prefixes of `window` bytes close the
-classes of equal windows, and each class has its least document.
-
-Sizes: only anchors (about 2 in window - k + 2 bytes), the fragments of repeated ones, and each text once are shuffled. A hot
-passage doesn't gather in a task: rows come sorted by fragment and document, and all but the first of equal fragments are
-settled as they stream by; only different fragments of an anchor are held. Long texts are cut into blocks that overlap.
-
-Null texts are empty. A null doc_id counts as larger than any other. Rows with the same doc_id don't repeat each other.
+(the rightmost of equals), and windows with equal bytes have equal anchors. Of equal texts only the first goes on, since the
+others repeat it whole. Anchors that occur in one text only can't repeat and go no further. Around each of the others a fragment
+(all windows of that anchor) is dealt by the anchor, and each dealt part is a collection of short documents whose suffix order is
+built as in external multi-document construction: one round for each column adds a symbol to every document at once, re-reading
+the transform so far in sequence (one stable pass by symbol moves each suffix to its place and leaves room for the new ones);
+neighbours' common prefixes of `window` bytes close the classes of equal windows, and each class has its least document.
+
+Sizes: each text is written once, packed (see deals), and read there by each pass; anchors (about 2 in window - k + 2 bytes) are asked
+about once a chunk, by 8 hash bits more than would number all bytes (a chance meeting only sends a fragment in vain), and
+answered by a bit each; only the fragments of repeated ones are shuffled. A hot passage doesn't gather in a task: rows come
+sorted by fragment and document, and all but the first of equal fragments are settled as they stream by; only different
+fragments of an anchor are held. Long texts are searched in blocks that overlap.
+
+Null texts are empty. A null doc_id counts as larger than any other. Rows with the same doc_id don't repeat each other. Other
+columns of docs are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.llm.common import parts
+from tidebars.llm.common import cut, parts
+from tidebars.llm.deals import answered, bucket_bits, cuts_of, packed_keys, ranked, rows_of, unpacked_keys, written
+from tidebars.llm.line_dedup import grouped
 
 WINDOW, K = 50, 16
 BLOCK = 1 << 20
@@ -66,7 +73,7 @@ def anchors(data: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndar
         if len(part) < window:
             continue
         g = kmer_hashes(part, k)
-        bits = np.uint64(int(n).bit_length())
+        bits = np.uint64(21)  # the same in every block, so that equal windows have equal anchors
         low = (g >> bits << bits) | np.arange(n - 1, -1, -1, dtype=np.uint64)
         span = 1
         while span * 2 <= reach:
@@ -120,106 +127,122 @@ def least_documents(fragments: list[bytes], least: np.ndarray, window: int) -> n
     return out
 
 
-def anchor_rows(docs: DataFrame, window: int, k: int) -> DataFrame:
-    """(anchor, doc, meta): meta packs the anchor's place, its distance from the first window and the number of windows less 1."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found, ids, metas = [], [], []
-            for doc, text in zip(f["doc"], f["text"], strict=True):
-                h, at, lo, hi = anchors(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), window, k)
-                found.append(h)
-                ids.append(np.full(len(h), doc, np.int64))
-                metas.append(at << 12 | at - lo << 6 | hi - lo)
-            if found:
-                yield pd.DataFrame({"anchor": np.concatenate(found).view(np.int64), "doc": np.concatenate(ids), "meta": np.concatenate(metas)})
-
-    return docs.mapInPandas(run, "anchor long, doc long, meta long")
-
-
-def repeated(rows: DataFrame) -> DataFrame:
-    """(doc, meta) of the anchors that occur in more than one document. Streams: of each anchor only its least document's rows are
-    held, until another one comes."""
-    n = parts(rows.sparkSession)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held_key, held_doc, held, open_ = None, None, [], False
-        for f in frames:
-            a, d, m = (f[c].to_numpy() for c in ("anchor", "doc", "meta"))
-            if not len(a):
-                continue
-            docs_, metas = [], []
-            # what continues the last frame's anchor
-            if held_key is not None:
-                stop = int(np.searchsorted(a != held_key, True)) if a[-1] != held_key else len(a)
-                other = np.flatnonzero(d[:stop] != held_doc)
-                if len(other) and not open_:
-                    open_ = True
-                    for m0 in held:
-                        docs_.append(np.full(len(m0), held_doc, np.int64))
-                        metas.append(m0)
-                    held = []
-                if open_:
-                    docs_.append(d[:stop])
-                    metas.append(m[:stop])
-                elif stop:
-                    held.append(m[:stop])
-                a, d, m = a[stop:], d[stop:], m[stop:]
-            if len(a):
-                start = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
-                size = np.diff(np.append(start, len(a)))
-                more = d[start] != d[start + size - 1]  # sorted by document
-                last = int(start[-1])
-                pick = np.repeat(more, size)
-                held_key, held_doc, open_, held = a[last], d[last], bool(more[-1]), [] if more[-1] else [m[last:]]
-                docs_.append(d[pick])
-                metas.append(m[pick])
-            if docs_:
-                yield pd.DataFrame({"doc": np.concatenate(docs_), "meta": np.concatenate(metas)})
-
-    return rows.repartition(n, "anchor").sortWithinPartitions("anchor", "doc").mapInPandas(run, "doc long, meta long")
-
-
-def fragment_rows(docs: DataFrame, metas: DataFrame, window: int, k: int) -> DataFrame:
-    """(anchor, fragment, doc, tag, start)."""
-
-    def table(held: list[tuple]) -> pd.DataFrame:
-        size = [len(x[1]) for x in held]
-        of = lambda i, kind: np.repeat(np.array([x[i] for x in held], kind), size)
-        pieces = [p for x in held for p in x[1]]
-        return pd.DataFrame({"anchor": np.concatenate([x[0] for x in held]), "fragment": pieces, "doc": of(2, np.int64), "tag": of(3, np.int32), "start": np.concatenate([x[4] for x in held])})
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, count = [], 0
-        for f in frames:
-            for doc, text, meta in zip(f["doc"], f["text"], f["metas"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                meta = np.unique(np.asarray(meta, np.int64))
-                at, lo, more = meta >> 12, (meta >> 12) - (meta >> 6 & 63), meta & 63
-                good = at + k <= len(raw)  # of rows with the same doc_id, another text's
-                at, lo, more = at[good], lo[good], more[good]
-                if not len(at):
-                    continue
-                data = np.frombuffer(raw, np.uint8)
-                kmers = np.lib.stride_tricks.sliding_window_view(data, k)[at]
-                h = kmer_hashes(np.concatenate((kmers.reshape(-1), np.zeros(k, np.uint8))), k)[: len(at) * k : k]
-                pieces = [raw[s : s + m + window] for s, m in zip(lo.tolist(), more.tolist(), strict=True)]
-                held.append((h.view(np.int64), pieces, doc, zlib.crc32(raw) & 0x7FFFFFFF, lo.astype(np.int32)))
-                count += len(pieces)
-                if count >= BATCH:
-                    yield table(held)
-                    held, count = [], 0
-        if held:
-            yield table(held)
-
-    joined = docs.join(metas.groupBy("doc").agg(F.collect_list("meta").alias("metas")), "doc")
-    return joined.select("doc", "text", "metas").mapInPandas(run, "anchor long, fragment binary, doc long, tag int, start int")
+def texts_at(blob: bytes, places: list[int]) -> tuple[list[bytes], list[int]]:
+    """Of a chunk, the texts at these places, and their documents."""
+    rows = rows_of(blob).take(pa.array(places, pa.int64()))
+    return [t.encode("utf-8", "surrogatepass") for t in rows.column("text").to_pylist()], rows.column("doc").to_pylist()
+
+
+def sides(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, pa.StructArray]]:
+    """Each chunk of the deals in a batch, with what is said of its deal."""
+    for i in range(batch.num_rows):
+        side = batch.column("side").slice(i, 1).flatten()
+        if len(side):
+            for c, blob in enumerate(batch.column("chunks")[i]):
+                yield batch.column("deal")[i].as_py(), c, blob.as_buffer(), side
+
+
+def of_chunk(side: pa.StructArray, c: int) -> pa.StructArray:
+    return side.filter(pc.equal(side.field("c"), c))
+
+
+def marks_of(deals: DataFrame) -> DataFrame:
+    """(deal, c, i, doc, h1, h2): every text by deal, chunk and place there, with 128 bits of its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for c, blob in enumerate(batch.column("chunks")[i]):
+                    rows = rows_of(blob.as_buffer())
+                    h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in rows.column("text").to_pylist()]), np.int64).reshape(-1, 2)
+                    n = len(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column("deal")[i].as_py())), pa.array(np.full(n, c, np.int32)), pa.array(np.arange(n, dtype=np.int32)), rows.column("doc").combine_chunks(), pa.array(h[:, 0]), pa.array(h[:, 1])], ["deal", "c", "i", "doc", "h1", "h2"])
+
+    return deals.mapInArrow(run, "deal long, c int, i int, doc long, h1 long, h2 long")
+
+
+def repeated(asked: DataFrame, window: int, k: int, bits: int, shift: int) -> DataFrame:
+    """(deal, c, p, several): of each chunk's different anchors in bucket p, in order, which occur in more than one text."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for deal, c, blob, side in sides(batch):
+                texts, _ = texts_at(blob, of_chunk(side, c).field("i").to_pylist())
+                each = [np.unique(anchors(np.frombuffer(t, np.uint8), window, k)[0]) for t in texts]
+                keys, n, _ = ranked(shortened(each, shift))
+                cuts = cuts_of(keys, bits)
+                made = [(p, deal, c, packed_keys(keys[a:b]), np.packbits(n[a:b] > 1).tobytes()) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+                yield pa.RecordBatch.from_pandas(pd.DataFrame(made, columns=["p", "deal", "c", "keys", "several"]), schema=ASKED, preserve_index=False)
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in grouped(frames, ["p"]):
+            made = []
+            for p, g in f.groupby("p", sort=False):
+                lists = [unpacked_keys(x) for x in g["keys"]]
+                size = [len(x) for x in lists]
+                _, n, at = ranked(np.concatenate(lists))
+                more = n > 1
+                more[at[np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=m) for x, m in zip(g["several"], size, strict=True)]) > 0]] = True
+                for deal, c, x in zip(g["deal"], g["c"], np.split(more[at], np.cumsum(size)[:-1]), strict=True):
+                    made.append((deal, c, p, np.packbits(x).tobytes()))
+            yield pd.DataFrame(made, columns=["deal", "c", "p", "several"])
+
+    rows = asked.mapInArrow(ask, "p int, deal long, c int, keys binary, several binary")
+    return rows.repartition(parts(asked.sparkSession), "p").sortWithinPartitions("p").mapInPandas(meet, "deal long, c int, p int, several binary")
+
+
+ASKED = pa.schema([("p", pa.int32()), ("deal", pa.int64()), ("c", pa.int32()), ("keys", pa.binary()), ("several", pa.binary())])
+FRAGMENTS = pa.schema([("anchor", pa.int64()), ("fragment", pa.binary()), ("doc", pa.int64()), ("deal", pa.int64()), ("ci", pa.int64()), ("start", pa.int32())])
+
+
+def shortened(each: list[np.ndarray], shift: int) -> np.ndarray:
+    every = np.concatenate(each) if each else np.zeros(0, np.uint64)
+    return every >> np.uint64(shift) << np.uint64(shift)
+
+
+def fragment_rows(asked: DataFrame, window: int, k: int, bits: int, shift: int) -> DataFrame:
+    """(anchor, fragment, doc, deal, ci, start) around the anchors that more than one text has; ci packs chunk and place there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for deal, c, blob, side in sides(batch):
+                mine = of_chunk(side, c)
+                places = mine.field("i").drop_null().to_pylist()
+                told = mine.filter(pc.is_valid(mine.field("p")))
+                texts, docs = texts_at(blob, places)
+                found = [anchors(np.frombuffer(t, np.uint8), window, k) for t in texts]
+                keys, _, at = ranked(shortened([x[0] for x in found], shift))
+                more, cuts = np.zeros(len(keys), bool), cuts_of(keys, bits)
+                for p, several in zip(told.field("p").to_pylist(), told.field("several").to_pylist(), strict=True):
+                    a, b = cuts[p : p + 2]
+                    more[a:b] = np.unpackbits(np.frombuffer(several, np.uint8), count=int(b - a)) > 0
+                pick = np.split(more[at], np.cumsum([len(x[0]) for x in found])[:-1]) if found else []
+                held, count = [], 0
+                for raw, doc, i, (h, _, lo, hi), some in zip(texts, docs, places, found, pick, strict=True):
+                    h, lo, hi = h[some], lo[some], hi[some]
+                    if len(h):
+                        held.append((h.view(np.int64), [raw[a : b + window] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], doc, c << 32 | i, lo.astype(np.int32)))
+                        count += len(h)
+                    if count >= BATCH:
+                        yield fragment_batch(held, deal)
+                        held, count = [], 0
+                if held:
+                    yield fragment_batch(held, deal)
+
+    return asked.mapInArrow(run, "anchor long, fragment binary, doc long, deal long, ci long, start int")
+
+
+def fragment_batch(held: list[tuple], deal: int) -> pa.RecordBatch:
+    size = [len(x[1]) for x in held]
+    of = lambda i: pa.array(np.repeat(np.array([x[i] for x in held], np.int64), size))
+    columns = [pa.array(np.concatenate([x[0] for x in held])), pa.array([p for x in held for p in x[1]], pa.binary()), of(2), pa.array(np.full(sum(size), deal, np.int64)), of(3), pa.array(np.concatenate([x[4] for x in held]))]
+    return pa.RecordBatch.from_arrays(columns, schema=FRAGMENTS)
 
 
 def removed_intervals(fragments: DataFrame, window: int) -> DataFrame:
-    """(doc, tag, start, size): runs of bytes that repeat a smaller document's."""
+    """(deal, ci, start, size): runs of bytes that repeat a smaller document's."""
     n = parts(fragments.sparkSession)
-    columns = ["doc", "tag", "start", "size"]
+    columns = ["deal", "ci", "start", "size"]
 
     def settle(f: pd.DataFrame) -> pd.DataFrame:
         """The first rows of different fragments."""
@@ -231,7 +254,7 @@ def removed_intervals(fragments: DataFrame, window: int) -> DataFrame:
         edge = np.diff(np.concatenate((pad, cut, pad), axis=1).astype(np.int8), axis=1)
         row, first = np.nonzero(edge == 1)
         _, past = np.nonzero(edge == -1)
-        return pd.DataFrame({"doc": docs[row], "tag": f["tag"].to_numpy()[row], "start": f["start"].to_numpy()[row] + first.astype(np.int32), "size": (past - first + window - 1).astype(np.int32)})
+        return pd.DataFrame({"deal": f["deal"].to_numpy()[row], "ci": f["ci"].to_numpy()[row], "start": f["start"].to_numpy()[row] + first.astype(np.int32), "size": (past - first + window - 1).astype(np.int32)})
 
     def several(f: pd.DataFrame) -> pd.DataFrame:
         """Rows of whole anchors with different fragments in more than one document; others have nothing left to repeat."""
@@ -273,7 +296,7 @@ def removed_intervals(fragments: DataFrame, window: int) -> DataFrame:
             again = ~new & (doc > least)
             if again.any():
                 size = np.fromiter(map(len, piece[again]), np.int32)
-                yield pd.DataFrame({"doc": doc[again], "tag": f["tag"].to_numpy()[again], "start": f["start"].to_numpy()[again], "size": size})
+                yield pd.DataFrame({"deal": f["deal"].to_numpy()[again], "ci": f["ci"].to_numpy()[again], "start": f["start"].to_numpy()[again], "size": size})
             keep = f[~again]  # first rows, and rows of the same least document
             if len(keep):
                 held.append(keep)
@@ -292,49 +315,61 @@ def removed_intervals(fragments: DataFrame, window: int) -> DataFrame:
         if count:
             ready.append(several(pd.concat(held, ignore_index=True)))
         yield from settled(ready)
-        yield pd.DataFrame([], columns=columns).astype({"doc": "int64", "tag": "int32", "start": "int32", "size": "int32"})
+        yield pd.DataFrame([], columns=columns).astype({"deal": "int64", "ci": "int64", "start": "int32", "size": "int32"})
 
     dealt = fragments.repartition(n, "anchor").sortWithinPartitions("anchor", "fragment", "doc")
-    return dealt.mapInPandas(run, "doc long, tag int, start int, size int")
+    return dealt.mapInPandas(run, "deal long, ci long, start int, size int")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, keep_text: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (start and end of each span, bytes); with
     keep_text, the remaining bytes as kept."""
-    n = parts(docs.sparkSession)
-    bare = docs.select(F.coalesce(F.col(id_col), F.lit(LAST)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    dealt = bare.repartition(n, "doc")  # each text travels once: both joins reuse this exchange
-    metas = repeated(anchor_rows(bare, window, k))
-    cuts = removed_intervals(fragment_rows(dealt, metas, window, k), window)
-    packed = cuts.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "size")).alias("cuts"))
-    joined = dealt.join(packed, "doc", "left")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for doc, text, tags, starts, sizes in zip(f["doc"], f["text"], f["tags"], f["starts"], f["sizes"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                spans: list[list[int]] = []
-                if tags is not None and len(tags):
-                    mine = np.asarray(tags) == zlib.crc32(raw) & 0x7FFFFFFF
-                    s = np.asarray(starts, np.int64)[mine]
-                    e = s + np.asarray(sizes, np.int64)[mine]
-                    if len(s):
-                        order = np.argsort(s, kind="stable")
-                        s, reach = s[order], np.maximum.accumulate(e[order])
-                        new = np.concatenate(([True], s[1:] > reach[:-1]))
-                        at = np.flatnonzero(new)
-                        spans = np.stack((s[at], reach[np.append(at[1:], len(s)) - 1]), axis=1).tolist()
-                kept, at = [], 0
-                for a, b in spans:
-                    kept.append(raw[at:a])
-                    at = b
-                kept = b"".join([*kept, raw[at:]])
-                row = doc, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [x for p in spans for x in p]
-                rows.append((*row, kept) if keep_text else row)
-            yield pd.DataFrame(rows, columns=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept"][: 7 if keep_text else 6])
-
-    lists = [F.col("cuts.tag").alias("tags"), F.col("cuts.start").alias("starts"), F.col("cuts.size").alias("sizes")]
-    kept = ", kept binary" if keep_text else ""
-    out = joined.select("doc", "text", *lists).mapInPandas(run, f"doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<long>{kept}")
-    return out.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), *out.columns[1:])
+    spark = docs.sparkSession
+    src = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.lit(0).alias("kind"))
+    deals = written(src, "kind")
+    total = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits, shift = bucket_bits(2 * parts(spark)), max(0, 64 - 8 - int(total).bit_length())
+    marks = cut(marks_of(deals))
+    # of equal texts only the first goes on: the others repeat it whole
+    firsts = marks.groupBy("h1", "h2").agg(F.min(F.struct("doc", "deal", "c", "i")).alias("p")).select("p.deal", "p.c", "p.i")
+    texts = cut(firsts)
+    told = repeated(answered(deals, texts), window, k, bits, shift)
+    none = [F.lit(None).cast("int").alias("p"), F.lit(None).cast("binary").alias("several")]
+    side = texts.select("deal", "c", "i", *none).unionByName(told.select("deal", "c", F.lit(None).cast("int").alias("i"), "p", "several"))
+    cuts = removed_intervals(fragment_rows(answered(deals, side), window, k, bits, shift), window)
+    place = F.shiftright("ci", 32).cast("int").alias("c"), F.col("ci").bitwiseAND(0xFFFFFFFF).cast("int").alias("i")
+    spans = texts.select("deal", "c", "i", F.lit(-1).alias("start"), F.lit(0).alias("size")).unionByName(cuts.select("deal", *place, "start", "size"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, c, blob, whole in sides(batch):
+                mine = of_chunk(whole, c)
+                i, start, size = (mine.field(x).to_numpy() for x in ("i", "start", "size"))
+                order = np.lexsort((start, i))
+                i, start, size = i[order], start[order].astype(np.int64), size[order]
+                begin = np.flatnonzero(start < 0)  # each text's own row comes first
+                texts, docs_ = texts_at(blob, i[begin].tolist())
+                rows = []
+                for raw, doc, a, b in zip(texts, docs_, begin + 1, np.append(begin[1:], len(i)), strict=True):
+                    found: list[list[int]] = []
+                    if b > a:
+                        s, reach = start[a:b], np.maximum.accumulate(start[a:b] + size[a:b])
+                        at = np.flatnonzero(np.concatenate(([True], s[1:] > reach[:-1])))
+                        found = np.stack((s[at], reach[np.append(at[1:], len(s)) - 1]), axis=1).tolist()
+                    kept, at = [], 0
+                    for x, y in found:
+                        kept.append(raw[at:x])
+                        at = y
+                    kept = b"".join([*kept, raw[at:]])
+                    h1, h2 = np.frombuffer(xxhash.xxh3_128_digest(raw), np.int64).tolist()
+                    row = h1, h2, doc, len(raw), len(raw) - len(kept), len(found), hashlib.sha256(kept).hexdigest(), [x for p in found for x in p]
+                    rows.append((*row, kept) if keep_text else row)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names)
+
+    names = ["h1", "h2", "least", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept"][: 9 if keep_text else 8]
+    kinds = [*[pa.int64()] * 6, pa.string(), pa.list_(pa.int64()), pa.binary()][: len(names)]
+    first = answered(deals, spans).mapInArrow(run, ", ".join(f"{x} {t}" for x, t in zip(names, ["long"] * 6 + ["string", "array<long>", "binary"], strict=False)))
+    joined = marks.select("doc", "h1", "h2").join(first, ["h1", "h2"])
+    again = (F.col("doc") > F.col("least")) & (F.col("n_bytes") >= window)  # a copy: every window starts in the first one
+    of_copy = {"n_removed": F.col("n_bytes"), "n_spans": F.lit(1).cast("long"), "kept_sha256": F.sha2(F.lit("").cast("binary"), 256), "removed": F.array(F.lit(0).cast("long"), F.col("n_bytes")), "kept": F.lit("").cast("binary")}
+    return joined.select(F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id"), "n_bytes", *[F.when(again, of_copy[x]).otherwise(F.col(x)).alias(x) for x in names[4:]])
