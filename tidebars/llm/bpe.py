@@ -28,7 +28,7 @@ from tidebars.llm.common import by_text
 #: White space of the vocabulary's patterns (the Unicode property), which differs from Python's \s.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-CACHE = 300_000
+CACHE = 100_000
 #: Characters whose tokens are held at once, and handed on together.
 CHUNK = 1 << 21
 

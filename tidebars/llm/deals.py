@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from tidebars.llm.common import parts, shared_dir
 
-CHUNK_BYTES, DEAL_BYTES = 4 << 20, 24 << 20
+#: For executors of 3 GB; where there is more memory, larger deals make fewer and larger files.
+CHUNK_BYTES, DEAL_BYTES = 4 << 20, 12 << 20
 
 
 def to_blob(pieces: list[pa.RecordBatch]) -> bytes:

@@ -7,7 +7,8 @@ must fit) and position (it starts where the rare word says) bound the candidates
 
 The index is broadcast in blocks of at most `block_bytes` of benchmark text, checked by an aggregate before anything is
 collected; a larger benchmark is dealt out to more blocks, and each document passes them one after another with its hits so
-far, so no block is larger than the bound and no item is left out.
+far, so no block is larger than the bound and no item is left out. An index holds its items' words once and four numbers a window:
+about 40 bytes a byte of text.
 
 Nulls and texts without words have no hits. Repeated item_ids count once; a null item_id is reported as an empty string.
 Documents with equal ids are separate rows.
@@ -41,30 +42,38 @@ def windows(words: list[bytes], size: int) -> list[tuple[bytes, ...]]:
 
 
 class Index:
-    """Windows by their rarest word."""
+    """Windows by their rarest word. Items' words are held once, and a window by its item, start and length."""
 
     def __init__(self, items: list[tuple[str, str]], size: int, freq: dict[bytes, int]):
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for item_id, text in items:
-            for w in windows(words_of(text), size):
-                owners[w].add(item_id)
-        self.by_word: dict[bytes, list[tuple[int, tuple[bytes, ...]]]] = defaultdict(list)
-        for w in owners:
-            place = min(range(len(w)), key=lambda i: (freq.get(w[i], 0), w[i], i))
-            self.by_word[w[place]].append((place, w))
-        self.by_word = dict(self.by_word)
-        self.owners = {w: tuple(sorted(ids)) for w, ids in owners.items()}
+        names = {}
+        self.items = [[names.setdefault(w, w) for w in words_of(text)] for _, text in items]
+        owners: dict[tuple[bytes, ...], list[int]] = {}  # first place, then items
+        for i, words in enumerate(self.items):
+            for start, w in enumerate(windows(words, size)):
+                owners.setdefault(w, [i, start]).append(i)
+        by_word: dict[bytes, list[int]] = defaultdict(list)
+        self.owners: list[tuple[str, ...]] = []
+        at = []
+        for w, (i, start, *whose) in owners.items():
+            place = min(range(len(w)), key=lambda k: (freq.get(w[k], 0), w[k], k))
+            by_word[w[place]] += [place, len(self.owners)]
+            self.owners.append(tuple(sorted({items[x][0] for x in whose})))
+            at.append((i, start, len(w)))
+        self.by_word = {w: np.array(x, np.int32) for w, x in by_word.items()}
+        self.at = np.array(at, np.int32).reshape(-1, 3)
 
     def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Hit intervals (start, end) and item ids."""
         n = len(words)
         spans, ids = [], set()
         index = self.by_word
-        for at in [i for i, w in enumerate(words) if w in index]:
-            for place, window in index[words[at]]:
-                start = at - place
-                end = start + len(window)
-                if start >= 0 and end <= n and tuple(words[start:end]) == window:
+        for i in [i for i, w in enumerate(words) if w in index]:
+            found = index[words[i]].tolist()
+            for place, window in zip(found[::2], found[1::2], strict=True):
+                item, first, size = self.at[window].tolist()
+                start = i - place
+                end = start + size
+                if start >= 0 and end <= n and words[start:end] == self.items[item][first : first + size]:
                     spans.append((start, end))
                     ids.update(self.owners[window])
         return spans, ids
@@ -80,14 +89,13 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks, each collected by itself."""
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[Iterator[list[tuple[str, str]]], int]:
+    """The items in blocks, each collected by itself when its turn comes, and the number of blocks."""
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
-    for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield [(r.item_id, r.text) for r in part.collect()]
+    lots = [items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) for b in range(n)]
+    return ([(r.item_id, r.text) for r in lot.collect()] for lot in lots), n
 
 
 def frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
@@ -105,7 +113,7 @@ def frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     return {bytes(r.w): r.n for r in rows}
 
 
-def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10, keep: tuple[str, ...] = (), block_bytes: int = 16 << 20) -> DataFrame:
+def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10, keep: tuple[str, ...] = (), block_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of docs: id, the columns of keep, n_words, n_hit, n_items, items_sha256, contaminated, hit_spans (word
     intervals)."""
     spark = docs.sparkSession
@@ -114,31 +122,30 @@ def contained(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in now.schema if f.name != "_text")
     bare = now
     now = now.withColumns({"_spans": F.lit(None).cast("array<int>"), "_items": F.lit(None).cast("array<string>")})
-    for items in blocks_of(benchmark, item_col, item_text, block_bytes):
+    final = f"{kept}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<int>"
+    blocks, total = blocks_of(benchmark, item_col, item_text, block_bytes)
+    for b, items in enumerate(blocks):
         vocabulary = {w for _, t in items for w in words_of(t)}
         index = spark.sparkContext.broadcast(Index(items, size, frequencies(bare, vocabulary)))
 
-        def probe(frames: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+        def probe(frames: Iterator[pd.DataFrame], index=index, last=b == total - 1) -> Iterator[pd.DataFrame]:
             for f in frames:
-                spans, ids = [], []
+                spans, ids, sizes = [], [], []
                 for text, s, i in zip(f["_text"], f["_spans"], f["_items"], strict=True):
-                    got, names = index.value.find(words_of(text))
+                    words = words_of(text)
+                    got, names = index.value.find(words)
                     old = [] if s is None else [int(x) for x in s]
                     got = merged([*got, *zip(old[::2], old[1::2], strict=True)])
                     spans.append([x for p in got for x in p])
                     ids.append(sorted({*names, *([] if i is None else i)}))
-                yield f.assign(_spans=spans, _items=ids)
+                    sizes.append(len(words))
+                yield report(f, spans, ids, sizes) if last else f.assign(_spans=spans, _items=ids)
 
-        now = now.mapInPandas(probe, f"{kept}, _text string, _spans array<int>, _items array<string>")
+        now = now.mapInPandas(probe, final if b == total - 1 else f"{kept}, _text string, _spans array<int>, _items array<string>")
+    return now.select(*back, *now.columns[len(back) :])
 
-    def report(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            n = [len(words_of(t)) for t in f["_text"]]
-            spans = [[] if s is None else np.asarray(s) for s in f["_spans"]]
-            hit = [int(sum(s[1::2]) - sum(s[::2])) for s in spans]
-            ids = [[] if i is None else list(i) for i in f["_items"]]
-            sha = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in ids]
-            yield f.drop(columns=["_text", "_spans", "_items"]).assign(n_words=n, n_hit=hit, n_items=[len(i) for i in ids], items_sha256=sha, contaminated=[h > 0 for h in hit], hit_spans=[[int(x) for x in s] for s in spans])
-
-    out = now.mapInPandas(report, f"{kept}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_spans array<int>")
-    return out.select(*back, *out.columns[len(back) :])
+
+def report(f: pd.DataFrame, spans: list[list[int]], ids: list[list[str]], sizes: list[int]) -> pd.DataFrame:
+    hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+    sha = [hashlib.sha256(",".join(i).encode()).hexdigest() for i in ids]
+    return f.drop(columns=["_text", "_spans", "_items"]).assign(n_words=sizes, n_hit=hit, n_items=[len(i) for i in ids], items_sha256=sha, contaminated=[h > 0 for h in hit], hit_spans=spans)

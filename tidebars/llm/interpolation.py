@@ -194,7 +194,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     mod = F.coalesce(crc_mod(id_col, 7), F.lit(0))
     src = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.when(mod == 2, 0).when(mod == 3, 1).otherwise(2).alias("part"))
     total, main_texts, held_texts = src.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)), F.count_if(F.col("part") == 2), F.count_if(F.col("part") == 1)).first()
-    deals = written(src.withColumn("kind", (F.col("part") == 1).cast("int")), "kind", batch_bytes, 6 * batch_bytes)
+    deals = written(src.withColumn("kind", (F.col("part") == 1).cast("int")), "kind", batch_bytes, 3 * batch_bytes)
     bits = bucket_bits(2 * parts(spark))
     shift = max(0, 64 - 20 - int(total).bit_length())
 

@@ -183,7 +183,7 @@ def keys_of(docs: DataFrame, text_col: str, max_edits: int, chars_per_edit: int)
                     seen.add(node)
                     plan = plans.get(n)
                     if plan is None:
-                        if len(plans) > 50_000:
+                        if len(plans) > 2_000:
                             plans.clear()
                         plan = plans[n] = windows(n, max_edits, chars_per_edit)
                     keys += [digest(line[s : s + size], seed) for seed, s, size, _ in plan]

@@ -12,8 +12,8 @@ neighbours' common prefixes of `window` bytes close the classes of equal windows
 Sizes: each text is written once, packed (see deals), and read there by each pass; anchors (about 2 in window - k + 2 bytes) are asked
 about once a chunk, by 8 hash bits more than would number all bytes (a chance meeting only sends a fragment in vain), and
 answered by a bit each; only the fragments of repeated ones are shuffled. A hot passage doesn't gather in a task: rows come
-sorted by fragment and document, and all but the first of equal fragments are settled as they stream by; only different
-fragments of an anchor are held. Long texts are searched in blocks that overlap.
+sorted by fragment and document, and all but the first of equal fragments are settled in their chunk, or else as they stream by;
+only different fragments of an anchor are held. Long texts are searched in blocks that overlap.
 
 Null texts are empty. A null doc_id counts as larger than any other. Rows with the same doc_id don't repeat each other. Other
 columns of docs are ignored.
@@ -192,7 +192,7 @@ def repeated(asked: DataFrame, window: int, k: int, bits: int, shift: int) -> Da
 
 
 ASKED = pa.schema([("p", pa.int32()), ("deal", pa.int64()), ("c", pa.int32()), ("keys", pa.binary()), ("several", pa.binary())])
-FRAGMENTS = pa.schema([("anchor", pa.int64()), ("fragment", pa.binary()), ("doc", pa.int64()), ("deal", pa.int64()), ("ci", pa.int64()), ("start", pa.int32())])
+FRAGMENTS = pa.schema([("anchor", pa.int64()), ("fragment", pa.binary()), ("doc", pa.int64()), ("deal", pa.int64()), ("ci", pa.int64()), ("start", pa.int32()), ("size", pa.int32())])
 
 
 def shortened(each: list[np.ndarray], shift: int) -> np.ndarray:
@@ -201,7 +201,8 @@ def shortened(each: list[np.ndarray], shift: int) -> np.ndarray:
 
 
 def fragment_rows(asked: DataFrame, window: int, k: int, bits: int, shift: int) -> DataFrame:
-    """(anchor, fragment, doc, deal, ci, start) around the anchors that more than one text has; ci packs chunk and place there."""
+    """(anchor, fragment, doc, deal, ci, start, size) around the anchors that more than one text has; ci packs chunk and place there.
+    Without a fragment: a run that is settled already, as a smaller document of the chunk has its bytes (dealt anywhere)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,11 +218,17 @@ def fragment_rows(asked: DataFrame, window: int, k: int, bits: int, shift: int)
                     a, b = cuts[p : p + 2]
                     more[a:b] = np.unpackbits(np.frombuffer(several, np.uint8), count=int(b - a)) > 0
                 pick = np.split(more[at], np.cumsum([len(x[0]) for x in found])[:-1]) if found else []
+                least: dict[bytes, int] = {}  # the least document of the chunk that has a fragment
                 held, count = [], 0
-                for raw, doc, i, (h, _, lo, hi), some in zip(texts, docs, places, found, pick, strict=True):
+                # the larger documents of a chunk settle their copies of a smaller one's fragments here
+                for j in np.lexsort((places, docs)).tolist():
+                    raw, doc, (h, _, lo, hi), some = texts[j], docs[j], found[j], pick[j]
                     h, lo, hi = h[some], lo[some], hi[some]
                     if len(h):
-                        held.append((h.view(np.int64), [raw[a : b + window] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], doc, c << 32 | i, lo.astype(np.int32)))
+                        cut_out = [raw[a : b + window] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+                        size = np.fromiter(map(len, cut_out), np.int32)
+                        pieces = [None if least.setdefault(x, doc) < doc else x for x in cut_out]
+                        held.append((h.view(np.int64), pieces, doc, c << 32 | places[j], lo.astype(np.int32), size))
                         count += len(h)
                     if count >= BATCH:
                         yield fragment_batch(held, deal)
@@ -229,13 +236,16 @@ def fragment_rows(asked: DataFrame, window: int, k: int, bits: int, shift: int)
                 if held:
                     yield fragment_batch(held, deal)
 
-    return asked.mapInArrow(run, "anchor long, fragment binary, doc long, deal long, ci long, start int")
+    return asked.mapInArrow(run, "anchor long, fragment binary, doc long, deal long, ci long, start int, size int")
 
 
 def fragment_batch(held: list[tuple], deal: int) -> pa.RecordBatch:
     size = [len(x[1]) for x in held]
     of = lambda i: pa.array(np.repeat(np.array([x[i] for x in held], np.int64), size))
-    columns = [pa.array(np.concatenate([x[0] for x in held])), pa.array([p for x in held for p in x[1]], pa.binary()), of(2), pa.array(np.full(sum(size), deal, np.int64)), of(3), pa.array(np.concatenate([x[4] for x in held]))]
+    anchor, at = np.concatenate([x[0] for x in held]), np.concatenate([x[4] for x in held])
+    pieces = pa.array([p for x in held for p in x[1]], pa.binary())
+    anchor = np.where(pieces.is_null().to_numpy(zero_copy_only=False), mix(at.astype(np.uint64) + np.uint64(deal)).view(np.int64), anchor)
+    columns = [pa.array(anchor), pieces, of(2), pa.array(np.full(len(at), deal, np.int64)), of(3), pa.array(at), pa.array(np.concatenate([x[5] for x in held]))]
     return pa.RecordBatch.from_arrays(columns, schema=FRAGMENTS)
 
 
@@ -282,6 +292,10 @@ def removed_intervals(fragments: DataFrame, window: int) -> DataFrame:
         ready: list[pd.DataFrame] = []  # those of whole anchors, too few for a collection
         count, waiting, last, last_doc = 0, 0, None, None
         for f in frames:
+            done = f["fragment"].isna()
+            if done.any():
+                yield f.loc[done, columns]
+                f = f[~done]
             if not len(f):
                 continue
             anchor, piece, doc = f["anchor"].to_numpy(), f["fragment"].to_numpy(object), f["doc"].to_numpy()

@@ -31,7 +31,7 @@ from tidebars.llm.common import crc_mod
 ORDER = 5
 PER_CLASS = 1500
 WORDS = regex.compile(r"\p{L}+")
-CACHE = 400_000
+CACHE = 60_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -189,6 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, order: i
         return texts.map(shared.value.per_word).astype("float64")
 
     held = rows.where("not counts").select(per_word("text").alias("x"), "toxic").toPandas().sort_values(["toxic", "x"])
+    shared.destroy()
     y = held["toxic"].to_numpy(float)
     if not 0 < y.mean() < 1:
         return Scorer(None, None, 0.0, share)
