@@ -95,7 +95,7 @@ def lagged(df: DataFrame) -> DataFrame:
 def more_momentum(df: DataFrame) -> DataFrame:
     c = C("close")
     df = df.withColumns({"_tp": (C("high") + C("low") + c) / 3, "_d": R.change("close"), "williams_r": -pct(R.highest("high", 14) - c, R.highest("high", 14) - R.lowest("low", 14))})
-    df = df.withColumns({"_tps": R.values("_tp", 20), "_tpm": R.mean("_tp", 20), "_up": R.total(F.greatest("_d", F.lit(0.0)), 14), "_dn": R.total(F.greatest(-C("_d"), F.lit(0.0)), 14)})
+    df = df.withColumns({"_tps": R.values("_tp", 20), "_tpm": R.mean("_tp", 20), "_up": R.total(F.when(C("_d") > 0, C("_d")).when(C("_d") <= 0, 0.0), 14), "_dn": R.total(F.when(C("_d") < 0, -C("_d")).when(C("_d") >= 0, 0.0), 14)})
     apart = F.aggregate(F.transform("_tps", lambda x: F.abs(x - C("_tpm"))), F.lit(0.0), lambda a, x: a + x) / 20
     df = df.withColumns({"cci_20": safe_div(C("_tp") - C("_tpm"), 0.015 * apart), "_cmo": pct(C("_up") - C("_dn"), C("_up") + C("_dn"))})
     return df.withColumns({

@@ -362,8 +362,8 @@ class McGinley(Machine):
             return (self.y,)
         if not self.y:
             self.y = x
-        elif abs(x / self.y) > 1e-3:
-            self.y += (x - self.y) / (self.n * (x / self.y) ** 4)
+        elif abs(r := x / self.y) > 1e-3:
+            self.y += (x - self.y) / (self.n * (r * r * r * r))
         return (self.y,)
 
 
