@@ -6,22 +6,33 @@ exchange and one sort for any number of them.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidebars.functions.nulls import safe_div, true
 
 
+@lru_cache(256)
+def framed(context: SparkContext | None, first: int | None, last: int) -> WindowSpec:
+    """A frame over a symbol's bars, or the whole order without one; specs are made once a context, since each costs calls to the JVM."""
+    if first is None:
+        return Window.partitionBy("symbol").orderBy("ts")
+    return framed(context, None, 0).rowsBetween(first, last)
+
+
 def bar() -> WindowSpec:
-    return Window.partitionBy("symbol").orderBy("ts")
+    return framed(SparkContext._active_spark_context, None, 0)
 
 
 def so_far() -> WindowSpec:
-    return bar().rowsBetween(Window.unboundedPreceding, 0)
+    return framed(SparkContext._active_spark_context, Window.unboundedPreceding, 0)
 
 
 def last_n(n: int, by: WindowSpec | None = None) -> WindowSpec:
-    return (by or bar()).rowsBetween(1 - n, 0)
+    return framed(SparkContext._active_spark_context, 1 - n, 0) if by is None else by.rowsBetween(1 - n, 0)
 
 
 def col(x: str | Column) -> Column:
@@ -110,7 +121,7 @@ def carried(x: Column) -> Column:
 
 def previous(x: Column) -> Column:
     """The last value that isn't NULL, before the current row."""
-    return F.last(x, ignorenulls=True).over(bar().rowsBetween(Window.unboundedPreceding, -1))
+    return F.last(x, ignorenulls=True).over(framed(SparkContext._active_spark_context, Window.unboundedPreceding, -1))
 
 
 def bars_since(cond: Column, index: str = "rn") -> Column:
@@ -138,12 +149,12 @@ def crosses_below(x: Column, level: float | Column) -> Column:
 
 def pivot_high(x, left: int = 2, right: int = 2) -> Column:
     """A local maximum, told when `right` later bars have confirmed it; flat tops all count."""
-    w = bar().rowsBetween(-(left + right), 0)
+    w = last_n(left + right + 1)
     v = prev(x, right)
     return F.when((F.count(col(x)).over(w) == left + right + 1) & (v == F.max(col(x)).over(w)), v)
 
 
 def pivot_low(x, left: int = 2, right: int = 2) -> Column:
-    w = bar().rowsBetween(-(left + right), 0)
+    w = last_n(left + right + 1)
     v = prev(x, right)
     return F.when((F.count(col(x)).over(w) == left + right + 1) & (v == F.min(col(x)).over(w)), v)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.operators import bar_shapes, levels, oscillators, swings, timeframes
 from tidebars.sources.bars import numbered
+from tidebars.sources.store import cut
 
-#: Columns of each family.
+#: Columns of each family: fixed values.
 FAMILIES: dict[str, list[str]] = {
     "momentum": "rsi_14 rsi_slope rsi_zone rsi_dist_from_50 macd_line macd_signal macd_hist macd_hist_slope macd_zero_cross_state macd_hist_acceleration wt1 wt2 wt_cross_signal wt_ob_os_zone stoch_k stoch_d stoch_cross_signal stoch_ob_os_zone squeeze_value squeeze_signal squeeze_release_state bars_in_squeeze roc_1bar roc_3bar roc_6bar roc_12bar rsi_wt_divergence_flag macd_rsi_alignment d2_rsi d2_macd_line d2_wt1 d2_stoch_k".split(),
     "trend": "di_plus di_minus adx di_spread adx_slope adx_trending adx_weak adx_accelerating adx_decelerating ema9_dist_pct ema21_dist_pct ema50_dist_pct ema_stack_30m ema21_dist_atr".split(),
@@ -59,36 +62,59 @@ LEAD = "purchase"
 BASE = ["symbol", "ts", "open", "high", "low", "close", "volume", "rn"]
 
 
+#: The matrix is made in these groups: each works on what the ones before left, so scans, levels and windows are computed once.
+GROUPS = (
+    ("momentum", "trend", "volatility", "lagged", "adaptive"),
+    ("coarse", "vwap", "pivots", "memory"),
+    ("volume", "calendar", "candles", "mean_reversion", "regime", "context", "divergences", "money_flow"),
+    ("more_momentum", "structure", "fractal_stats", "ichimoku", "cross_asset"),
+)
+
+
+def added(df: DataFrame, families: Iterable[str], done: set[str]) -> DataFrame:
+    """df with the families' columns and what they need; done: the steps that df has been through, which grows."""
+    for step in families:
+        if step not in done:
+            df = added(df, NEEDS.get(step, ()), done)
+            done.add(step)
+            df = STEPS[step](df)
+    return df
+
+
 def build(bars: DataFrame, families: list[str]) -> DataFrame:
-    """bars with the columns of the given families. A family whose columns are derived from what is at hand is added in place; each
-    step's helper columns (named _...) are dropped when the next family doesn't need them."""
-    done: set[str] = set()
-    df = bars
+    """bars with the columns of the given families."""
+    df = added(bars, families, set())
+    return df.select(*[c for c in BASE if c in df.columns], *[c for f in families for c in FAMILIES[f]])
+
 
-    def add(step: str) -> None:
-        nonlocal df
-        if step in done:
-            return
-        for need in NEEDS.get(step, ()):
-            add(need)
-        done.add(step)
-        df = STEPS[step](df)
+#: Columns of families that later ones read.
+READ_LATER = ("macd_hist", "stoch_k", "squeeze_value", "ema21_dist_pct", "atr_percentile")
 
-    for family in families:
-        add(family)
-    wanted = [c for f in families for c in FAMILIES[f]]
-    return df.select(*[c for c in BASE if c in df.columns], *wanted)
+
+def packed(df: DataFrame, family: str, done: set[str]) -> DataFrame:
+    """df with the family's new columns in one struct, _of_<family>, and none of its helper columns: what the windows of later
+    families carry along stays narrow."""
+    df = added(df, NEEDS.get(family, ()), done)
+    before = {*df.columns, *READ_LATER}
+    df = added(df, [family], done)
+    own = [c for c in FAMILIES[family] if c not in before]
+    kept = [c for c in df.columns if c in before]
+    return df.select(*kept, F.struct(*own).alias(f"_of_{family}"))
 
 
 def matrix(bars: DataFrame, lead: bool = True) -> DataFrame:
-    """All families: 250 columns, or 243 without the lead symbol's."""
-    parts = [list(FAMILIES)[i : i + 6] for i in range(0, len(FAMILIES), 6)]
-    out = bars
-    for names in parts:
-        names = [n for n in names if lead or n != "cross_asset"]
-        part = build(numbered(bars.drop("rn")), names).drop("open", "high", "low", "close", "volume", "rn")
-        out = out.join(part, ["symbol", "ts"], "left")
-    return out
+    """All families: 250 columns, or 243 without the lead symbol's. Lineage is cut between groups: plans stay small, and each group
+    reads the rows of the one before, which keep their order by symbol and time."""
+    done: set[str] = set()
+    df = numbered(bars.drop("rn"))
+    for i, names in enumerate(GROUPS):
+        df = cut(df) if i else df
+        for family in names:
+            if lead or family != "cross_asset":
+                df = packed(df, family, done)
+    flat = {*df.columns}
+    made = [F.col(c) if c in flat else F.col(f"_of_{f}")[c].alias(c) for f, names in FAMILIES.items() if lead or f != "cross_asset" for c in names]
+    return df.select("symbol", "ts", *BASE[2:7], *made)
 
 
 def catalog() -> list[tuple[str, str, str]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +45,15 @@ def high_water(df: DataFrame) -> DataFrame:
 
 def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a checkpoint in the session's shared folder. Without one a local session takes a folder of its own; a cluster
+    has to name one in spark.checkpoint.dir."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
