@@ -12,7 +12,7 @@ C = F.col
 LONG, SHORT, NEUTRAL, NONE, QUIET = 0, 1, 2, -1, -2
 
 
-def triple_barrier(df: DataFrame, up: float = 2.4, down: float = 2.4, bars: int = 12, least_pct: float = 0.3, quiet_pct: float = 0.0, atr: str = "atr_14") -> DataFrame:
+def triple_barrier(df: DataFrame, up: float | Column = 2.4, down: float | Column = 2.4, bars: int = 12, least_pct: float | Column = 0.3, quiet_pct: float | Column = 0.0, atr: str = "atr_14") -> DataFrame:
     """label, holding_bars, exit_price and pnl_pct: which of two prices, `up` and `down` ranges off the close, is reached first in
     the next bars; the nearer one where a bar reaches both (the lower if they're as near), and the sign of a move of at least
     least_pct where none is. -1: too few bars follow; -2: ranges are under quiet_pct of the close."""
@@ -22,10 +22,10 @@ def triple_barrier(df: DataFrame, up: float = 2.4, down: float = 2.4, bars: int
     first = lambda f: F.array_position(F.transform("_next", f), True)
     df = df.withColumns({"_iu": first(lambda x: F.coalesce(x["high"] >= C("_hi"), F.lit(False))), "_id": first(lambda x: F.coalesce(x["low"] <= C("_lo"), F.lit(False)))})
     hit_up, hit_down = C("_iu") > 0, C("_id") > 0
-    rises = hit_up & (~hit_down | (C("_iu") < C("_id")) | ((C("_iu") == C("_id")) & F.lit(down > up)))
+    rises = hit_up & (~hit_down | (C("_iu") < C("_id")) | ((C("_iu") == C("_id")) & (F.lit(down) > F.lit(up))))
     falls = hit_down & ~rises
     ret = pct(C("_end") - c, c)
-    tail, unknown, quiet = C("_left") <= bars, a.isNull() | (a <= 0), true(pct(a, c) < quiet_pct) if quiet_pct > 0 else F.lit(False)
+    tail, unknown, quiet = C("_left") <= bars, a.isNull() | (a <= 0), true((F.lit(quiet_pct) > 0) & (pct(a, c) < quiet_pct))
     out = F.when(tail, NONE).when(unknown, NEUTRAL).when(quiet, QUIET).when(rises, LONG).when(falls, SHORT).when(ret > least_pct, LONG).when(ret < -least_pct, SHORT).otherwise(NEUTRAL)
     skipped = tail | unknown | quiet
     price = F.when(~skipped, F.when(rises, C("_hi")).when(falls, C("_lo")).otherwise(C("_end")))
