@@ -14,9 +14,14 @@ C = F.col
 
 def amount_bars(ticks: DataFrame, amount: str, threshold: float, order: list[str]) -> DataFrame:
     """ticks (symbol, price, amount and order columns) as bars of about `threshold` each: a tick belongs to the bar in which the
-    amount before it falls. A window sum by symbol, then partial aggregates."""
-    before = F.coalesce(F.sum(amount).over(Window.partitionBy("symbol").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rows = ticks.withColumn("bar", F.floor(before / threshold).cast("long"))
+    amount before it falls. That is the amount of the blocks before (a block: equal first order columns; their totals are partial
+    aggregates) and a running sum inside the block, so a task sorts blocks, never all of a symbol."""
+    blocks = ticks.groupBy(C("symbol").alias("_symbol"), C(order[0]).alias("_block")).agg(F.sum(amount).alias("_total"))
+    earlier = Window.partitionBy("_symbol").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_symbol", "_block", F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)).alias("_earlier"))
+    inside = F.sum(amount).over(Window.partitionBy("symbol", order[0]).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    rows = ticks.withColumn("_inside", F.coalesce(inside, F.lit(0.0))).join(blocks, C("symbol").eqNullSafe(C("_symbol")) & C(order[0]).eqNullSafe(C("_block")))
+    rows = rows.withColumn("bar", F.floor((C("_earlier") + C("_inside")) / threshold).cast("long"))
     at = F.struct(*order)
     return rows.groupBy("symbol", "bar").agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum(amount).alias("volume"), F.count("*").alias("ticks")
@@ -41,11 +46,11 @@ class OnePosition(Machine):
         return (1.0,)
 
 
-def trades(labelled: DataFrame, signal: Column, cost_pct: float = 0.09) -> DataFrame:
+def trades(labelled: DataFrame, signal: Column, cost_pct: float = 0.09, keep: tuple[str, ...] = ()) -> DataFrame:
     """Taken signals of a frame with triple_barrier()'s columns: pnl, the move in percent after costs. signal: true to enter."""
     rows = labelled.withColumn("signal", F.coalesce(signal & C("pnl_pct").isNotNull(), F.lit(False)).cast("int"))
-    taken = scan(rows.select("symbol", "ts", "rn", "signal", "holding_bars", "pnl_pct"), [Scan(("taken",), OnePosition)])
-    return taken.where("taken = 1").select("symbol", "ts", "rn", "holding_bars", (C("pnl_pct") - cost_pct).alias("pnl"))
+    taken = scan(rows.select("symbol", "ts", "rn", "signal", "holding_bars", "pnl_pct", *keep), [Scan(("taken",), OnePosition)])
+    return taken.where("taken = 1").select("symbol", "ts", "rn", "holding_bars", (C("pnl_pct") - cost_pct).alias("pnl"), *keep)
 
 
 def measures(made: DataFrame) -> DataFrame:
