@@ -138,6 +138,22 @@ def gaps(df: DataFrame, ahead: int = 48) -> DataFrame:
     return df.withColumns({"gap_middle": (C("gap_low") + C("gap_high")) / 2, "bars_to_fill": F.when((C("gap") != 0) & (filled > 0), filled)})
 
 
+def breaks(df: DataFrame, left: int = 2, right: int = 2) -> DataFrame:
+    """Breaks of the last confirmed swing high (break_side 1) or low (-1) by the close, whether that turns the trend (turned), the
+    trend since the last break, the range of the last bar against the break before it (block_low, block_high), and sweeps: a bar
+    beyond the swing low (1) or high (-1) that closes back inside."""
+    c = C("close")
+    df = df.withColumns({"_ph": R.pivot_high("high", left, right), "_pl": R.pivot_low("low", left, right)})
+    df = df.withColumns({"_top": R.carried(C("_ph")), "_bottom": R.carried(C("_pl"))} | {f"_{k}_{x}": R.carried(F.when(cond, C(x))) for k, cond in (("fell", c < C("open")), ("rose", c > C("open"))) for x in ("low", "high")})
+    df = df.withColumn("break_side", F.when(true(R.crosses_above(c, C("_top"))), 1).when(true(R.crosses_below(c, C("_bottom"))), -1).otherwise(0))
+    side = F.when(C("break_side") != 0, C("break_side"))
+    block = lambda x: F.when(side == 1, C(f"_fell_{x}")).when(side == -1, C(f"_rose_{x}"))
+    return df.withColumns({
+        "turned": flag(R.previous(side) == -side), "trend": F.coalesce(R.carried(side), F.lit(0)), "block_low": block("low"), "block_high": block("high"),
+        "sweep": F.when(true((C("high") > C("_top")) & (c < C("_top"))), -1).when(true((C("low") < C("_bottom")) & (c > C("_bottom"))), 1).otherwise(0),
+    })
+
+
 # --- odds, sessions, signals
 
 

@@ -42,7 +42,7 @@ def trade_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kill_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(risk.kill_switches(made(spark, sf_dir), DAYS))
+    return rounded(risk.kill_switches(made(spark, sf_dir), DAYS).withColumn("day", C("day").cast("timestamp_ntz")))
 
 
 def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +127,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "position_sizes": steps(EVENT_BARS, *BANDS[:2], f"CASE WHEN tr20 > 0 THEN {REACH} * tr20 END AS stop, 1000.0 / nullif(close, 0) AS most", "100.0 / nullif(stop, 0) AS free", "CASE WHEN free IS NOT NULL THEN least(free, most) END AS size") + shown(sizes, 5, ("capped",), 5),
         "trade_health": f"{TRADES}, {HEALTH} SELECT symbol, ts, {told('hit_rate', 'net', 'change')}, hit_band, pnl_band FROM hh",
-        "kill_switches": f"{TRADES}, {HEALTH}, {KILL} SELECT symbol, day, {told('day_pnl', 'week_fall')}, slips, red_run, coalesce(week_fall > 8, false)::INT AS halt_week, (day_pnl < -4)::INT AS halt_day, (slips > 0)::INT AS halt_slip, (red_run >= 3)::INT AS halt_red FROM d2",
+        "kill_switches": f"{TRADES}, {HEALTH}, {KILL} SELECT symbol, day::TIMESTAMP AS day, {told('day_pnl', 'week_fall')}, slips, red_run, coalesce(week_fall > 8, false)::INT AS halt_week, (day_pnl < -4)::INT AS halt_day, (slips > 0)::INT AS halt_slip, (red_run >= 3)::INT AS halt_red FROM d2",
         "bootstrap_intervals": bootstrap_sql(), "missing_values": steps(EVENT_BARS, *BANDS[:2]) + f" {missing}",
     }

@@ -34,6 +34,7 @@ STUDIES: dict[str, tuple[Callable[[DataFrame], DataFrame], list[str]]] = {
     "breakout_odds": (T.breakout_odds, [f"odds_{s}_{k}" for k in range(3) for s in ("up", "down")]),
     "sessions": (T.sessions, "session session_high session_low session_mean session_vwap session_bars".split()),
     "composed": (agreed, ["signal"]),
+    "breaks": (T.breaks, "break_side turned trend block_low block_high sweep".split()),
 }
 
 
@@ -148,6 +149,22 @@ def gaps_sql() -> str:
     return head + f", b2 AS (SELECT b.*, {later} AS fill FROM b1 b)" + shown(2, {"gap": "gap", "gap_low": "lo", "gap_high": "hi", "gap_middle": "(lo + hi) / 2", "bars_to_fill": "fill"}, ("gap", "bars_to_fill"))
 
 
+def breaks_sql() -> str:
+    pivot = lambda x, agg: f"CASE WHEN count({x}) OVER {w(5)} = 5 AND {lag(x, 2)} = {agg}({x}) OVER {w(5)} THEN {lag(x, 2)} END"
+    last = lambda x: f"last_value({x} IGNORE NULLS) OVER {SO_FAR}"
+    return layers(
+        f"{pivot('high', 'max')} AS ph, {pivot('low', 'min')} AS pl, " + ", ".join(f"CASE WHEN close {op} open THEN {x} END AS {k}{x}" for k, op in (("f", "<"), ("r", ">")) for x in ("low", "high")),
+        f"{last('ph')} AS top, {last('pl')} AS bottom, " + ", ".join(f"{last(k + x)} AS l{k}{x}" for k in "fr" for x in ("low", "high")),
+        f"CASE WHEN {lag('close')} <= {lag('top')} AND close > top THEN 1 WHEN {lag('close')} >= {lag('bottom')} AND close < bottom THEN -1 ELSE 0 END AS side",
+        f"last_value(nullif(side, 0) IGNORE NULLS) OVER {BEFORE} AS before, coalesce({last('nullif(side, 0)')}, 0) AS trend",
+    ) + shown(
+        4, {
+            "break_side": "side", "turned": "coalesce(side <> 0 AND before = -side, false)", "trend": "trend", "block_low": "CASE side WHEN 1 THEN lflow WHEN -1 THEN lrlow END", "block_high": "CASE side WHEN 1 THEN lfhigh WHEN -1 THEN lrhigh END",
+            "sweep": "CASE WHEN high > top AND close < top THEN -1 WHEN low < bottom AND close > bottom THEN 1 ELSE 0 END",
+        }, ("break_side", "turned", "trend", "sweep"),
+    )
+
+
 def odds_sql() -> str:
     seen = "(PARTITION BY symbol, colour ORDER BY ts ROWS UNBOUNDED PRECEDING)"
     share = lambda cond: f"CASE WHEN colour IS NOT NULL THEN 100.0 * count(*) FILTER (WHERE {cond}) OVER {seen} / count(*) OVER {seen} END"
@@ -178,5 +195,5 @@ def composed_sql() -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "study_means": means_sql(), "study_oscillators": oscillators_sql(), "study_channels": channels_sql(), "study_patterns": patterns_sql(), "study_gaps": gaps_sql(), "study_breakout_odds": odds_sql(),
-        "study_sessions": sessions_sql(), "study_composed": composed_sql(),
+        "study_sessions": sessions_sql(), "study_composed": composed_sql(), "study_breaks": breaks_sql(),
     }
