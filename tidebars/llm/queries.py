@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidebars.llm import bpe, decontaminate, importance, interpolation, line_dedup, order_minhash, pii, secrets, simhash, sql, suffix_dedup, toxicity
+from tidebars.llm import bpe, decontaminate, importance, interpolation, licenses, line_dedup, order_minhash, pii, secrets, simhash, sql, suffix_dedup, toxicity
 from tidebars.llm.common import table
 
 
@@ -51,12 +51,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("hit_spans")
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_order_minhash, op3_pii, op4_line_dedup, op5_interpolation, op6_bpe, op7_secrets, op8_toxicity, op9_simhash, op10_decontaminate, op13_importance)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_order_minhash, op3_pii, op4_line_dedup, op5_interpolation, op6_bpe, op7_secrets, op8_toxicity, op9_simhash, op10_decontaminate, op12_licenses, op13_importance)}
 
 
 def oracle_sql() -> dict[str, str]:
