@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidebars.llm import bpe, decontaminate, importance, interpolation, licenses, line_dedup, order_minhash, pii, secrets, simhash, sql, suffix_dedup, toxicity
+from tidebars.llm import bpe, decontaminate, hard_negatives, importance, interpolation, licenses, line_dedup, order_minhash, pii, secrets, simhash, sql, suffix_dedup, toxicity
 from tidebars.llm.common import table
 
 
@@ -51,6 +52,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("hit_spans")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, shifted)
+
+
 def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -60,7 +66,7 @@ def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_order_minhash, op3_pii, op4_line_dedup, op5_interpolation, op6_bpe, op7_secrets, op8_toxicity, op9_simhash, op10_decontaminate, op12_licenses, op13_importance)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_order_minhash, op3_pii, op4_line_dedup, op5_interpolation, op6_bpe, op7_secrets, op8_toxicity, op9_simhash, op10_decontaminate, op11_hard_negatives, op12_licenses, op13_importance)}
 
 
 def oracle_sql() -> dict[str, str]:
