@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidebars.functions import rolling as R
 from tidebars.functions.nulls import safe_div, true
+from tidebars.operators.passages import passages
 
 C = F.col
 
@@ -126,16 +127,16 @@ def patterns(df: DataFrame, back: int = 5) -> DataFrame:
     return df.withColumns({k: flag(x) for k, x in found.items()})
 
 
-def gaps(df: DataFrame, ahead: int = 48) -> DataFrame:
+def gaps(df: DataFrame, **more: int) -> DataFrame:
     """Fair value gaps: between a bar and the one two before lies a price range that neither touches. gap: 1 (rising), -1 or 0;
-    its edges and middle, and the bars until a later one reaches its far edge, NULL if none of the next `ahead` does."""
-    h2, l2 = R.prev("high", 2), R.prev("low", 2)
-    df = df.withColumns({"_h2": h2, "_l2": l2, "_after": F.collect_list(F.struct("high", "low")).over(R.bar().rowsBetween(1, ahead))})
+    its edges and middle, and the bars until a later one reaches its far edge, NULL if none does yet."""
+    df = df.withColumns({"_h2": R.prev("high", 2), "_l2": R.prev("low", 2)})
     df = df.withColumn("gap", F.when(true(C("low") > C("_h2")), 1).when(true(C("high") < C("_l2")), -1).otherwise(0))
     rises, falls = C("gap") == 1, C("gap") == -1
     df = df.withColumns({"gap_low": F.when(rises, C("_h2")).when(falls, C("high")), "gap_high": F.when(rises, C("low")).when(falls, C("_l2"))})
-    filled = F.array_position(F.transform("_after", lambda x: F.when(C("gap") == 1, x["low"] <= C("gap_low")).otherwise(x["high"] >= C("gap_high"))), True)
-    return df.withColumns({"gap_middle": (C("gap_low") + C("gap_high")) / 2, "bars_to_fill": F.when((C("gap") != 0) & (filled > 0), filled)})
+    far = df.where("gap <> 0").select("symbol", C("rn").alias("after"), F.when(rises, C("gap_low")).otherwise(C("gap_high")).alias("level"), F.when(rises, F.lit("low")).otherwise(F.lit("high")).alias("value"), rises.alias("below"), F.lit(True).alias("touch"))
+    filled = passages(df, far, ("low", "high"), **more).select("symbol", C("after").alias("rn"), (C("at") - C("after")).alias("bars_to_fill"))
+    return df.join(filled, ["symbol", "rn"], "left").withColumn("gap_middle", (C("gap_low") + C("gap_high")) / 2)
 
 
 def breaks(df: DataFrame, left: int = 2, right: int = 2) -> DataFrame:

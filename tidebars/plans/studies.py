@@ -145,7 +145,7 @@ def patterns_sql() -> str:
 def gaps_sql() -> str:
     rises, falls = f"low > {lag('high', 2)}", f"high < {lag('low', 2)}"
     head = layers(f"CASE WHEN {rises} THEN 1 WHEN {falls} THEN -1 ELSE 0 END AS gap, CASE WHEN {rises} THEN {lag('high', 2)} WHEN {falls} THEN high END AS lo, CASE WHEN {rises} THEN low WHEN {falls} THEN {lag('low', 2)} END AS hi")
-    later = "(SELECT min(x.rn) - b.rn FROM b1 x WHERE x.symbol = b.symbol AND x.rn > b.rn AND x.rn <= b.rn + 48 AND CASE WHEN b.gap = 1 THEN x.low <= b.lo WHEN b.gap = -1 THEN x.high >= b.hi ELSE false END)"
+    later = "(SELECT min(x.rn) - b.rn FROM b1 x WHERE x.symbol = b.symbol AND x.rn > b.rn AND CASE WHEN b.gap = 1 THEN x.low <= b.lo WHEN b.gap = -1 THEN x.high >= b.hi ELSE false END)"
     return head + f", b2 AS (SELECT b.*, {later} AS fill FROM b1 b)" + shown(2, {"gap": "gap", "gap_low": "lo", "gap_high": "hi", "gap_middle": "(lo + hi) / 2", "bars_to_fill": "fill"}, ("gap", "bars_to_fill"))
 
 
