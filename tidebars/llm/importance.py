@@ -183,7 +183,8 @@ def noise(doc_id: Column, seed: int, per: int = 1000) -> Column:
 def ranked(df: DataFrame, eligible: Column, order: list[Column], percent: int) -> DataFrame:
     """df with rank: 1, 2, 3 ... in order for the first `percent` of a hundred of the eligible rows, else null."""
     spark = df.sparkSession
-    dealt = df.withColumn("_out", F.when(eligible, 0).otherwise(1)).repartitionByRange(parts(spark), "_out", *order).sortWithinPartitions("_out", *order)
+    placed = cut(df.withColumn("_out", F.when(eligible, 0).otherwise(1)))  # the exchange reads it twice: for its bounds, then for the rows
+    dealt = placed.repartitionByRange(parts(spark), "_out", *order).sortWithinPartitions("_out", *order)
     dealt = cut(dealt.withColumn("_at", F.monotonically_increasing_id()))  # partition << 33, then the row's place in it
     part = F.shiftright("_at", 33)
     sizes = dealt.groupBy(part.alias("p")).agg(F.count("*").alias("n"), F.count_if(F.col("_out") == 0).alias("k")).orderBy("p").collect()
