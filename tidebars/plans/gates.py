@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebars.functions import rolling as R
-from tidebars.functions.nulls import safe_div
-from tidebars.operators import gate, labels, oscillators
+from tidebars.functions.nulls import pct, safe_div
+from tidebars.operators import boosting, gate, labels, oscillators, timeframes
 from tidebars.operators import recurrence as S
 from tidebars.plans.matrix import finished
+from tidebars.plans.oracles import DOWN, FALL, RISE, SHARED_OUT, UP, atr, ewm, joined, merged, span, walk
 from tidebars.plans.sql import BARRIER_CTE, BANDS, LINE_BARS, ORDER_BARS, fold_parts, shown, steps, walk_sql
 from tidebars.sources import bars as B
 
@@ -46,6 +47,42 @@ def gate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.fold_rows(df, labels.folds(bars))
 
 
+#: The five features of the first gate: fixed names.
+FIVE = ["ema21_dist_pct", "rsi_14", "adx", "htf_ema21_pos", "volume_ratio_20"]
+WEEK = 7 * 86400
+TREES = boosting.Plan()
+
+
+def five_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold rows of daily bars of orders and lines with the five features; the coarser frame of a day is the week."""
+    bars = B.order_bars(spark, sf_dir).unionByName(B.line_bars(spark, sf_dir))
+    c = C("close")
+    week = S.scan(B.resample(bars, WEEK), [S.ema("_e21", 21)]).withColumn("htf_ema21_pos", pct(c - C("_e21"), c))
+    df = S.scan(timeframes.join_closed(bars, week, WEEK, ["htf_ema21_pos"]), [S.ema("_e21", 21), S.Scan(("rsi_14",), S.Rsi), S.Scan(("_p", "_n", "adx"), S.Adx)])
+    df = oscillators.squeeze(df).withColumns({"ema21_dist_pct": pct(c - C("_e21"), c), "volume_ratio_20": safe_div(C("volume"), R.mean("volume", 20))})
+    df = labels.triple_barrier(df, atr="_tr20", quiet_pct=0.5).select("symbol", "ts", "label", *[F.round(f, 9).alias(f) for f in FIVE])
+    return labels.fold_rows(df, labels.folds(df))
+
+
+FIRST = boosting.Plan(rounds=5)
+
+
+def boosted_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fold's validation loss after each of the first trees (0: class shares of training rows)."""
+    made = boosting.boosted(five_rows(spark, sf_dir), FIVE, plan=FIRST)
+    return rounded(made.select("symbol", "fold", "n_val", F.posexplode("losses").alias("round", "loss")).withColumn("loss", C("loss") / boosting.LOSS_UNIT / C("n_val")))
+
+
+def boosted_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five features by gain."""
+    return rounded(boosting.gain(boosting.boosted(five_rows(spark, sf_dir), FIVE, plan=TREES), FIVE))
+
+
+def boosted_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses of boosted trees in every fold."""
+    return rounded(boosting.boosted_gate(five_rows(spark, sf_dir), FIVE, plan=TREES))
+
+
 def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(n, 6).alias(n) if t == "double" else C(n) for n, t in df.dtypes])
 
@@ -63,7 +100,7 @@ def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (labels_full, model_gate, gate_importance, gate_decision)}
+    return {q.__name__: q for q in (labels_full, model_gate, gate_importance, gate_decision, boosted_gate, boosted_rounds, boosted_importance)}
 
 
 def labels_sql() -> str:
@@ -95,10 +132,71 @@ def learned_sql() -> str:
     )
 
 
+def five_sql() -> str:
+    """p: fold rows with labels and the five features."""
+    bars = f"{ORDER_BARS} UNION ALL {LINE_BARS}"
+    move = joined([merged(ewm("e21", "close", span(21), "close"), ewm("up", UP, 1 / 14), ewm("dn", DOWN, 1 / 14), atr("a14", 14))], [
+        merged(ewm("pu", f"CASE WHEN {RISE} > {FALL} AND {RISE} > 0 THEN {RISE} ELSE 0 END", 1 / 14, "0"), ewm("pd", f"CASE WHEN {FALL} > {RISE} AND {FALL} > 0 THEN {FALL} ELSE 0 END", 1 / 14, "0")),
+        ewm("dx", "CASE WHEN rn >= 14 THEN 100 * abs(pu - pd) / nullif(pu + pd, 0) END", 1 / 14),
+    ])
+    daily = walk(move, {n: SHARED_OUT[n] for n in ("ema21", "rsi_14", "adx")}, bars)
+    bucket = f"make_timestamp((epoch(ts)::BIGINT // {WEEK}) * {WEEK} * 1000000)"
+    weeks = f"SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM (SELECT symbol, {bucket} AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume FROM ({bars}) GROUP BY 1, 2)"
+    weekly = walk([ewm("e21", "close", span(21), "close")], {"ema21": SHARED_OUT["ema21"]}, weeks)
+    made = (
+        "round((b.close - d.ema21) / nullif(b.close, 0) * 100, 9) AS ema21_dist_pct, round(d.rsi_14, 9) AS rsi_14, round(d.adx, 9) AS adx, round(wk.pos, 9) AS htf_ema21_pos, "
+        "round(CASE WHEN b.rn >= 20 THEN b.volume / nullif(avg(b.volume) OVER (PARTITION BY b.symbol ORDER BY b.ts ROWS 19 PRECEDING), 0) END, 9) AS volume_ratio_20"
+    )
+    return (
+        f"{steps(bars, *BANDS[:2])}, {BARRIER_CTE}, d AS ({daily} SELECT * FROM b1), wk AS ({weekly} SELECT symbol, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS ts, (close - ema21) / nullif(close, 0) * 100 AS pos FROM b1), "
+        f"fe AS (SELECT b.symbol, b.ts, b.label, {made} FROM b3 b JOIN d ON d.symbol = b.symbol AND d.ts = b.ts LEFT JOIN wk ON wk.symbol = b.symbol AND wk.ts = make_timestamp((epoch(b.ts)::BIGINT // {WEEK}) * {WEEK} * 1000000)), {fold_parts('fe')}, "
+        f"kn AS MATERIALIZED (SELECT * FROM p WHERE label IN (0, 1, 2) AND {' AND '.join(f'{f} IS NOT NULL' for f in FIVE)})"
+    )
+
+
+def rounds_sql(plan: boosting.Plan = FIRST) -> str:
+    """Boosting by recursion: a step is a level of all folds' trees, over all rows."""
+    n, depth = plan.bins, plan.depth
+    long = " UNION ALL ".join(f"SELECT symbol, fold, {i} AS f, {f} AS x FROM kn WHERE part = 'train'" for i, f in enumerate(FIVE))
+    bin_of = ", ".join(f"coalesce(len(list_filter(c.c{i}, lambda e: e < kn.{f})), 0) AS b{i}" for i, f in enumerate(FIVE))
+    cuts = ", ".join(f"max(cuts) FILTER (f = {i}) AS c{i}" for i in range(len(FIVE)))
+    top = "greatest(s0, s1, s2)"
+    chance = [f"exp(s{k} - {top}) / (exp(s0 - {top}) + exp(s1 - {top}) + exp(s2 - {top}))" for k in range(3)]
+    grads = ", ".join(f"round_even((p{k} - CASE WHEN label = {k} THEN 1 ELSE 0 END) * {boosting.UNIT!r}, 0)::BIGINT AS g{k}, round_even(1.5::DOUBLE * p{k} * (1 - p{k}) * {boosting.UNIT!r}, 0)::BIGINT AS h{k}" for k in range(3))
+    each = " UNION ALL ".join(f"SELECT symbol, fold, lv, {k} AS k, n{k} AS node, {i} AS f, b{i} AS bin, g{k} AS g, h{k} AS h FROM gr WHERE part = 'train'" for k in range(3) for i in range(len(FIVE)))
+    w = "(PARTITION BY symbol, fold, k, node, f ORDER BY bin)"
+    ratio = lambda a, b: f"CASE WHEN {b} > 0 THEN {a}::DOUBLE * {a}::DOUBLE / {b}::DOUBLE ELSE 0 END"
+    able = f"gi > 0 AND nl >= {plan.least_rows} AND nw - nl >= {plan.least_rows} AND hl >= {plan.least_curve * boosting.UNIT!r} AND hw - hl >= {plan.least_curve * boosting.UNIT!r}"
+    leaf = lambda g, h: f"CASE WHEN {h} > 0 THEN {-plan.rate!r}::DOUBLE * ({g}::DOUBLE / {h}::DOUBLE) ELSE 0 END"
+    went = [f"(t{k}.f >= 0 AND list_extract([{', '.join(f'st.b{i}' for i in range(len(FIVE)))}], t{k}.f + 1) > t{k}.edge)" for k in range(3)]
+    last = f"st.lv = {depth - 1}"
+    moved = ", ".join(f"CASE WHEN {last} THEN st.s{k} + CASE WHEN {went[k]} THEN t{k}.vr ELSE t{k}.vl END ELSE st.s{k} END AS s{k}" for k in range(3))
+    nodes = ", ".join(f"CASE WHEN {last} THEN 0 ELSE 2 * st.n{k} + CASE WHEN {went[k]} THEN 1 ELSE 0 END END AS n{k}" for k in range(3))
+    joins = " ".join(f"JOIN tr t{k} ON t{k}.symbol = st.symbol AND t{k}.fold = st.fold AND t{k}.k = {k} AND t{k}.node = st.n{k}" for k in range(3))
+    fixed = "symbol, fold, ts, part, label, " + ", ".join(f"b{i}" for i in range(len(FIVE)))
+    return (
+        f"{five_sql()}, lo AS ({long}), rk AS (SELECT *, row_number() OVER (PARTITION BY symbol, fold, f ORDER BY x) AS r, count(*) OVER (PARTITION BY symbol, fold, f) AS n FROM lo), "
+        f"ct AS (SELECT symbol, fold, f, list_sort(list_distinct(list(x))) AS cuts FROM rk WHERE r < n AND (r * {n}) // n > ((r - 1) * {n}) // n GROUP BY 1, 2, 3), cw AS (SELECT symbol, fold, {cuts} FROM ct GROUP BY 1, 2), "
+        "sh AS (SELECT symbol, fold, count(*) FILTER (part = 'train') AS n, count(*) FILTER (part = 'val') AS n_val, " + ", ".join(f"count(*) FILTER (part = 'train' AND label = {k}) AS c{k}" for k in range(3)) + " FROM kn GROUP BY 1, 2), "
+        f"st AS (SELECT kn.symbol, kn.fold, kn.ts, part, label, {bin_of}, " + ", ".join(f"ln(greatest(sh.c{k}::DOUBLE / sh.n, 1e-15)) AS s{k}" for k in range(3)) + ", 0 AS n0, 0 AS n1, 0 AS n2, 0 AS lv, 0 AS round "
+        "FROM kn JOIN sh ON sh.symbol = kn.symbol AND sh.fold = kn.fold LEFT JOIN cw c ON c.symbol = kn.symbol AND c.fold = kn.fold WHERE sh.n > 0 AND n_val > 0 UNION ALL "
+        f"(WITH pr AS (SELECT *, {', '.join(f'{c} AS p{k}' for k, c in enumerate(chance))} FROM st WHERE round < {plan.rounds}), gr AS (SELECT *, {grads} FROM pr), "
+        f"hi AS (SELECT symbol, fold, k, node, f, bin, sum(g)::BIGINT AS g, sum(h)::BIGINT AS h, count(*) AS n FROM ({each}) GROUP BY ALL), "
+        f"cu AS (SELECT *, (sum(g) OVER {w})::BIGINT AS gl, (sum(h) OVER {w})::BIGINT AS hl, (sum(n) OVER {w})::BIGINT AS nl, (sum(g) OVER (PARTITION BY symbol, fold, k, node, f))::BIGINT AS gw, (sum(h) OVER (PARTITION BY symbol, fold, k, node, f))::BIGINT AS hw, (sum(n) OVER (PARTITION BY symbol, fold, k, node, f))::BIGINT AS nw FROM hi), "
+        f"ga AS (SELECT *, {ratio('gl', 'hl')} + {ratio('(gw - gl)', '(hw - hl)')} - {ratio('gw', 'hw')} AS gi FROM cu), "
+        f"be AS (SELECT *, row_number() OVER (PARTITION BY symbol, fold, k, node ORDER BY coalesce({able}, false) DESC, CASE WHEN {able} THEN gi END DESC, f, bin) AS best, coalesce({able}, false) AS cut FROM ga), "
+        f"tr AS (SELECT symbol, fold, k, node, CASE WHEN cut THEN f ELSE -1 END AS f, bin AS edge, {leaf('CASE WHEN cut THEN gl ELSE gw END', 'CASE WHEN cut THEN hl ELSE hw END')} AS vl, {leaf('(gw - gl)', '(hw - hl)')} AS vr FROM be WHERE best = 1) "
+        f"SELECT {', '.join('st.' + c.strip() for c in fixed.split(','))}, {moved}, {nodes}, CASE WHEN {last} THEN 0 ELSE st.lv + 1 END AS lv, CASE WHEN {last} THEN st.round + 1 ELSE st.round END AS round FROM st {joins} WHERE st.round < {plan.rounds})), "
+        f"ls AS (SELECT symbol, fold, round, label, {', '.join(f'{c} AS p{k}' for k, c in enumerate(chance))} FROM st WHERE part = 'val' AND lv = 0) "
+        f"SELECT symbol, fold, count(*) AS n_val, round, round(sum(-ln(least(greatest(CASE label WHEN 0 THEN p0 WHEN 1 THEN p1 ELSE p2 END, 1e-15), 1 - 1e-15))) / count(*), 6) AS loss FROM ls GROUP BY 1, 2, 4"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     each = " UNION ALL ".join(f"SELECT symbol, fold, '{f}' AS feature, label, {f} AS x FROM kn WHERE part = 'train'" for f in FEATURES)
     return {
         "labels_full": labels_sql(),
+        "boosted_rounds": rounds_sql(),
         "model_gate": learned_sql() + " SELECT symbol, fold, round(log_loss, 6) AS log_loss, n_val, round(prior, 6) AS prior, round(ratio, 6) AS ratio FROM g",
         "gate_importance": learned_sql() + f", u AS ({each}), t AS (SELECT symbol, fold, feature, avg(x) AS a, sum(x * x) - sum(x) ** 2 / count(*) AS total FROM u GROUP BY 1, 2, 3), c AS (SELECT symbol, fold, feature, label, count(*) AS n, avg(x) AS m FROM u GROUP BY 1, 2, 3, 4), "
         "z AS (SELECT c.symbol, c.fold, c.feature, sum(n * (m - a) ** 2) / nullif(max(total), 0) AS share FROM c JOIN t ON t.symbol = c.symbol AND t.fold = c.fold AND t.feature = c.feature GROUP BY 1, 2, 3), y AS (SELECT symbol, feature, avg(share) AS gain FROM z GROUP BY 1, 2) "

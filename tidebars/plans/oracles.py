@@ -23,7 +23,7 @@ def merged(*parts: dict) -> dict:
     return {k: v for p in parts for k, v in p.items()}
 
 
-def walk(levels: Levels, finals: dict[str, str]) -> str:
+def walk(levels: Levels, finals: dict[str, str], source: str = EVENT_BARS) -> str:
     """b1: bars with the finals; b0 has the bars and what windows give of the bars before."""
     names = [n for level in levels for n in level]
     first, later = "SELECT * FROM b0 WHERE rn = 1", f"SELECT b.*, {', '.join(f'r.{n} AS o_{n}' for n in names)} FROM r JOIN b0 b ON b.symbol = r.symbol AND b.rn = r.rn + 1"
@@ -31,7 +31,7 @@ def walk(levels: Levels, finals: dict[str, str]) -> str:
         first = f"SELECT *, {', '.join(f'({a})::DOUBLE AS {n}' for n, (a, _) in level.items())} FROM ({first})"
         later = f"SELECT *, {', '.join(f'({b})::DOUBLE AS {n}' for n, (_, b) in level.items())} FROM ({later})"
     bars = (
-        f"SELECT *, lag(close) OVER w AS pc, lag(high) OVER w AS ph1, lag(low) OVER w AS pl1, lag(high, 2) OVER w AS ph2, lag(low, 2) OVER w AS pl2, abs(close - lag(close, 10) OVER w) AS net, max(high) OVER w22 AS hh22, min(low) OVER w22 AS ll22 FROM ({EVENT_BARS}) {WINDOWS}"
+        f"SELECT *, lag(close) OVER w AS pc, lag(high) OVER w AS ph1, lag(low) OVER w AS pl1, lag(high, 2) OVER w AS ph2, lag(low, 2) OVER w AS pl2, abs(close - lag(close, 10) OVER w) AS net, max(high) OVER w22 AS hh22, min(low) OVER w22 AS ll22 FROM ({source}) {WINDOWS}"
     )
     bars = f"SELECT *, sum(abs(close - pc)) OVER w10 AS path FROM ({bars}) {WINDOWS}"
     cols = ", ".join(["symbol", "rn", *names])
