@@ -13,6 +13,14 @@ def test_packed_numbers_come_back(values):
     assert D.unpacked_keys(D.packed_keys(np.sort(x))).tolist() == sorted(values)
 
 
+@pytest.mark.parametrize("total", [0, 10**9, 10**12, 10**14])
+def test_plans_hold_at_any_size(total):
+    """Buckets stay under Spark's limit, and a bucket of keys under its bound; bucket and order fit an int."""
+    assert 8 <= D.deal_buckets(total, D.DEAL_BYTES, 8, 100_000) <= 100_000
+    bits = D.key_bits(total, 16)
+    assert total <= D.KEY_BYTES << bits and 4 <= bits <= 28
+
+
 def test_rows_are_dealt_once(spark, docs_of):
     rows = docs_of([(i, "ab " * (i * 37 % 400)) for i in range(200)])
     deals = D.written(rows.select("text", "doc_id", (F.col("doc_id") % 3).cast("int").alias("kind")), "kind", 2000, 6000)

@@ -28,6 +28,8 @@ from tidebars.llm.common import parts, shared_dir
 
 #: For executors of 3 GB; where there is more memory, larger deals make fewer and larger files.
 CHUNK_BYTES, DEAL_BYTES = 4 << 20, 12 << 20
+#: Bytes of text whose keys are in one bucket.
+KEY_BYTES = 64 << 20
 
 
 def to_blob(pieces: list[pa.RecordBatch]) -> bytes:
@@ -83,7 +85,7 @@ def written(rows: DataFrame, kind: str, chunk_bytes: int = CHUNK_BYTES, deal_byt
 
     name = f"deals_{uuid.uuid4().hex}"
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = max(parts(spark, 1), -(-total // (2 * deal_bytes)))
+    n = deal_buckets(total, deal_bytes, parts(spark, 1), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     made = rows.mapInArrow(run, "deal long, kind int, chunks array<binary>")
     made.write.format("parquet").option("compression", "uncompressed").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, "deal").saveAsTable(name)
     return spark.table(name)
@@ -123,6 +125,18 @@ def unpacked_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(unpacked(raw), dtype=np.uint64)
 
 
+def deal_buckets(total: int, deal_bytes: int, least: int, most: int) -> int:
+    """Buckets of a table of deals over `total` bytes of text: two deals in each, but no more than Spark takes; beyond that a bucket
+    has more deals, each still a row by itself."""
+    return min(most, max(least, -(-total // (2 * deal_bytes))))
+
+
+def key_bits(total: int, least: int) -> int:
+    """Bits of buckets of keys: a task holds a bucket's keys from the whole corpus, so there are as many as bound those to what
+    KEY_BYTES of text have."""
+    return bucket_bits(max(least, -(-total // KEY_BYTES)))
+
+
 def bucket_bits(n: int) -> int:
     """Of at least n buckets of keys."""
     return max(1, (n - 1).bit_length())

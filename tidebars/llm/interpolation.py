@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.llm.common import UPPER_TO_LOWER, crc_mod, parts, shared_dir
-from tidebars.llm.deals import CHUNK_BYTES, answered, bucket_bits, cuts_of, packed, packed_keys, ranked, rows_of, unpacked, unpacked_keys, written
+from tidebars.llm.deals import CHUNK_BYTES, answered, cuts_of, key_bits, packed, packed_keys, ranked, rows_of, unpacked, unpacked_keys, written
 from tidebars.llm.line_dedup import grouped
 
 END = "\n"
@@ -195,7 +195,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch
     src = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.when(mod == 2, 0).when(mod == 3, 1).otherwise(2).alias("part"))
     total, main_texts, held_texts = src.agg(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0)), F.count_if(F.col("part") == 2), F.count_if(F.col("part") == 1)).first()
     deals = written(src.withColumn("kind", (F.col("part") == 1).cast("int")), "kind", batch_bytes, 3 * batch_bytes)
-    bits = bucket_bits(2 * parts(spark))
+    bits = key_bits(total, 2 * parts(spark))
     shift = max(0, 64 - 20 - int(total).bit_length())
 
     def gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

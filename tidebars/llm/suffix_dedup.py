@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.llm.common import cut, parts
-from tidebars.llm.deals import answered, bucket_bits, cuts_of, packed_keys, ranked, rows_of, unpacked_keys, written
+from tidebars.llm.deals import answered, cuts_of, key_bits, packed_keys, ranked, rows_of, unpacked_keys, written
 from tidebars.llm.line_dedup import grouped
 
 WINDOW, K = 50, 16
@@ -342,7 +342,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.lit(0).alias("kind"))
     deals = written(src, "kind")
     total = src.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits, shift = bucket_bits(2 * parts(spark)), max(0, 64 - 8 - int(total).bit_length())
+    bits, shift = key_bits(total, 2 * parts(spark)), max(0, 64 - 8 - int(total).bit_length())
     marks = cut(marks_of(deals))
     # of equal texts only the first goes on: the others repeat it whole
     firsts = marks.groupBy("h1", "h2").agg(F.min(F.struct("doc", "deal", "c", "i")).alias("p")).select("p.deal", "p.c", "p.i")
