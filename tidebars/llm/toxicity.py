@@ -1,9 +1,13 @@
-"""Toxicity scores from two class-conditional Kneser-Ney language models.
+"""Toxicity scores from two class-conditional Kneser-Ney language models, of words and of letters.
 
-The models spell words letter by letter (order `ORDER`, with marks at both ends), so that a rare or unseen expression is judged
-by its parts: each class has its own discounted counts, and what the discounts free goes to the next shorter context, down to
-continuation counts that both classes share. A document's score is a logistic of the difference of the two log-likelihoods
-a word, fitted on labelled rows that the counts haven't seen.
+Each class has its own discounted counts of words (in how many documents a word stands), and what the discounts free is
+shared evenly by all known words: a word of one or two documents says little in either class, and evidence grows with the log
+of its count. Unknown words are spelled letter by letter (order `ORDER`, with marks at both ends): what discounts free there goes to the
+next shorter context, down to continuation counts that both classes share.
+
+A document's score is a logistic of three differences of the classes' log-likelihoods: by letters, on average over the other words (so long
+texts aren't more toxic than short ones); of its best word; and, by its logarithm, of its three best different words
+beyond `LEAST`, since a telling word in a long text vanishes in an average, and chance words of a long text add up in a sum. The logistic is fitted on labelled rows that the counts haven't seen.
 
 Labels are learned from a bounded sample: at most `per_class` rows of each class (the least hashes of the id), with two thirds
 for counts and one for the logistic. Everything else, texts of any length included, is scored whole in one narrow pass; the
@@ -11,7 +15,8 @@ model is broadcast, and its size is bounded by the sample.
 
 Nulls and texts without letters have the score of the class shares among labelled rows. Labels other than 0 and 1 are
 ignored; of several labels for a document the largest counts. Rows with equal ids are scored each by itself. Without labels
-of both classes every score is the share of label 1 (0 if there are none).
+of both classes every score is the share of label 1 (0 if there are none). A very long text is scored whole, in memory for itself
+and its words.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ ORDER = 5
 PER_CLASS = 1500
 WORDS = regex.compile(r"\p{L}+")
 CACHE = 60_000
+#: Words whose classes differ by less (in nats) aren't telling.
+LEAST = 3.0
 
 
 def words_of(text: str | None) -> list[str]:
@@ -107,9 +114,19 @@ class Model:
                 self.cache[word] = got
         return got
 
-    def per_word(self, text: str | None) -> float:
-        words = words_of(text)
-        return sum(map(self.word, words)) / len(words) if words else 0.0
+
+def telling(counts: dict[str, tuple[int, int]], least: float = LEAST) -> dict[str, float]:
+    """Words by the difference of their log-likelihoods in class 1 and 0, if it is beyond least. counts: documents of either class
+    that have the word."""
+    total = [sum(x[c] for x in counts.values()) for c in (0, 1)]
+    if not all(total):
+        return {}
+    ones, twos, kinds = ([sum(test(x[c]) for x in counts.values()) for c in (0, 1)] for test in (lambda n: n == 1, lambda n: n == 2, lambda n: n > 0))
+    cut = [ones[c] / (ones[c] + 2 * twos[c]) if ones[c] else 0.5 for c in (0, 1)]
+    even = [max(cut[c], 1e-6) * kinds[c] / total[c] / (len(counts) + 1) for c in (0, 1)]  # what a known word has of the freed mass
+    p = lambda n, c: max(n - cut[c], 0.0) / total[c] + even[c]
+    ratio = {w: math.log(p(x[1], 1) / p(x[0], 0)) for w, x in counts.items()}
+    return {w: r for w, r in ratio.items() if r > least}
 
 
 def grams_of(text: str | None, order: int) -> dict[str, int]:
@@ -121,32 +138,38 @@ def grams_of(text: str | None, order: int) -> dict[str, int]:
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Slope and intercept by Newton's method with a small ridge."""
-    scale = x.std() or 1.0
-    a = np.stack([x / scale, np.ones_like(x)], 1)
-    w = np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> np.ndarray:
+    """Weights of the columns of x and the intercept, by Newton's method with a small ridge."""
+    middle, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale == 0] = 1.0
+    a = np.column_stack(((x - middle) / scale, np.ones(len(x))))
+    w = np.zeros(a.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (weight * (y - p)) - 1e-3 * w
-        h = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
+        g = a.T @ (weight * (y - p)) - 1e-2 * w
+        h = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(w))
         step = np.linalg.solve(h, g)
         w = w + step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1])
+    return np.append(w[:-1] / scale, w[-1] - (w[:-1] * middle / scale).sum())
 
 
 class Scorer:
-    """A model with its logistic; slope None: no labels of both classes, and share is the score of all."""
+    """The two models with their logistic; weights None: no labels of both classes, and share is the score of all."""
+
+    def __init__(self, model: Model | None, words: dict[str, float], weights: list[float] | None, share: float):
+        self.model, self.words, self.weights, self.share = model, words, weights, share
 
-    def __init__(self, model: Model | None, slope: float | None, intercept: float, share: float):
-        self.model, self.slope, self.intercept, self.share = model, slope, intercept, share
+    def differences(self, words: list[str]) -> list[float]:
+        found = sorted((self.words[w] for w in set(words) if w in self.words), reverse=True)
+        rest = [w for w in words if w not in self.words]  # what is told by its own count isn't spelled
+        return [sum(map(self.model.word, rest)) / max(1, len(rest)), max(found, default=LEAST), math.log1p(sum(r - LEAST for r in found[:3]))]
 
     def score(self, text: str | None) -> float:
-        if self.slope is None or not (words := words_of(text)):
+        if self.weights is None or not (words := words_of(text)):
             return self.share
-        x = self.slope * (sum(map(self.model.word, words)) / len(words)) + self.intercept
+        x = sum(a * b for a, b in zip(self.weights, [*self.differences(words), 1.0], strict=True))
         return 1 / (1 + math.exp(-max(-700.0, min(700.0, x))))
 
 
@@ -160,7 +183,8 @@ def sampled(docs: DataFrame, labels: DataFrame, per_class: int, held_out_mod: in
         some = known.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
     fold = F.pmod(F.floor(F.crc32(F.col("doc_id").cast("string").cast("binary")) / held_out_mod), F.lit(3)) != 0
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # 2 * per_class rows at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one row an id: 2 * per_class at most
     return rows.select("text", F.col("toxic").cast("int").alias("toxic"), fold.alias("counts")), shares.get(1, 0) / max(1, sum(shares.values()))
 
 
@@ -170,32 +194,37 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, order: i
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            total: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+            letters, words = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
             for text, toxic in zip(f["text"], f["toxic"], strict=True):
                 for g, c in grams_of(text, order).items():
-                    total[g][toxic] += c
-            yield pd.DataFrame([(g, a, b) for g, (a, b) in total.items()], columns=["gram", "a", "b"])
+                    letters[g][toxic] += c
+                for w in set(words_of(text)):
+                    words[w][toxic] += 1
+            yield pd.DataFrame([(is_word, g, a, b) for is_word, some in ((False, letters), (True, words)) for g, (a, b) in some.items()], columns=["is_word", "gram", "a", "b"])
 
-    grams = rows.where("counts").select("text", "toxic").mapInPandas(count, "gram string, a long, b long")
-    counts = grams.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()  # bounded by the sample
+    grams = rows.where("counts").select("text", "toxic").mapInPandas(count, "is_word boolean, gram string, a long, b long")
+    counts = grams.groupBy("is_word", "gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()  # bounded by the sample
     if not (counts["a"].sum() and counts["b"].sum()):
-        return Scorer(None, None, 0.0, share)
+        return Scorer(None, {}, None, share)
     counts = counts.sort_values("gram")
-    model = Model({g: (int(a), int(b)) for g, a, b in zip(counts["gram"], counts["a"], counts["b"], strict=True)}, order)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = lambda some: {g: (int(a), int(b)) for g, a, b in zip(some["gram"], some["a"], some["b"], strict=True)}
+    scorer = Scorer(Model(held(counts[~counts["is_word"]]), order), telling(held(counts[counts["is_word"]])), None, share)
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
-    @F.pandas_udf("double")
-    def per_word(texts: pd.Series) -> pd.Series:
-        return texts.map(shared.value.per_word).astype("float64")
+    @F.pandas_udf("array<double>")
+    def differences(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: shared.value.differences(words_of(t)))
 
-    held = rows.where("not counts").select(per_word("text").alias("x"), "toxic").toPandas().sort_values(["toxic", "x"])
+    seen = rows.where("not counts").select(differences("text").alias("x"), "toxic").toPandas()
     shared.destroy()
-    y = held["toxic"].to_numpy(float)
-    if not 0 < y.mean() < 1:
-        return Scorer(None, None, 0.0, share)
+    y = seen["toxic"].to_numpy(float)
+    if not len(y) or not 0 < y.mean() < 1:
+        return Scorer(None, {}, None, share)
+    x = np.array(seen["x"].tolist(), float)
+    at = np.lexsort((*x.T, y))  # the same order of sums in any run
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    slope, intercept = logistic(held["x"].to_numpy(float), y, weight)
-    return Scorer(model, max(slope, 0.0), intercept, share)
+    scorer.weights = logistic(x[at], y[at], weight[at]).tolist()
+    return scorer
 
 
 def scored(docs: DataFrame, scorer: Scorer, text_col: str = "text", out_col: str = "score") -> DataFrame:
