@@ -91,3 +91,36 @@ def test_pivot_zones_near_one_that_holds_are_left_out(spark):
     assert len(tops) == 1  # all tops are alike, and none is passed
     falling = series(spark, {"a": [(v, v + 0.5, v - 0.5, v) for v in (x - i / 4 for i, x in enumerate(wave))]})
     assert Z.supply_demand(falling).where("side = -1").agg(F.count("*")).first()[0] > 3
+
+
+@pytest.mark.parametrize(("size", "deals"), [(4096, 4), (5, 2)])
+def test_lines_passed_by_brute_force(spark, size, deals):
+    rows = {"a": walk(1, 60), "b": walk(2, 9), "c": [(None,) * 4, (1.0, 2.0, 0.0, 1.0)]}
+    rng = random.Random(4)
+    quests = [(s, rng.randrange(0, len(some) + 2), rng.choice([None, 95.0, 100.0, 110.0]), rng.choice([-0.5, 0.0, 0.125, 1.0]), rng.random() < 0.5, "close", i) for i in range(60) for s, some in rows.items()]
+    frame = spark.createDataFrame(quests, "symbol string, after int, level double, slope double, below boolean, value string, id int")
+    got = P.lines_passed(series(spark, rows), frame, "close", size, deals).collect()
+    assert len(got) == len(quests)
+    for r in got:
+        for i, b in enumerate(rows[r.symbol]):
+            line = None if r.level is None else r.level + r.slope * (i + 1 - r.after)
+            if i + 1 > r.after and line is not None and b[3] is not None and (b[3] < line if r.below else b[3] > line):
+                assert r["at"] == i + 1
+                break
+        else:
+            assert r["at"] is None
+
+
+def test_hull_has_the_lowest_point_in_any_direction():
+    rng = np.random.default_rng(2)
+    x, y = np.arange(40.0), rng.integers(0, 9, 40).astype(float)
+    y[::7] = np.nan
+    corners = P.hull(x, y)
+    for slope in (-3.0, -0.5, 0.0, 0.3, 2.0):
+        assert np.nanmin(y - slope * x) == np.min(y[corners] - slope * x[corners])
+
+
+def test_trend_lines_in_any_chunks(spark):
+    df = series(spark, {"a": walk(8, 240), "b": walk(9, 100)})
+    told = lambda f: sorted(map(tuple, f.drop("ts").collect()))
+    assert told(Z.trend_lines(df, 3)) == told(Z.trend_lines(df, 3, size=11, deals=2)) != []

@@ -7,6 +7,9 @@ for all quests at once.
 
 Quests: symbol, after (bars with a larger number count), level, value (which column of bars), below (passed by falling), touch
 (reaching the level is enough). A NULL level or value is never passed.
+
+lines_passed() answers quests whose level has a slope from the bar `after` on. A line passes below some value of a chunk exactly if it
+passes below a corner of the values' lower hull, so a chunk is told by its two hulls, a few points each.
 """
 
 from __future__ import annotations
@@ -52,47 +55,117 @@ def answered(lows: dict[str, np.ndarray], highs: dict[str, np.ndarray], start: n
     return out
 
 
-def passages(bars: DataFrame, quests: DataFrame, values: tuple[str, ...], size: int = SIZE, deals: int = 16) -> DataFrame:
-    """quests with `at`: the number rn of the bar, NULL if there is none. bars have symbol, rn (1, 2, 3 ... by symbol) and the values."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in quests.schema)
-    told = f"{kept}, at long, chunk int"
+def asked(bars: DataFrame, quests: DataFrame, values: tuple[str, ...], size: int) -> tuple[DataFrame, DataFrame]:
+    """bars cut into chunks, and quests with the chunk in which they begin."""
     chunk = lambda x: F.floor(x / size).cast("int")
     cut = bars.select("symbol", "rn", *[C(v).cast("double").alias(v) for v in values], chunk(C("rn") - 1).alias("chunk"))
+    return cut, quests.withColumn("chunk", chunk(C("after")))
+
 
-    def within(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+def none_yet(q: pd.DataFrame) -> pd.Series:
+    return pd.Series(np.nan, q.index, "float64").astype("Int64")
+
+
+def settled(cut: DataFrame, quests: DataFrame, ends: DataFrame, within, ahead, deals: int) -> DataFrame:
+    """quests with `at`. within(bars of a chunk, quests, places to start at): places; ahead(all chunks' ends, quests, own chunks): chunks,
+    -1 for none."""
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in quests.schema if f.name != "chunk")
+    told = f"{kept}, at long, chunk int"
+
+    def here(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         own = q["chunk"].to_numpy()
         q = q.drop(columns=["chunk", "at"], errors="ignore")
         if not len(b) or not len(q):
-            return q.assign(at=pd.Series(np.nan, q.index, "float64").astype("Int64"), chunk=own)
+            return q.assign(at=none_yet(q), chunk=own)
         b = b.sort_values("rn")
         first = int(b["rn"].iloc[0])
-        x = {v: b[v].to_numpy(np.float64) for v in values}
-        got = answered(x, x, np.maximum(q["after"].to_numpy(np.int64) + 1 - first, 0), q)
-        at = pd.Series(got + first, q.index, "Int64").mask(got >= len(b))
-        return q.assign(at=at, chunk=own)
+        got = within(b, q, np.maximum(q["after"].to_numpy(np.int64) + 1 - first, 0))
+        return q.assign(at=pd.Series(got + first, q.index, "Int64").mask(got >= len(b)), chunk=own)
 
-    def ahead(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    def further(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         own = q["chunk"].to_numpy()
-        q = q.drop(columns=["chunk", "at"])
-        if not len(c) or not len(q):
-            return q.assign(at=pd.Series(np.nan, q.index, "float64").astype("Int64"), chunk=np.full(len(q), -1, np.int32))
-        c = c.sort_values("chunk")
-        n = int(c["chunk"].iloc[-1]) + 1
-        lows, highs = {v: np.full(n, np.nan) for v in values}, {v: np.full(n, np.nan) for v in values}
-        for v in values:
-            lows[v][c["chunk"]], highs[v][c["chunk"]] = c[f"low_{v}"], c[f"high_{v}"]
-        got = answered(lows, highs, own + 1, q)
-        return q.assign(at=pd.Series(np.nan, q.index, "float64").astype("Int64"), chunk=np.where(got < n, got, -1).astype(np.int32))
+        q = q.drop(columns=["chunk", "at", "deal"])
+        got = ahead(c.sort_values("chunk"), q, own) if len(c) and len(q) else np.full(len(q), -1)
+        return q.assign(at=none_yet(q), chunk=got.astype(np.int32))
 
     def met(q: DataFrame) -> DataFrame:
-        return cut.groupBy("symbol", "chunk").cogroup(q.groupBy("symbol", "chunk")).applyInPandas(within, told)
+        return cut.groupBy("symbol", "chunk").cogroup(q.groupBy("symbol", "chunk")).applyInPandas(lambda b, x: here(b, x), told)
 
-    near = met(quests.withColumn("chunk", chunk(C("after"))))
+    near = met(quests)
     deal: Column = F.pmod(F.xxhash64("symbol", "after", "level", "value"), F.lit(deals)).cast("int")
-    ends = cut.groupBy("symbol", "chunk").agg(*[f(v).alias(f"{n}_{v}") for v in values for n, f in (("low", F.min), ("high", F.max))])
     spread = ends.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
     open_ = near.where(C("at").isNull()).withColumn("deal", deal)
-    sent = spread.groupBy("symbol", "deal").cogroup(open_.groupBy("symbol", "deal")).applyInPandas(lambda c, q: ahead(c, q.drop(columns="deal")), told)
+    sent = spread.groupBy("symbol", "deal").cogroup(open_.groupBy("symbol", "deal")).applyInPandas(lambda c, q: further(c, q), told)
     far = met(sent.where(C("chunk") >= 0).drop("at"))
     never = sent.where(C("chunk") < 0)
     return near.where(C("at").isNotNull()).unionByName(far).unionByName(never).drop("chunk")
+
+
+def passages(bars: DataFrame, quests: DataFrame, values: tuple[str, ...], size: int = SIZE, deals: int = 16) -> DataFrame:
+    """quests with `at`: the number rn of the bar, NULL if there is none. bars have symbol, rn (1, 2, 3 ... by symbol) and the values."""
+    cut, quests = asked(bars, quests, values, size)
+    ends = cut.groupBy("symbol", "chunk").agg(*[f(v).alias(f"{n}_{v}") for v in values for n, f in (("low", F.min), ("high", F.max))])
+
+    def within(b: pd.DataFrame, q: pd.DataFrame, start: np.ndarray) -> np.ndarray:
+        x = {v: b[v].to_numpy(np.float64) for v in values}
+        return answered(x, x, start, q)
+
+    def ahead(c: pd.DataFrame, q: pd.DataFrame, own: np.ndarray) -> np.ndarray:
+        n = int(c["chunk"].iloc[-1]) + 1
+        lows, highs = ({v: np.full(n, np.nan) for v in values} for _ in range(2))
+        for v in values:
+            lows[v][c["chunk"]], highs[v][c["chunk"]] = c[f"low_{v}"], c[f"high_{v}"]
+        got = answered(lows, highs, own + 1, q)
+        return np.where(got < n, got, -1)
+
+    return settled(cut, quests, ends, within, ahead, deals)
+
+
+def hull(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Corners of the lower hull of points in the order of x; those without y aren't there."""
+    out: list[int] = []
+    for i in np.flatnonzero(~np.isnan(y)).tolist():
+        while len(out) > 1 and (y[i] - y[out[-2]]) * (x[out[-1]] - x[out[-2]]) <= (y[out[-1]] - y[out[-2]]) * (x[i] - x[out[-2]]):
+            out.pop()
+        out.append(i)
+    return out
+
+
+def lines_passed(bars: DataFrame, quests: DataFrame, value: str, size: int = SIZE, deals: int = 16) -> DataFrame:
+    """quests (with slope) with `at`: the first bar after `after` whose value is below (or above) level + slope * (rn - after)."""
+    cut, quests = asked(bars, quests, (value,), size)
+
+    def corners(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("rn")
+        x, y = b["rn"].to_numpy(np.float64), b[value].to_numpy(np.float64)
+        low, high = hull(x, y), hull(x, -y)
+        head = {"symbol": [b["symbol"].iloc[0]], "chunk": [int(b["chunk"].iloc[0])]}
+        return pd.DataFrame(head | {"low_x": [x[low].tolist()], "low_y": [y[low].tolist()], "high_x": [x[high].tolist()], "high_y": [y[high].tolist()]})
+
+    ends = cut.groupBy("symbol", "chunk").applyInPandas(corners, "symbol string, chunk int, low_x array<double>, low_y array<double>, high_x array<double>, high_y array<double>")
+
+    def beyond(r, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        line = r.level + r.slope * (x - r.after)
+        return y < line if r.below else y > line
+
+    def within(b: pd.DataFrame, q: pd.DataFrame, start: np.ndarray) -> np.ndarray:
+        x, y = b["rn"].to_numpy(np.float64), b[value].to_numpy(np.float64)
+        out = []
+        for r, s in zip(q.itertuples(), start.tolist(), strict=True):
+            hit = beyond(r, x[s:], y[s:])
+            out.append(s + int(hit.argmax()) if hit.any() else len(x))
+        return np.array(out, np.int64)
+
+    def ahead(c: pd.DataFrame, q: pd.DataFrame, own: np.ndarray) -> np.ndarray:
+        sides = {}
+        for name in ("low", "high"):
+            x, y = (np.concatenate([np.asarray(v, np.float64) for v in c[f"{name}_{k}"]]) for k in "xy")
+            sides[name] = np.repeat(c["chunk"].to_numpy(), [len(v) for v in c[f"{name}_x"]]), x, y
+        out = []
+        for r, mine in zip(q.itertuples(), own.tolist(), strict=True):
+            chunk, x, y = sides["low" if r.below else "high"]
+            hit = beyond(r, x, y) & (chunk > mine)
+            out.append(int(chunk[hit.argmax()]) if hit.any() else -1)
+        return np.array(out, np.int64)
+
+    return settled(cut, quests, ends, within, ahead, deals)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidebars.functions import rolling as R
 from tidebars.functions.nulls import true
 from tidebars.operators import recurrence as S
-from tidebars.operators.passages import passages
+from tidebars.operators.passages import lines_passed, passages
 
 C = F.col
 ZONE = ["symbol", "ts", "born", "kind", "side", "origin", "bottom", "top"]
@@ -138,3 +138,27 @@ def lives(bars: DataFrame, zones: list[DataFrame], **more: int) -> DataFrame:
 def zones(bars: DataFrame, **more: int) -> DataFrame:
     """All kinds of zones with their lives."""
     return lives(bars, [order_blocks(bars), value_gaps(bars), supply_demand(bars, **more)], **more)
+
+
+def trend_lines(bars: DataFrame, n: int = 10, back: int = 10, **more: int) -> DataFrame:
+    """Lines of sight between pivots: rising ones (side 1) through two lows with no close below since the older, falling ones (-1) through
+    two highs with none above; for each newer pivot the one to the furthest of the `back` pivots that it sees. A row a line: born (the
+    bar that confirms the newer pivot), origin (the older pivot's bar), newer (the newer one's), slope, level (at birth), broken."""
+    df = bars.withColumns({"_ph": R.pivot_high("high", n, n), "_pl": R.pivot_low("low", n, n)})
+    order = Window.partitionBy("symbol").orderBy("rn")
+    points = []
+    for side, x in ((1, "_pl"), (-1, "_ph")):
+        some = df.where(C(x).isNotNull()).select("symbol", "ts", C("rn").alias("born"), (C("rn") - n).alias("rn"), C(x).alias("v"))
+        points.append(some.withColumns({"side": F.lit(side), "_before": F.collect_list(F.struct(C("rn").alias("rn"), C("v").alias("v"))).over(order.rowsBetween(1 - back, -1))}))
+    pairs = points[0].unionByName(points[1]).withColumn("p", F.explode("_before")).where(C("side") * (C("v") - C("p.v")) > 0)
+    slope = (C("v") - C("p.v")) / (C("rn") - C("p.rn"))
+    # a line through a bar's own close must not be passed by the rounding of its slope
+    quests = pairs.select(
+        "symbol", "ts", "born", "side", C("rn").alias("newer"), C("p.rn").alias("after"), (C("p.v") - C("side") * F.abs(C("p.v")) * 1e-9).alias("level"), slope.alias("slope"), (C("side") == 1).alias("below"),
+        F.lit("close").alias("value"), F.lit(False).alias("touch"), C("p.v").alias("start"),
+    )
+    seen = lines_passed(bars, quests, "close", **more).where(C("at").isNull() | (C("at") > C("born")))
+    first = Window.partitionBy("symbol", "side", "born").orderBy("after")
+    seen = seen.withColumn("_k", F.row_number().over(first)).where("_k = 1")
+    level = C("start") + C("slope") * (C("born") - C("after"))
+    return seen.select("symbol", "ts", "born", "side", C("after").alias("origin"), "newer", "slope", level.alias("level"), C("at").alias("broken"))
