@@ -18,7 +18,7 @@ def study_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def study_trend_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return finished(Z.trend_lines(B.event_bars(spark, sf_dir)), ["side", "born", "origin", "newer", "slope", "level", "broken"], 12)
+    return finished(Z.trend_lines(B.event_bars(spark, sf_dir)), ["side", "born", "origin", "newer", "slope", "level", "broken"], 9)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -99,7 +99,7 @@ def trend_lines_sql(n: int = 10, back: int = 10) -> str:
         f"WITH b0 AS MATERIALIZED ({EVENT_BARS}), b1 AS (SELECT *, {pivot_sql('high', 'max', n)} AS ph, {pivot_sql('low', 'min', n)} AS pl FROM b0), p AS (SELECT *, row_number() OVER (PARTITION BY symbol, side ORDER BY rn) AS k FROM ({points})), "
         f"pr AS (SELECT z.symbol, z.ts, z.born, z.side, z.rn AS newer, o.rn AS origin, o.v AS start, (z.v - o.v) / (z.rn - o.rn) AS slope FROM p z JOIN p o ON o.symbol = z.symbol AND o.side = z.side AND o.k < z.k AND o.k > z.k - {back} WHERE z.side * (z.v - o.v) > 0), "
         f"q AS (SELECT z.*, {passed('z.origin', 'CASE z.side WHEN 1 THEN x.close < z.start - z.side * abs(z.start) * 1e-9 + z.slope * (x.rn - z.origin) ELSE x.close > z.start - z.side * abs(z.start) * 1e-9 + z.slope * (x.rn - z.origin) END')} AS broken FROM pr z) "
-        "SELECT symbol, ts, side::INT AS side, born::INT AS born, origin::INT AS origin, newer::INT AS newer, round(slope, 12) + 0.0 AS slope, round(start + slope * (born - origin), 12) + 0.0 AS level, broken::INT AS broken "
+        "SELECT symbol, ts, side::INT AS side, born::INT AS born, origin::INT AS origin, newer::INT AS newer, round(slope, 9) + 0.0 AS slope, round(start + slope * (born - origin), 9) + 0.0 AS level, broken::INT AS broken "
         "FROM q WHERE broken IS NULL OR broken > born QUALIFY row_number() OVER (PARTITION BY symbol, side, born ORDER BY origin) = 1"
     )
 
