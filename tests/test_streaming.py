@@ -23,7 +23,7 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_late_events_are_left_out(spark, tmp_path):
     day = lambda s: f"timestamp'2024-01-0{s}'"
     for i, (ts, v) in enumerate(((f"{day('2 12:00:00')}", 1.0), (f"{day('3 12:00:00')}", 2.0), (f"{day('2 12:05:00')}", 9.0))):
-        spark.sql(f"SELECT {ts} AS ts, 'x' AS event_type, CAST({v} AS DOUBLE) AS value").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{i}")
+        spark.sql(f"SELECT {ts} AS ts, {i}L AS event_id, 'x' AS event_type, CAST({v} AS DOUBLE) AS value").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{i}")
     seen = []
     for i in range(3):
         spark.read.parquet(f"{tmp_path}/in{i}").write.mode("append").parquet(f"{tmp_path}/in")

@@ -12,7 +12,7 @@ def numbered(body: str) -> str:
 
 
 EVENT_BARS = numbered(
-    "SELECT event_type AS symbol, time_bucket(INTERVAL '30 minutes', ts) AS ts, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low, arg_max(value, ts) AS close, sum(value) AS volume FROM events GROUP BY 1, 2"
+    "SELECT event_type AS symbol, time_bucket(INTERVAL '30 minutes', ts) AS ts, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, sum(value) AS volume FROM events GROUP BY 1, 2"
 )
 ORDER_BARS = numbered(
     "SELECT 'ORDERS' AS symbol, date_trunc('day', o_orderdate)::TIMESTAMP AS ts, first(o_totalprice ORDER BY o_orderdate, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, last(o_totalprice ORDER BY o_orderdate, o_orderkey) AS close, count(*)::DOUBLE AS volume FROM orders GROUP BY 2"

@@ -27,16 +27,16 @@ def numbered(bars: DataFrame) -> DataFrame:
 
 
 def event_bars(spark: SparkSession, sf_dir: str, seconds: int = 1800, by_type: bool = True) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_type", "value")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_id", "event_type", "value")
     symbol = F.col("event_type") if by_type else F.lit("ALL")
-    return ohlcv(events, bucket("ts", seconds), F.col("ts"), "value", F.sum("value"), symbol)
+    return ohlcv(events, bucket("ts", seconds), F.struct("ts", "event_id"), "value", F.sum("value"), symbol)
 
 
 def all_bars(spark: SparkSession, sf_dir: str, seconds: int = 1800) -> DataFrame:
     """A symbol for each event type, and ALL."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_type", "value")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("ts", "event_id", "event_type", "value")
     events = events.withColumn("symbol", F.explode(F.array("event_type", F.lit("ALL"))))
-    return ohlcv(events, bucket("ts", seconds), F.col("ts"), "value", F.sum("value"), F.col("symbol"))
+    return ohlcv(events, bucket("ts", seconds), F.struct("ts", "event_id"), "value", F.sum("value"), F.col("symbol"))
 
 
 def order_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ def bars(events: DataFrame, seconds: int = 1800, late: str = "10 minutes") -> Da
     later than the watermark are left out. ts must be a timestamp with a zone, as watermarks ask for."""
     ts = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     made = ts.groupBy(F.col("event_type").alias("symbol"), F.window("ts", f"{seconds} seconds").alias("w")).agg(
-        F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "ts").alias("close"), F.sum("value").alias("volume")
+        F.min_by("value", F.struct("ts", "event_id")).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", F.struct("ts", "event_id")).alias("close"), F.sum("value").alias("volume")
     )
     return made.select("symbol", F.col("w.start").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume")
 
