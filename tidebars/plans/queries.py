@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidebars.functions import rolling as R
 from tidebars.operators import evaluation, labels, oscillators
 from tidebars.operators import recurrence as S
-from tidebars.plans import gates, oracles, risks, studies, tick_studies, zone_studies
+from tidebars.plans import feedback_studies, gates, level_studies, oracles, risks, studies, tick_studies, zone_studies
 from tidebars.plans.matrix import FAMILIES, build, catalog, finished, matrix
 from tidebars.plans.sql import OHLCV, RECURSIVE, plain_sql
 from tidebars.sources import bars as B
@@ -207,8 +207,8 @@ MACHINES = [
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (*PLAIN, *map(family, FAMILIES), *MACHINES)} | studies.queries() | zone_studies.queries() | tick_studies.queries() | gates.queries() | risks.queries()
+    return {q.__name__: q for q in (*PLAIN, *map(family, FAMILIES), *MACHINES)} | studies.queries() | zone_studies.queries() | tick_studies.queries() | feedback_studies.queries() | level_studies.queries() | gates.queries() | risks.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return plain_sql() | oracles.oracle_sql() | studies.oracle_sql() | zone_studies.oracle_sql() | tick_studies.oracle_sql() | gates.oracle_sql() | risks.oracle_sql()
+    return plain_sql() | oracles.oracle_sql() | studies.oracle_sql() | zone_studies.oracle_sql() | tick_studies.oracle_sql() | feedback_studies.oracle_sql() | level_studies.oracle_sql() | gates.oracle_sql() | risks.oracle_sql()
