@@ -70,9 +70,11 @@ def folds(df: DataFrame, train_months: int = 9, val_months: int = 1, step_months
 
 
 def fold_rows(df: DataFrame, made: DataFrame, purge: int = 12, embargo: int = 12) -> DataFrame:
-    """Rows of every fold with part 'train' or 'val': an equi-join on the symbol and a range on ts (a row is in at most
-    train + validation months folds); the last `purge` of training and the first `embargo` of validation are left out."""
-    rows = df.join(made, "symbol").where((C("ts") >= C("train_start")) & (C("ts") < C("val_end")))
+    """Rows of every fold with part 'train' or 'val': folds are spread over their months, and a row meets those of its month only
+    (as many as a fold has months); the last `purge` of training and the first `embargo` of validation are left out."""
+    month = lambda x: F.trunc(x.cast("date"), "MM")
+    spread = made.withColumn("_month", F.explode(F.sequence(month(C("train_start")), month(C("val_end")), F.expr("interval 1 month"))))
+    rows = df.withColumn("_month", month(C("ts"))).join(spread, ["symbol", "_month"]).drop("_month").where((C("ts") >= C("train_start")) & (C("ts") < C("val_end")))
     rows = rows.withColumn("part", F.when(C("ts") < C("train_end"), "train").otherwise("val"))
     w = Window.partitionBy("symbol", "fold", "part")
     rows = rows.withColumns({"_up": F.row_number().over(w.orderBy("ts")), "_down": F.row_number().over(w.orderBy(C("ts").desc()))})

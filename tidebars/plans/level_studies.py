@@ -1,4 +1,4 @@
-"""Queries of channels and of neighbours in time, and the SQL that they are held against."""
+"""Queries of channels, of neighbours in time and of two grids of bars, and the SQL that they are held against."""
 
 from __future__ import annotations
 
@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from tidebars.functions import rolling as R
 from tidebars.functions.nulls import safe_div
+from tidebars.operators import as_of as A
 from tidebars.operators import channels as H
 from tidebars.operators import neighbours as N
 from tidebars.plans.matrix import finished
 from tidebars.plans.sql import EVENT_BARS
-from tidebars.plans.studies import lag, roll
+from tidebars.plans.studies import SO_FAR, lag, roll
 from tidebars.plans.zone_studies import pivot_sql
 from tidebars.sources import bars as B
 
@@ -39,8 +40,19 @@ def study_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(N.predicted(featured(B.event_bars(spark, sf_dir)), FEATURES, "label"), ["votes", "neighbours"])
 
 
+def study_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-minute bars against the half hour closed before."""
+    made = A.triggers(B.event_bars(spark, sf_dir, 300), B.event_bars(spark, sf_dir), 1800)
+    return finished(made, ["bias", "support", "resistance", "swept", "confirmed", "entry"], 5)
+
+
+def study_zone_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = A.zone_volume(B.event_bars(spark, sf_dir), B.event_bars(spark, sf_dir, 300), 1800)
+    return finished(made, ["zone_top", "zone_bottom", "finer_volume", "finer_bars", "own_volume"], 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (study_channels, study_neighbours)}
+    return {q.__name__: q for q in (study_channels, study_neighbours, study_triggers, study_zone_volume)}
 
 
 def channels_sql(n: int = 10, back: int = 290, span: int = 300) -> str:
@@ -76,5 +88,31 @@ def neighbours_sql(k: int = 8, spacing: int = 4, back: int = 2000) -> str:
     )
 
 
+FINE = EVENT_BARS.replace("30 minutes", "5 minutes")
+
+
+def triggers_sql() -> str:
+    last = lambda x: f"last_value({x} IGNORE NULLS) OVER {SO_FAR}"
+    return (
+        f"WITH b0 AS ({EVENT_BARS}), c1 AS (SELECT *, (close - ({roll('avg', 'close', 20)})) / nullif({roll('stddev_pop', 'close', 20)}, 0) AS score, {pivot_sql('low', 'min', 2)} AS pl, {pivot_sql('high', 'max', 2)} AS ph FROM b0), "
+        f"c2 AS (SELECT symbol, ts + INTERVAL 30 MINUTE AS known, CASE WHEN score >= 0.5 THEN 1 WHEN score <= -0.5 THEN -1 ELSE 0 END AS bias, {last('pl')} AS support, {last('ph')} AS resistance FROM c1), "
+        f"f0 AS ({FINE}), f1 AS (SELECT f0.*, bias, support, resistance FROM f0 ASOF LEFT JOIN c2 ON c2.symbol = f0.symbol AND c2.known <= f0.ts), "
+        f"f2 AS (SELECT *, CASE WHEN low < support AND close > support THEN 1 WHEN high > resistance AND close < resistance THEN -1 ELSE 0 END AS swept, coalesce(volume > 1.5 * ({roll('avg', 'volume', 20)}), false) AS loud, (close - open) / nullif(high - low, 0) AS along FROM f1), "
+        "f3 AS (SELECT *, swept <> 0 AND (loud OR coalesce(along * swept > 0.5, false)) AS confirmed FROM f2) "
+        "SELECT symbol, ts, bias, round(support, 5) AS support, round(resistance, 5) AS resistance, swept, confirmed::INT AS confirmed, CASE WHEN confirmed AND swept = bias THEN swept ELSE 0 END AS entry FROM f3"
+    )
+
+
+def zone_volume_sql() -> str:
+    zone = f"last_value(CASE WHEN ph IS NOT NULL THEN {{'top': ph, 'bottom': body}} END IGNORE NULLS) OVER {SO_FAR}"
+    over = "low < zone_top AND high > zone_bottom"
+    return (
+        f"WITH b0 AS ({EVENT_BARS}), c1 AS (SELECT *, {pivot_sql('high', 'max', 2)} AS ph, {lag('greatest(open, close)', 2)} AS body FROM b0), c2 AS (SELECT *, {zone} AS z FROM c1), c3 AS (SELECT *, z.top AS zone_top, z.bottom AS zone_bottom FROM c2), f0 AS ({FINE}), "
+        f"v AS (SELECT c.symbol, c.ts, sum(f.volume) AS volume, count(*) AS n FROM c3 c JOIN f0 f ON f.symbol = c.symbol AND time_bucket(INTERVAL '30 minutes', f.ts) = c.ts WHERE f.low < zone_top AND f.high > zone_bottom GROUP BY 1, 2) "
+        f"SELECT c.symbol, c.ts, round(zone_top, 5) AS zone_top, round(zone_bottom, 5) AS zone_bottom, CASE WHEN zone_top IS NOT NULL THEN round(coalesce(v.volume, 0), 5) + 0.0 END AS finer_volume, CASE WHEN zone_top IS NOT NULL THEN coalesce(n, 0)::INT END AS finer_bars, "
+        f"CASE WHEN zone_top IS NOT NULL THEN CASE WHEN {over} THEN round(c.volume, 5) ELSE 0.0 END END AS own_volume FROM c3 c LEFT JOIN v ON v.symbol = c.symbol AND v.ts = c.ts"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"study_channels": channels_sql(), "study_neighbours": neighbours_sql()}
+    return {"study_channels": channels_sql(), "study_neighbours": neighbours_sql(), "study_triggers": triggers_sql(), "study_zone_volume": zone_volume_sql()}
