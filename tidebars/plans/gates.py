@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidebars.functions import rolling as R
 from tidebars.functions.nulls import pct, safe_div
-from tidebars.operators import boosting, gate, labels, oscillators, timeframes
+from tidebars.operators import boosting, calibration, gate, labels, oscillators, timeframes
 from tidebars.operators import recurrence as S
 from tidebars.plans.matrix import finished
 from tidebars.plans.oracles import DOWN, FALL, RISE, SHARED_OUT, UP, atr, ewm, joined, merged, span, walk
@@ -47,6 +47,17 @@ def gate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.fold_rows(df, labels.folds(bars))
 
 
+def gate_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold rows with features between -1 and 1, counted and summed by fold and part."""
+    rows = calibration.scaled(gate.known(gate_rows(spark, sf_dir), FEATURES), FEATURES)
+    return rounded(rows.groupBy("symbol", "fold", "part").agg(F.count("*").alias("n"), *[f(n).alias(f"{k}_{n}") for n in FEATURES for k, f in (("least", F.min), ("most", F.max), ("mean", F.avg))]))
+
+
+def gate_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate model's odds of a rise, calibrated on the earlier half of each validation month and judged on the later."""
+    return rounded(calibration.calibrated(calibration.halves(calibration.odds(gate_rows(spark, sf_dir), FEATURES))), 5)
+
+
 #: The five features of the first gate: fixed names.
 FIVE = ["ema21_dist_pct", "rsi_14", "adx", "htf_ema21_pos", "volume_ratio_20"]
 WEEK = 7 * 86400
@@ -83,8 +94,8 @@ def boosted_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(boosting.boosted_gate(five_rows(spark, sf_dir), FIVE, plan=TREES))
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(n, 6).alias(n) if t == "double" else C(n) for n, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(n, digits).alias(n) if t == "double" else C(n) for n, t in df.dtypes])
 
 
 def model_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +111,7 @@ def gate_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (labels_full, model_gate, gate_importance, gate_decision, boosted_gate, boosted_rounds, boosted_importance)}
+    return {q.__name__: q for q in (labels_full, model_gate, gate_importance, gate_decision, boosted_gate, boosted_rounds, boosted_importance, gate_scaled, gate_calibrated)}
 
 
 def labels_sql() -> str:
@@ -192,11 +203,44 @@ def rounds_sql(plan: boosting.Plan = FIRST) -> str:
     )
 
 
+def scaled_sql() -> str:
+    ends = ", ".join(f"min({f}) FILTER (part = 'train') OVER (PARTITION BY symbol, fold) AS a_{f}, max({f}) FILTER (part = 'train') OVER (PARTITION BY symbol, fold) AS b_{f}" for f in FEATURES)
+    at = ", ".join(f"2 * ({f} - a_{f}) / nullif(b_{f} - a_{f}, 0) - 1 AS x_{f}" for f in FEATURES)
+    told = ", ".join(f"round({g}(x_{f}), 6) AS {k}_{f}" for f in FEATURES for k, g in (("least", "min"), ("most", "max"), ("mean", "avg")))
+    return f"{learned_sql()}, e1 AS (SELECT *, {ends} FROM kn), e2 AS (SELECT *, {at} FROM e1) SELECT symbol, fold, part, count(*) AS n, {told} FROM e2 GROUP BY 1, 2, 3"
+
+
+def calibrated_sql(steps: int = 12) -> str:
+    p = lambda a, b, s="score": f"(1 / (1 + exp(-({a} * {s} + {b}))))"
+    loss = lambda x: f"-avg(ln(least(greatest(CASE WHEN rose = 1 THEN {x} ELSE 1 - {x} END, 1e-15), 1 - 1e-15)))"
+    r, longest = calibration.RIDGE, calibration.LONGEST
+    grid = ", ".join(f"{t!r}::DOUBLE" for t in calibration.GRID)
+    return (
+        f"{learned_sql()}, lo AS (SELECT symbol, fold, ts, max(label) AS label, sum(exp(l - top)) FILTER (k = 0) / sum(exp(l - top)) AS chance FROM (SELECT *, max(l) OVER (PARTITION BY symbol, fold, ts) AS top FROM s) GROUP BY 1, 2, 3), "
+        "sc AS (SELECT symbol, fold, ts, (label = 0)::INT AS rose, greatest(-10.0::DOUBLE, least(10.0::DOUBLE, ln(greatest(coalesce(chance, 0), 1e-15) / greatest(1 - coalesce(chance, 0), 1e-15)))) AS score FROM lo), "
+        "hf AS (SELECT *, row_number() OVER (PARTITION BY symbol, fold ORDER BY ts) * 2 <= count(*) OVER (PARTITION BY symbol, fold) AS early FROM sc), "
+        "nn AS (SELECT symbol, fold, sum(rose) AS ones, count(*) AS n FROM hf WHERE early GROUP BY 1, 2), "
+        "er AS MATERIALIZED (SELECT hf.*, CASE WHEN rose = 1 THEN (ones + 1) / (ones + 2) ELSE 1 / (n - ones + 2) END AS t FROM hf JOIN nn ON nn.symbol = hf.symbol AND nn.fold = hf.fold WHERE early), "
+        "nw AS (SELECT symbol, fold, 0 AS it, 0.0::DOUBLE AS a, ln((ones + 1)::DOUBLE / (n - ones + 1)) AS b FROM nn UNION ALL "
+        f"SELECT symbol, fold, it + 1, a + least(1.0, {longest!r} / greatest(abs(da), abs(db), 1e-300)) * da, b + least(1.0, {longest!r} / greatest(abs(da), abs(db), 1e-300)) * db FROM ("
+        f"SELECT *, (w * g - s * h) / (ss * w - s * s) AS da, (ss * h - s * g) / (ss * w - s * s) AS db FROM ("
+        f"SELECT er.symbol, er.fold, it, a, b, sum((t - {p('a', 'b')}) * score) AS g, sum(t - {p('a', 'b')}) AS h, sum({p('a', 'b')} * (1 - {p('a', 'b')}) * score * score) + {r!r} AS ss, sum({p('a', 'b')} * (1 - {p('a', 'b')}) * score) AS s, sum({p('a', 'b')} * (1 - {p('a', 'b')})) + {r!r} AS w "
+        f"FROM nw JOIN er ON er.symbol = nw.symbol AND er.fold = nw.fold WHERE it < {steps} GROUP BY ALL))), "
+        f"tp AS (SELECT hf.*, a, b, {p('a', 'b')} AS p FROM hf JOIN nw ON nw.symbol = hf.symbol AND nw.fold = hf.fold AND it = {steps}), "
+        f"gr AS (SELECT symbol, fold, t, count(*) FILTER (p >= t AND rose = 1) AS hit, count(*) FILTER (p >= t OR rose = 1) AS every FROM (SELECT *, unnest([{grid}]) AS t FROM tp WHERE early) GROUP BY 1, 2, 3), "
+        "th AS (SELECT symbol, fold, t AS threshold FROM gr QUALIFY row_number() OVER (PARTITION BY symbol, fold ORDER BY round(CASE WHEN every > 0 THEN 2 * hit / (hit + every) ELSE 0 END, 12) DESC, t) = 1) "
+        f"SELECT tp.symbol, tp.fold, round(a, 5) AS a, round(b, 5) AS b, threshold, round({loss(p('1.0', '0.0'))}, 5) AS raw_loss, round({loss('p')}, 5) AS loss, count(*) AS n, count(*) FILTER (p >= threshold) AS signals, count(*) FILTER (p >= threshold AND rose = 1) AS hits "
+        "FROM tp JOIN th ON th.symbol = tp.symbol AND th.fold = tp.fold WHERE NOT early GROUP BY tp.symbol, tp.fold, a, b, threshold"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     each = " UNION ALL ".join(f"SELECT symbol, fold, '{f}' AS feature, label, {f} AS x FROM kn WHERE part = 'train'" for f in FEATURES)
     return {
         "labels_full": labels_sql(),
         "boosted_rounds": rounds_sql(),
+        "gate_scaled": scaled_sql(),
+        "gate_calibrated": calibrated_sql(),
         "model_gate": learned_sql() + " SELECT symbol, fold, round(log_loss, 6) AS log_loss, n_val, round(prior, 6) AS prior, round(ratio, 6) AS ratio FROM g",
         "gate_importance": learned_sql() + f", u AS ({each}), t AS (SELECT symbol, fold, feature, avg(x) AS a, sum(x * x) - sum(x) ** 2 / count(*) AS total FROM u GROUP BY 1, 2, 3), c AS (SELECT symbol, fold, feature, label, count(*) AS n, avg(x) AS m FROM u GROUP BY 1, 2, 3, 4), "
         "z AS (SELECT c.symbol, c.fold, c.feature, sum(n * (m - a) ** 2) / nullif(max(total), 0) AS share FROM c JOIN t ON t.symbol = c.symbol AND t.fold = c.fold AND t.feature = c.feature GROUP BY 1, 2, 3), y AS (SELECT symbol, feature, avg(share) AS gain FROM z GROUP BY 1, 2) "

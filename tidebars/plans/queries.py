@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebars.functions import rolling as R
@@ -118,7 +118,12 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(catalog(), "feature string, family string, stability string")
+    """Every feature of the matrix with its family and stability, how many features are as stable, and the bars that have it."""
+    made = matrix(B.event_bars(spark, sf_dir))
+    names = spark.createDataFrame(catalog(), "feature string, family string, stability string").withColumn("alike", F.count("*").over(Window.partitionBy("stability")))
+    counts = made.agg(F.count("*").alias("_bars"), *[F.count(c).alias(c) for c, _, _ in catalog()])
+    known = counts.unpivot("_bars", [c for c, _, _ in catalog()], "feature", "known").withColumnRenamed("_bars", "bars")
+    return names.join(known, "feature").select("feature", "family", "stability", "alike", "bars", "known")
 
 
 # --- labels and evaluation

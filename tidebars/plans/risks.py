@@ -50,8 +50,10 @@ def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features by how stable they are."""
-    return spark.createDataFrame(catalog(), "feature string, family string, stability string").groupBy("stability").agg(F.count("*").alias("features"))
+    """Features by how stable they are, with those whose family is seen in the bars of each symbol: the bars, and the values due."""
+    tags = spark.createDataFrame(catalog(), "feature string, family string, stability string").groupBy("stability").agg(F.count("*").alias("features"))  # two rows
+    bars = B.event_bars(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("bars"))
+    return bars.join(F.broadcast(tags), F.lit(True)).select("symbol", "stability", "features", "bars", (C("features") * C("bars")).alias("due"))
 
 
 def missing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +126,9 @@ def bootstrap_sql() -> str:
 def oracle_sql() -> dict[str, str]:
     sizes = {"stop_share": "stop / nullif(close, 0)", "size": "size", "notional": "size * close", "capped": "coalesce(free > most, false)"}
     missing = " UNION ALL ".join(f"SELECT '{n}' AS feature, count(*) FILTER (({BAND_COLUMNS[n]}) IS NULL) AS missing, round(100.0 * count(*) FILTER (({BAND_COLUMNS[n]}) IS NULL) / count(*), 5) AS percent FROM b2" for n in BAND_NAMES)
+    tags = f"SELECT symbol, stability, features, count(*) AS bars, features * count(*) AS due FROM ({EVENT_BARS}), (VALUES ('dynamic', 180::BIGINT), ('static', 70::BIGINT)) t(stability, features) GROUP BY 1, 2, 3"
     return {
+        "feature_tags": tags,
         "position_sizes": steps(EVENT_BARS, *BANDS[:2], f"CASE WHEN tr20 > 0 THEN {REACH} * tr20 END AS stop, 1000.0 / nullif(close, 0) AS most", "100.0 / nullif(stop, 0) AS free", "CASE WHEN free IS NOT NULL THEN least(free, most) END AS size") + shown(sizes, 5, ("capped",), 5),
         "trade_health": f"{TRADES}, {HEALTH} SELECT symbol, ts, {told('hit_rate', 'net', 'change')}, hit_band, pnl_band FROM hh",
         "kill_switches": f"{TRADES}, {HEALTH}, {KILL} SELECT symbol, day::TIMESTAMP AS day, {told('day_pnl', 'week_fall')}, slips, red_run, coalesce(week_fall > 8, false)::INT AS halt_week, (day_pnl < -4)::INT AS halt_day, (slips > 0)::INT AS halt_slip, (red_run >= 3)::INT AS halt_red FROM d2",
