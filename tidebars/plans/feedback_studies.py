@@ -1,4 +1,4 @@
-"""Queries of the machines that feed back on themselves, and the SQL that they are held against."""
+"""Queries of the machines that feed back on themselves and of the trend over clusters, and the SQL that they are held against."""
 
 from __future__ import annotations
 
@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidebars.operators import clusters
 from tidebars.operators import feedback as K
 from tidebars.operators import recurrence as S
 from tidebars.plans.matrix import finished
 from tidebars.plans.oracles import DOWN, NONE, UP, ewm, merged, span, walk
-from tidebars.plans.sql import shown
+from tidebars.plans.sql import EVENT_BARS, shown
+from tidebars.plans.zone_studies import mean_range
 from tidebars.sources import bars as B
 
 MACHINES: dict[str, tuple[tuple[str, ...], Callable[[], S.Machine]]] = {
@@ -30,8 +32,12 @@ def machine(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def study_adaptive_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return finished(clusters.adaptive_trend(B.event_bars(spark, sf_dir)), ["cluster", "centre", "trend_line", "trend_side"], 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: machine(n) for n in MACHINES}
+    return {n: machine(n) for n in MACHINES} | {"study_adaptive_trend": study_adaptive_trend}
 
 
 # --- SQL: states of the bar before are o_<name>
@@ -69,9 +75,35 @@ RANGE = [
 ]
 
 
+def clusters_sql(n: int = 10, window: int = 100) -> str:
+    """Bars with the centre next to their mean range, by recursion until centres stay."""
+    w = f"(PARTITION BY symbol ORDER BY ts ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)"
+    far = lambda k: f"abs(v - {'abc'[k]})"
+    mine = lambda k: f"list_avg(list_filter(vs, lambda v: {' AND '.join(f'{far(k)} < {far(o)}' for o in range(3) if o != k)}))"
+    moved = " OR ".join(f"abs(n{x} - {x}) > 1e-12 * abs({x})" for x in "abc")
+    return (
+        f"(WITH RECURSIVE b0 AS MATERIALIZED ({EVENT_BARS}), {mean_range(n)}, m0 AS (SELECT b0.*, CASE WHEN rn >= {n} THEN mr END AS mr FROM b0 JOIN walk USING (symbol, rn)), m1 AS (SELECT *, CASE WHEN count(mr) OVER {w} = {window} THEN list(mr) OVER {w} END AS vs FROM m0), "
+        "km AS (SELECT symbol, rn, vs, lo + (hi - lo) * 0.75 AS a, lo + (hi - lo) * 0.5 AS b, lo + (hi - lo) * 0.25 AS c, true AS going FROM (SELECT symbol, rn, vs, list_min(vs) AS lo, list_max(vs) AS hi FROM m1 WHERE vs IS NOT NULL) UNION ALL "
+        f"SELECT symbol, rn, vs, na, nb, nc, {moved} FROM (SELECT *, {', '.join(f'coalesce({mine(k)}, {x}) AS n{x}' for k, x in enumerate('abc'))} FROM km WHERE going)), "
+        "fin AS (SELECT * FROM km WHERE NOT going) "
+        "SELECT m0.*, list_position(ds, list_min(ds)) - 1 AS cluster, cs[list_position(ds, list_min(ds))] AS centre FROM m0 LEFT JOIN (SELECT symbol, rn, [a, b, c] AS cs FROM fin) f USING (symbol, rn), LATERAL (SELECT list_transform(cs, lambda x: abs(m0.mr - x)) AS ds) d)"
+    )
+
+
+ADAPTIVE = [
+    {
+        "sup": (NONE, "CASE WHEN centre IS NOT NULL THEN CASE WHEN o_sup IS NOT NULL AND pc > o_sup THEN greatest((high + low) / 2 - 3 * centre, o_sup) ELSE (high + low) / 2 - 3 * centre END END"),
+        "sdown": (NONE, "CASE WHEN centre IS NOT NULL THEN CASE WHEN o_sdown IS NOT NULL AND pc < o_sdown THEN least((high + low) / 2 + 3 * centre, o_sdown) ELSE (high + low) / 2 + 3 * centre END END"),
+        "dir": ("1", "CASE WHEN o_sup IS NULL THEN o_dir WHEN o_dir < 0 AND close > o_sdown THEN 1 WHEN o_dir > 0 AND close < o_sup THEN -1 ELSE o_dir END"),
+    },
+]
+
+
 def oracle_sql() -> dict[str, str]:
     told = lambda levels, out: walk(levels, out) + shown({n: n for n in out}, 1, digits=5)
+    adaptive = walk(ADAPTIVE, {"cluster": "b.cluster", "centre": "b.centre", "trend_line": "CASE WHEN dir > 0 THEN sup ELSE sdown END", "trend_side": "CASE WHEN b.centre IS NOT NULL THEN dir END"}, clusters_sql())
     return {
+        "study_adaptive_trend": adaptive + shown({n: n for n in ("cluster", "centre", "trend_line", "trend_side")}, 1, ("cluster",), digits=5),
         "study_qqe": told(QQE, {"qqe_rsi": "rm", "qqe_line": "CASE WHEN tr = 1 THEN lo ELSE hi END", "qqe_trend": "tr"}),
         "study_half_trend": told(HALF, {"half_line": "CASE WHEN tr = 0 THEN u ELSE d END", "half_trend": "tr"}),
         "study_range_filter": told(RANGE, {"filter": "y", "filter_run": "run"}),

@@ -12,7 +12,10 @@ from tidebars.functions.nulls import safe_div
 from tidebars.operators import as_of as A
 from tidebars.operators import channels as H
 from tidebars.operators import neighbours as N
+from tidebars.operators import setups as U
+from tidebars.operators.levels import PIVOTS
 from tidebars.plans.matrix import finished
+from tidebars.plans.oracles import atr, ewm, merged, span, walk
 from tidebars.plans.sql import EVENT_BARS
 from tidebars.plans.studies import SO_FAR, lag, roll
 from tidebars.plans.zone_studies import pivot_sql
@@ -51,8 +54,13 @@ def study_zone_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(made, ["zone_top", "zone_bottom", "finer_volume", "finer_bars", "own_volume"], 5)
 
 
+def study_setups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five-minute bars at their means and pivots, with the hour before."""
+    return finished(U.setups(B.event_bars(spark, sf_dir, 300)), U.COLUMNS, 5)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (study_channels, study_neighbours, study_triggers, study_zone_volume)}
+    return {q.__name__: q for q in (study_channels, study_neighbours, study_triggers, study_zone_volume, study_setups)}
 
 
 def channels_sql(n: int = 10, back: int = 290, span: int = 300) -> str:
@@ -114,5 +122,36 @@ def zone_volume_sql() -> str:
     )
 
 
+def setups_sql() -> str:
+    hours = f"SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM (SELECT symbol, time_bucket(INTERVAL '1 hour', ts) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume FROM ({FINE}) GROUP BY 1, 2)"
+    mean = lambda name, n: ewm(name, "close", span(n), "close")
+    fine = walk([merged(mean("e21", 21), mean("e50", 50), atr("a", 14))], {"e21": "e21", "e50": "e50", "a": "a"}, FINE)
+    coarse = walk([merged(mean("c50", 50), mean("c200", 200), atr("a", 14))], {"c50": "c50", "c200": "c200", "a": "a"}, hours)
+    since = lambda cond: f"rn - last_value(CASE WHEN {cond} THEN rn END IGNORE NULLS) OVER {SO_FAR}"
+    near = lambda x: f"coalesce(abs(close - {x}) <= 0.3 * a, false)"
+    levels = ", ".join(f"(h + l + c) / 3 + {share!r} * (h - l) AS p{i}" for i, share in enumerate(PIVOTS.values()))
+    every = [f"p{i}" for i in range(len(PIVOTS))]
+    body, up, down = "abs(close - open)", "(high - greatest(open, close))", "(least(open, close) - low)"
+    pin = f"(({down} > 2 * {body} AND {up} < {body})::INT - ({up} > 2 * {body} AND {down} < {body})::INT)"
+    engulf = "(coalesce(close > open AND pc < po AND close >= po AND open <= pc, false)::INT - coalesce(close < open AND pc > po AND close <= po AND open >= pc, false)::INT)"
+    top, bottom = roll("max", "close", 20), roll("min", "close", 20)
+    told = {f"bars_since_ema{n}_touch_5m": since(f"t{n}") for n in (21, 50)}
+    told |= {f"ema{n}_bounce_5bar_5m": f"last_value(CASE WHEN u{n} THEN (close - e{n}) / nullif(a, 0) END IGNORE NULLS) OVER {SO_FAR}" for n in (21, 50)}
+    told |= {"bars_since_ema50_touch_1h": "s50", "bars_since_ema200_touch_1h": "s200", "mtf_trend_alignment": f"coalesce(sign(e50 - {lag('e50', 12)}), 0) * coalesce(sign(slope), 0)"}
+    told |= {f"ema{n}_pivot_confluence": f"least({', '.join(f'abs({p} - e{n})' for p in every)}) / nullif(a, 0)" for n in (21, 50)}
+    told |= {f"{k}_at_{w}": f"CASE WHEN {cond} THEN {x} ELSE 0 END" for k, x in (("pin_bar", pin), ("engulf", engulf)) for w, cond in (("ema", "t21 OR t50"), ("pivot", " OR ".join(near(p) for p in every)))}
+    told |= {"pullback_depth_pct": f"(({top}) - close) / nullif(({top}) - ({bottom}), 0)", "dist_from_range_high_20_pct": f"(({top}) - close) / nullif(close, 0) * 100", "dist_from_range_low_20_pct": f"(close - ({bottom})) / nullif(close, 0) * 100"}
+    whole = {n for n in told if n.startswith("bars_since")}
+    cols = ", ".join(f"({told[n]})::INT AS {n}" if n in whole else f"round(({told[n]})::DOUBLE, 5) + 0.0 AS {n}" for n in U.COLUMNS)
+    return (
+        f"WITH f AS ({fine} SELECT * FROM b1), h0 AS ({coarse} SELECT * FROM b1), h1 AS (SELECT *, {since(near('c50'))} AS s50, {since(near('c200'))} AS s200, c50 - {lag('c50', 4)} AS slope FROM h0), "
+        f"h2 AS (SELECT symbol, ts, {', '.join(f'{lag(x)} AS {x}' for x in ('s50', 's200', 'slope'))} FROM h1), "
+        "d0 AS (SELECT symbol, ts::DATE AS day, max(high) AS h, min(low) AS l, arg_max(close, ts) AS c FROM f GROUP BY 1, 2), d1 AS (SELECT symbol, day, lag(h) OVER w AS h, lag(l) OVER w AS l, lag(c) OVER w AS c FROM d0 WINDOW w AS (PARTITION BY symbol ORDER BY day)), "
+        f"d2 AS (SELECT symbol, day, {levels} FROM d1), j0 AS (SELECT f.*, s50, s200, slope, {', '.join(every)}, {lag('f.close').replace('symbol', 'f.symbol').replace('BY ts', 'BY f.ts')} AS pc, {lag('f.open').replace('symbol', 'f.symbol').replace('BY ts', 'BY f.ts')} AS po "
+        "FROM f LEFT JOIN h2 ON h2.symbol = f.symbol AND h2.ts = time_bucket(INTERVAL '1 hour', f.ts) LEFT JOIN d2 ON d2.symbol = f.symbol AND d2.day = f.ts::DATE), "
+        f"j1 AS (SELECT *, {near('e21')} AS t21, {near('e50')} AS t50 FROM j0), j2 AS (SELECT *, {', '.join(f'coalesce({lag(f"t{n}", 5)}, false) AS u{n}' for n in (21, 50))} FROM j1) SELECT symbol, ts, {cols} FROM j2"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"study_channels": channels_sql(), "study_neighbours": neighbours_sql(), "study_triggers": triggers_sql(), "study_zone_volume": zone_volume_sql()}
+    return {"study_channels": channels_sql(), "study_neighbours": neighbours_sql(), "study_triggers": triggers_sql(), "study_zone_volume": zone_volume_sql(), "study_setups": setups_sql()}
