@@ -93,21 +93,21 @@ def anchors(data: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndar
 
 
 def suffix_order(fragments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All suffixes of a collection in order: document, place; then the joined bytes and where each document begins."""
+    """All suffixes of a collection in order: document, place; then the joined bytes (an END before each document) and where each
+    begins. The symbol before a suffix is then the byte before its place, whatever its document."""
     size = np.array([len(f) for f in fragments], np.int32)
-    flat = np.frombuffer(b"".join(fragments), np.uint8)
-    end = np.cumsum(size, dtype=np.int32)
-    begin = end - size
-    every = np.arange(len(fragments), dtype=np.int32)
-    doc, place = every, end  # the empty suffixes
+    mark = bytes([END])
+    flat = np.frombuffer(mark + mark.join(fragments), np.uint8)
+    begin = np.concatenate(([1], np.cumsum(size[:-1] + 1, dtype=np.int32) + 1)).astype(np.int32)
+    end = begin + size
+    place = end  # the empty suffixes
     before = flat[end - 1]  # the transform: the symbol before each suffix
     for _ in range(int(size.max())):
         order = np.argsort(before, kind="stable")
         order = order[: len(order) - np.count_nonzero(before == END)]  # whole documents have nothing to add
-        doc = np.concatenate((every, doc[order]))
         place = np.concatenate((end, place[order] - np.int32(1)))
-        before = np.where(place > begin[doc], flat[place - 1], np.uint8(END))
-    return doc, place, flat, begin
+        before = flat[place - 1]
+    return np.searchsorted(begin, place, side="right") - 1, place, flat, begin
 
 
 def least_documents(fragments: list[bytes], least: np.ndarray, window: int) -> np.ndarray:
