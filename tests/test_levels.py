@@ -7,9 +7,11 @@ import numpy as np
 import pytest
 
 from tidebars.operators import channels as H
+from tidebars.operators import clusters as C
 from tidebars.operators import feedback as K
 from tidebars.operators import neighbours as N
 from tidebars.operators import recurrence as S
+from tidebars.operators import setups as U
 from tidebars.sources import bars as B
 
 
@@ -94,3 +96,39 @@ def test_machines_skip_bars_without_values(spark):
     some = [tuple(r)[8:] for r in S.scan(made(spark, holes), scans()).orderBy("ts").collect()]
     assert some[:30] + some[32:] == whole
     assert {r[2] for r in whole} <= {1.0, -1.0} and {r[4] for r in whole} <= {0.0, 1.0} and any(r[6] < 0 for r in whole) and any(r[6] > 0 for r in whole)
+
+
+def loop_centres(x):
+    low, high = min(x), max(x)
+    at = [low + (high - low) * s for s in C.STARTS]
+    for _ in range(200):
+        new = []
+        for k in range(3):
+            mine = [v for v in x if all(abs(v - at[k]) < abs(v - at[o]) for o in range(3) if o != k)]
+            new.append(sum(mine) / len(mine) if mine else at[k])
+        if max(abs(a - b) for a, b in zip(new, at, strict=True)) <= 1e-12:
+            break
+        at = new
+    return at
+
+
+def test_centres_by_a_loop():
+    rng = np.random.default_rng(7)
+    windows = np.concatenate((rng.integers(0, 9, (30, 12)), rng.gamma(1.0, 2.0, (30, 12)), np.full((1, 12), 4.0)))
+    for x, got in zip(windows, C.centres(windows), strict=True):
+        assert got == pytest.approx(loop_centres(x.tolist()))
+    assert C.centres(np.zeros((0, 12))).shape == (0, 3)
+
+
+def test_the_trend_over_clusters_needs_a_window(spark):
+    rng = random.Random(9)
+    rows = C.adaptive_trend(made(spark, [100 + 3 * rng.random() * (1 + i // 30) for i in range(90)] + [None]), n=5, window=40).orderBy("ts").collect()
+    assert [r.centre is None for r in rows[:43]] == [True] * 43 and all(r.centre and r.cluster in (0, 1, 2) and r.trend_side in (1.0, -1.0) for r in rows[44:90])
+    assert len(rows) == 91
+
+
+def test_setups_of_odd_bars(spark):
+    """A bar without values, bars on top of each other, and a symbol of one bar."""
+    rows = U.setups(made(spark, [10.0, 10.0, None, 10.0, 11.0] * 8).unionByName(made(spark, [5.0], "b"))).orderBy("symbol", "ts").collect()
+    assert len(rows) == 41 and rows[0].bars_since_ema21_touch_5m == 0 and rows[-1].mtf_trend_alignment == 0.0
+    assert all(r.pullback_depth_pct is None or 0 <= r.pullback_depth_pct <= 1 for r in rows)
