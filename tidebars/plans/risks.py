@@ -17,7 +17,7 @@ from tidebars.sources import bars as B
 C = F.col
 #: Days of the rolling frames, resamples, and true ranges to the stop.
 DAYS = 7
-DRAWS = 500
+DRAWS = 10_000
 REACH = 2.4
 BAND_NAMES = ["bb_basis", "bb_upper", "bb_lower", "kc_upper", "kc_lower", "bb_width_pct", "bb_position"]
 
