@@ -124,3 +124,20 @@ def test_trend_lines_in_any_chunks(spark):
     df = series(spark, {"a": walk(8, 240), "b": walk(9, 100)})
     told = lambda f: sorted(map(tuple, f.drop("ts").collect()))
     assert told(Z.trend_lines(df, 3)) == told(Z.trend_lines(df, 3, size=11, deals=2)) != []
+
+
+def test_pools_need_three_swings_and_none_beyond():
+    m = Z.Pools()
+    told = [m.step(h, low, 1.0, float(i)) for i, (h, low) in enumerate([(10.0, None), (None, 5.0), (10.4, None), (None, 5.2), (None, 4.0), (9.8, None), (None, 4.5), (10.1, 4.4)])]
+    assert told[5] == (-1.0, -1.0, (9.8 + 10.4) / 2 - 1.0, (9.8 + 10.4) / 2 + 1.0)  # from the first swing's bar
+    assert all(t == (None,) * 4 for i, t in enumerate(told) if i not in (5, 6))
+    assert m.step(12.0, None, 1.0, 9.0) == (None,) * 4 and m.swings[0] == (1, 8.0, 12.0)
+    assert m.step(None, None, None, None) == (None,) * 4
+
+
+def test_a_pool_is_broken_beyond_its_far_edge(spark):
+    up = [100 + 10 * (1 - abs((i % 24) - 12) / 12) for i in range(120)] + [100.0 + i for i in range(30)]
+    df = series(spark, {"a": [(v, v + 0.2, v - 0.2, v) for v in up]})
+    rows = Z.lives(df, [Z.pools(df)]).where("side = -1").collect()
+    assert len(rows) == 1 and rows[0].origin == 13 and rows[0].broken is not None
+    assert up[rows[0].broken - 1] + 0.2 > rows[0].top >= up[rows[0].broken - 2] + 0.2

@@ -1,4 +1,4 @@
-"""Zones that live until they are met: order blocks and the breakers they turn into, fair value gaps, supply and demand.
+"""Zones that live until they are met: order blocks and the breakers they turn into, fair value gaps, supply and demand, liquidity pools.
 
 Each maker gives one row a zone: symbol, born (the number of the bar that makes it), ts, kind, side (1: support, -1: resistance),
 origin (the bar it is drawn from), bottom, top. lives() adds when it is met, broken and gone, without a bound on the look-ahead.
@@ -120,14 +120,14 @@ def supply_demand(bars: DataFrame, n: int = 10, mean: int = 50, width: float = 0
 
 def lives(bars: DataFrame, zones: list[DataFrame], **more: int) -> DataFrame:
     """zones with met, broken and gone (bar numbers, NULL while not yet): met is the first bar after birth that reaches the zone;
-    a gap is broken by a bar beyond its far edge, a pivot zone by a close at it, an order block by a whole body beyond it. An order
+    a gap or a pool is broken by a bar beyond its far edge, a pivot zone by a close at it, an order block by a whole body beyond it. An order
     block is a breaker from then on, and gone at the first later close beyond the other edge; the others are gone when broken."""
     every = reduce(DataFrame.unionByName, [z.select(*ZONE) for z in zones])
     up, order, pivot = C("side") == 1, C("kind") == "order", C("kind") == "pivot"
     near, far = F.when(up, C("top")).otherwise(C("bottom")), F.when(up, C("bottom")).otherwise(C("top"))
     by = F.when(order, F.when(up, F.lit("body_low")).otherwise(F.lit("body_high"))).when(pivot, F.lit("close")).otherwise(F.when(up, F.lit("low")).otherwise(F.lit("high")))
     first = [quest("met", C("born"), near, F.when(up, F.lit("low")).otherwise(F.lit("high")), up, True)]
-    broken = quest("broken", F.when(C("kind") == "gap", C("born")).otherwise(C("born") - 1), far, by, up, False)
+    broken = quest("broken", F.when(C("kind").isin("gap", "pool"), C("born")).otherwise(C("born") - 1), far, by, up, False)
     first.append(broken.withField("touch", pivot))
     one = asked(bars, every, first, **more).drop("_gone").withColumnsRenamed({"_met": "met", "_broken": "broken"})
     breakers, rest = one.where(order & C("broken").isNotNull()), one.where(~(order & C("broken").isNotNull())).withColumn("gone", F.when(~order, C("broken")))
@@ -140,6 +140,54 @@ def zones(bars: DataFrame, **more: int) -> DataFrame:
     return lives(bars, [order_blocks(bars), value_gaps(bars), supply_demand(bars, **more)], **more)
 
 
+class Pools(S.Machine):
+    """Alternating swings (of pivots of one kind in a row the furthest), and pools where the last pivot lies within `wide` of at least two
+    others of its kind with none beyond: side, first bar, bottom and top. The last `most` swings are looked at."""
+
+    inputs = ("_ph", "_pl", "_wide", "rn")
+
+    def __init__(self, most: int = 50, least: int = 3):
+        self.most, self.least = most, least
+        self.swings: list[tuple[int, float, float]] = []  # newest first: side, bar, price
+        self.told: dict[int, float] = {}
+
+    def found(self, side: int, price: float, wide: float) -> tuple[S.Value, ...] | None:
+        inside = []
+        for s, at, p in self.swings:
+            if s == side:
+                if side * (p - price) > wide:
+                    break
+                if abs(p - price) < wide:
+                    inside.append((at, p))
+        if len(inside) < self.least or self.told.get(side) == inside[-1][0]:
+            return None
+        self.told[side] = inside[-1][0]
+        middle = (min(p for _, p in inside) + max(p for _, p in inside)) / 2
+        return float(-side), inside[-1][0], middle - wide, middle + wide
+
+    def step(self, high: S.Value, low: S.Value, wide: S.Value, rn: S.Value) -> tuple[S.Value, ...]:
+        out = None
+        for side, price in ((1, high), (-1, low)):
+            if price is None or out is not None:  # a high goes before a low of the same bar
+                continue
+            swing = (side, rn - 1, price)
+            if not self.swings or self.swings[0][0] != side:
+                self.swings = [swing, *self.swings][: self.most]
+            elif side * (price - self.swings[0][2]) > 0:
+                self.swings[0] = swing
+            out = (wide is not None and self.found(side, price, wide)) or (None,) * 4
+        return out or (None,) * 4
+
+
+def pools(bars: DataFrame, left: int = 7, mean: int = 10, share: float = 0.69) -> DataFrame:
+    """Liquidity pools: where at least three swings of a kind lie within `share` mean ranges, with none beyond since. Highs make
+    resistance, lows support; a pool that grows is told once."""
+    df = S.scan(bars, [S.Scan(("_range",), lambda: S.Atr(mean))])
+    df = df.withColumns({"_ph": R.pivot_high("high", left, 1), "_pl": R.pivot_low("low", left, 1), "_wide": C("_range") * share})
+    df = S.scan(df, [S.Scan(("_side", "_from", "_low", "_high"), Pools)]).where(C("_side").isNotNull())
+    return df.select("symbol", "ts", C("rn").alias("born"), F.lit("pool").alias("kind"), C("_side").cast("int").alias("side"), C("_from").cast("int").alias("origin"), C("_low").alias("bottom"), C("_high").alias("top"))
+
+
 def trend_lines(bars: DataFrame, n: int = 10, back: int = 10, **more: int) -> DataFrame:
     """Lines of sight between pivots: rising ones (side 1) through two lows with no close below since the older, falling ones (-1) through
     two highs with none above; for each newer pivot the one to the furthest of the `back` pivots that it sees. A row a line: born (the

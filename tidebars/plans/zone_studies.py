@@ -17,12 +17,17 @@ def study_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(Z.zones(B.event_bars(spark, sf_dir)), ["kind", "side", "born", "origin", "bottom", "top", "met", "broken", "gone"], 5)
 
 
+def study_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = B.event_bars(spark, sf_dir)
+    return finished(Z.lives(bars, [Z.pools(bars)]), ["side", "born", "origin", "bottom", "top", "met", "broken"], 5)
+
+
 def study_trend_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finished(Z.trend_lines(B.event_bars(spark, sf_dir)), ["side", "born", "origin", "newer", "slope", "level", "broken"], 9)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (study_zones, study_trend_lines)}
+    return {q.__name__: q for q in (study_zones, study_trend_lines, study_pools)}
 
 
 # --- SQL
@@ -104,5 +109,31 @@ def trend_lines_sql(n: int = 10, back: int = 10) -> str:
     )
 
 
+def one_sided(x: str, agg: str, left: int) -> str:
+    w = f"(PARTITION BY symbol ORDER BY ts ROWS BETWEEN {left + 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count({x}) OVER {w} = {left + 2} AND {lag(x, 1)} = {agg}({x}) OVER {w} THEN {lag(x, 1)} END"
+
+
+def pools_sql(left: int = 7, share: float = 0.69, most: int = 50) -> str:
+    """Recursion over pivots with the list of swings."""
+    state = (
+        "CASE WHEN len(r.zz) = 0 OR r.zz[1][1] <> e.side THEN ([[e.side, e.rn - 1, e.price]] || r.zz)[1:" + str(most) + "] WHEN e.side * (e.price - r.zz[1][3]) > 0 THEN [[e.side, e.rn - 1, e.price]] || r.zz[2:] ELSE r.zz END"
+    )
+    own = "list_filter(zz, lambda s: s[1] = side)"
+    stop = f"list_position(list_transform({own}, lambda s: side * (s[3] - price) > wide), true)"
+    near = f"list_filter(CASE WHEN {stop} > 0 THEN ({own})[1:{stop} - 1] ELSE {own} END, lambda s: abs(s[3] - price) < wide)"
+    return (
+        f"WITH RECURSIVE b0 AS MATERIALIZED ({EVENT_BARS}), {mean_range(10)}, b1 AS (SELECT b0.*, CASE WHEN rn >= 10 THEN mr * {share!r}::DOUBLE END AS wide, {one_sided('high', 'max', left)} AS ph, {one_sided('low', 'min', left)} AS pl FROM b0 JOIN walk USING (symbol, rn)), "
+        "e AS MATERIALIZED (SELECT symbol, ts, rn, wide, CASE WHEN ph IS NOT NULL THEN 1.0 ELSE -1.0 END::DOUBLE AS side, coalesce(ph, pl)::DOUBLE AS price, row_number() OVER (PARTITION BY symbol ORDER BY rn) AS k FROM b1 WHERE ph IS NOT NULL OR pl IS NOT NULL), "
+        "r AS (SELECT symbol, 0 AS k, []::DOUBLE[][] AS zz, NULL::DOUBLE AS tu, NULL::DOUBLE AS td, NULL::DOUBLE AS first, NULL::DOUBLE AS low, NULL::DOUBLE AS high, false AS told FROM e WHERE k = 1 UNION ALL "
+        "SELECT symbol, k, zz, CASE WHEN told AND side > 0 THEN ns[-1][2] ELSE tu END, CASE WHEN told AND side < 0 THEN ns[-1][2] ELSE td END, ns[-1][2], (list_min(ps) + list_max(ps)) / 2 - wide, (list_min(ps) + list_max(ps)) / 2 + wide, told FROM ("
+        "SELECT *, list_transform(ns, lambda s: s[3]) AS ps, coalesce(len(ns) >= 3 AND ns[-1][2] IS DISTINCT FROM CASE WHEN side > 0 THEN tu ELSE td END, false) AS told FROM ("
+        f"SELECT *, CASE WHEN wide IS NOT NULL THEN {near} END AS ns FROM (SELECT e.symbol, e.k::INT AS k, {state} AS zz, tu, td, e.side, e.price, e.wide FROM r JOIN e ON e.symbol = r.symbol AND e.k = r.k + 1)))), "
+        "z AS (SELECT r.symbol, e.ts, e.rn AS born, -e.side AS side, first AS origin, low AS bottom, high AS top FROM r JOIN e ON e.symbol = r.symbol AND e.k = r.k WHERE told) "
+        f"SELECT symbol, ts, side::INT AS side, born::INT AS born, origin::INT AS origin, round(bottom, 5) + 0.0 AS bottom, round(top, 5) + 0.0 AS top, {passed('z.born', 'CASE WHEN z.side > 0 THEN x.low <= z.top ELSE x.high >= z.bottom END')}::INT AS met, "
+        f"{passed('z.born', 'CASE WHEN z.side > 0 THEN x.low < z.bottom ELSE x.high > z.top END')}::INT AS broken FROM z"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"study_zones": zones_sql(), "study_trend_lines": trend_lines_sql()}
+    return {"study_zones": zones_sql(), "study_trend_lines": trend_lines_sql(), "study_pools": pools_sql()}
