@@ -65,10 +65,10 @@ TREES = boosting.Plan()
 
 
 def five_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fold rows of daily bars of orders and lines with the five features; the coarser frame of a day is the week."""
+    """Fold rows of daily bars of orders and lines with the five features; the coarser frame of a day is the last week before that has bars."""
     bars = B.order_bars(spark, sf_dir).unionByName(B.line_bars(spark, sf_dir))
     c = C("close")
-    week = S.scan(B.resample(bars, WEEK), [S.ema("_e21", 21)]).withColumn("htf_ema21_pos", pct(c - C("_e21"), c))
+    week = S.scan(B.resample(bars, WEEK, fill=False), [S.ema("_e21", 21)]).withColumn("htf_ema21_pos", pct(c - C("_e21"), c))
     df = S.scan(timeframes.join_closed(bars, week, WEEK, ["htf_ema21_pos"]), [S.ema("_e21", 21), S.Scan(("rsi_14",), S.Rsi), S.Scan(("_p", "_n", "adx"), S.Adx)])
     df = oscillators.squeeze(df).withColumns({"ema21_dist_pct": pct(c - C("_e21"), c), "volume_ratio_20": safe_div(C("volume"), R.mean("volume", 20))})
     df = labels.triple_barrier(df, atr="_tr20", quiet_pct=0.5).select("symbol", "ts", "label", *[F.round(f, 9).alias(f) for f in FIVE])
