@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidebars.sources.store import cut as kept_once
+
 C = F.col
 SIZE = 4096
 
@@ -91,11 +93,11 @@ def settled(cut: DataFrame, quests: DataFrame, ends: DataFrame, within, ahead, d
     def met(q: DataFrame) -> DataFrame:
         return cut.groupBy("symbol", "chunk").cogroup(q.groupBy("symbol", "chunk")).applyInPandas(lambda b, x: here(b, x), told)
 
-    near = met(quests)
+    near = kept_once(met(quests))
     deal: Column = F.pmod(F.xxhash64("symbol", "after", "level", "value"), F.lit(deals)).cast("int")
     spread = ends.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
     open_ = near.where(C("at").isNull()).withColumn("deal", deal)
-    sent = spread.groupBy("symbol", "deal").cogroup(open_.groupBy("symbol", "deal")).applyInPandas(lambda c, q: further(c, q), told)
+    sent = kept_once(spread.groupBy("symbol", "deal").cogroup(open_.groupBy("symbol", "deal")).applyInPandas(lambda c, q: further(c, q), told))
     far = met(sent.where(C("chunk") >= 0).drop("at"))
     never = sent.where(C("chunk") < 0)
     return near.where(C("at").isNotNull()).unionByName(far).unionByName(never).drop("chunk")

@@ -17,6 +17,7 @@ from tidebars.functions import rolling as R
 from tidebars.functions.nulls import true
 from tidebars.operators import recurrence as S
 from tidebars.operators.passages import lines_passed, passages
+from tidebars.sources.store import cut
 
 C = F.col
 ZONE = ["symbol", "ts", "born", "kind", "side", "origin", "bottom", "top"]
@@ -129,7 +130,7 @@ def lives(bars: DataFrame, zones: list[DataFrame], **more: int) -> DataFrame:
     first = [quest("met", C("born"), near, F.when(up, F.lit("low")).otherwise(F.lit("high")), up, True)]
     broken = quest("broken", F.when(C("kind").isin("gap", "pool"), C("born")).otherwise(C("born") - 1), far, by, up, False)
     first.append(broken.withField("touch", pivot))
-    one = asked(bars, every, first, **more).drop("_gone").withColumnsRenamed({"_met": "met", "_broken": "broken"})
+    one = cut(asked(bars, every, first, **more).drop("_gone").withColumnsRenamed({"_met": "met", "_broken": "broken"}))
     breakers, rest = one.where(order & C("broken").isNotNull()), one.where(~(order & C("broken").isNotNull())).withColumn("gone", F.when(~order, C("broken")))
     two = asked(bars, breakers, [quest("gone", C("broken"), near, F.lit("close"), ~up, False)], **more).drop("_met", "_broken").withColumnRenamed("_gone", "gone")
     return rest.unionByName(two)
