@@ -70,3 +70,11 @@ def test_amount_bars_are_those_of_one_running_sum(spark):
             want[s, int(total // 100)] = (v + a, k + 1, max(h, p))
             total += a
     assert got == want
+
+
+def test_amount_bars_do_not_hang_on_the_order_of_rows(spark):
+    ticks = [("a", 5.0, 60.0, 1, 1), ("a", 9.0, 70.0, 1, 1), ("a", 9.0, 60.0, 1, 1), ("a", 7.0, 10.0, 1, 2)]
+    for rows in (ticks, ticks[::-1]):
+        df = spark.createDataFrame(rows, "symbol string, price double, amount double, day int, at int").coalesce(1)
+        got = sorted(tuple(r) for r in evaluation.amount_bars(df, "amount", 100.0, ["day", "at"]).collect())
+        assert got == [("a", 0, 5.0, 9.0, 5.0, 9.0, 120.0, 2), ("a", 1, 9.0, 9.0, 7.0, 7.0, 80.0, 2)]

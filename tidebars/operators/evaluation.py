@@ -15,14 +15,16 @@ C = F.col
 def amount_bars(ticks: DataFrame, amount: str, threshold: float, order: list[str]) -> DataFrame:
     """ticks (symbol, price, amount and order columns) as bars of about `threshold` each: a tick belongs to the bar in which the
     amount before it falls. That is the amount of the blocks before (a block: equal first order columns; their totals are partial
-    aggregates) and a running sum inside the block, so a task sorts blocks, never all of a symbol."""
+    aggregates) and a running sum inside the block, so a task sorts blocks, never all of a symbol. Ticks that `order` doesn't tell
+    apart come by amount, then price; those equal in both can be exchanged."""
+    whole = [*order, amount, "price"]
     blocks = ticks.groupBy(C("symbol").alias("_symbol"), C(order[0]).alias("_block")).agg(F.sum(amount).alias("_total"))
     earlier = Window.partitionBy("_symbol").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("_symbol", "_block", F.coalesce(F.sum("_total").over(earlier), F.lit(0.0)).alias("_earlier"))
-    inside = F.sum(amount).over(Window.partitionBy("symbol", order[0]).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.sum(amount).over(Window.partitionBy("symbol", order[0]).orderBy(*whole).rowsBetween(Window.unboundedPreceding, -1))
     rows = ticks.withColumn("_inside", F.coalesce(inside, F.lit(0.0))).join(blocks, C("symbol").eqNullSafe(C("_symbol")) & C(order[0]).eqNullSafe(C("_block")))
     rows = rows.withColumn("bar", F.floor((C("_earlier") + C("_inside")) / threshold).cast("long"))
-    at = F.struct(*order)
+    at = F.struct(*whole)
     return rows.groupBy("symbol", "bar").agg(
         F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum(amount).alias("volume"), F.count("*").alias("ticks")
     )
