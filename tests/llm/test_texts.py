@@ -204,3 +204,14 @@ def test_full_encoding_in_small_slices(spark):
     frame = docs.toPandas().rename(columns={"text": "_text"}).fillna({"_text": ""})
     assert [len(x) for x in bpe.slices(frame)] == [5]
     assert sum(len(x) for x in bpe.slices(frame.iloc[:0])) == 0
+
+
+def test_bpe_keeps_words_in_use_when_its_cache_starts_anew(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 4)
+    model = bpe.WordBpe(bpe.default_vocabulary())
+    plain, made = model.word, []
+    model.word = lambda piece: made.append(piece) or plain(piece)
+    text = " ".join(f"the {c * 3}" for c in "abcdefghij")
+    ids = model.encode(text)
+    assert made.count("the") == 1 and len(made) == 11
+    assert ids == [i for w in text.split() for i in plain(w)] and len(model.cache) <= 4

@@ -2,7 +2,8 @@
 
 Encoding: a priority queue of merge ranks over a doubly linked list of symbols; an entry whose pair has changed since it was
 pushed is stale and skipped. Decoding: vocabulary strings one after another, set apart by one space, since the file names no
-decoder. Every document is independent, so the operator is one narrow pass: no shuffle, and a bounded cache of words per task.
+decoder. Every document is independent, so the operator is one narrow pass: no shuffle, and a bounded cache of words per task,
+which keeps what was used of late.
 
 Nulls encode as the empty text. Empty texts give no ids. Extra columns of the input never reach the operator.
 """
@@ -14,7 +15,7 @@ import heapq
 import json
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +29,8 @@ from tidebars.llm.common import by_text
 #: White space of the vocabulary's patterns (the Unicode property), which differs from Python's \s.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
-CACHE = 100_000
+#: Words held by each of the cache's two halves.
+CACHE = 300_000
 #: Characters whose tokens are held at once, and handed on together.
 CHUNK = 1 << 21
 
@@ -46,6 +48,24 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class Words(dict):
+    """Packed ids by word. When full it starts anew beside its former self, whose words come back as they are met."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.former = make, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.former.get(piece)
+        if got is None:
+            got = self.make(piece)
+        if len(piece) <= 40:
+            if len(self) >= CACHE:
+                self.former = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
+
+
 class WordBpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -62,7 +82,7 @@ class WordBpe:
         self.inner = [self.vocab.get(c) for c in letters]
         self.last = [self.vocab.get(c + self.end) for c in letters]
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.cache = Words(lambda piece: packed(self.word(piece)))
 
     def word(self, piece: str) -> list[int]:
         raw = piece.encode()
@@ -94,33 +114,26 @@ class WordBpe:
         text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower()  # each character by itself: no final sigma
 
-    def pieces(self, text: str) -> list[tuple[bytes, str]]:
-        """Packed ids and joined strings of each piece."""
+    def packed(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        text = text or ""
         out = []
-        cache = self.cache
         for part in self.split_special.split(text) if "<|" in text else (text,):
             if part in self.special:
-                out.append((struct.pack("<I", self.special[part]), part))
-                continue
-            found = PIECES.findall(self.normal(part))
-            for p in found:
-                got = cache.get(p)
-                if got is None:
-                    ids = self.word(p)
-                    got = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
-                    if len(p) <= 40:
-                        if len(cache) >= CACHE:
-                            cache.clear()
-                        cache[p] = got
-                out.append(got)
-        return [p for p in out if p[0]]
+                out.append(packed([self.special[part]]))
+            else:
+                out += map(self.cache.__getitem__, PIECES.findall(self.normal(part)))
+        return b"".join(out)
 
     def encode(self, text: str | None) -> list[int]:
-        raw = b"".join(p[0] for p in self.pieces(text or ""))
-        return list(struct.unpack(f"<{len(raw) // 4}I", raw))
+        return np.frombuffer(self.packed(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join([self.strings[i] for i in ids if i in self.strings])
+        return " ".join([s for s in map(self.strings.get, ids) if s is not None])
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(2)
@@ -146,11 +159,11 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
             for frame in slices(whole):
                 rows = []
                 for text in frame["_text"]:
-                    got = bpe.pieces(text or "")
-                    raw = b"".join([p[0] for p in got])
-                    decoded = " ".join([p[1] for p in got])
+                    raw = bpe.packed(text)
+                    ids = np.frombuffer(raw, "<u4")
+                    decoded = bpe.decode(ids.tolist())
                     row = (len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                    rows.append((*row, np.frombuffer(raw, "<u4").astype(np.int32), decoded) if full else row)
+                    rows.append((*row, ids.astype(np.int32), decoded) if full else row)
                 made = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 5 if full else 3])
                 made.index = frame.index
                 yield pd.concat([frame.drop(columns="_text"), made], axis=1)
