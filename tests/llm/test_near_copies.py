@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from tidebars.llm import near_copies as N
 
@@ -61,3 +64,35 @@ def test_rows_without_an_id_or_with_one_id_are_rows_of_their_own(spark, docs_of)
     got = corpus_pipeline.drop_near_copies(spark, docs_of(rows), "").collect()
     assert sorted((str(r.doc_id), r.text[:1]) for r in got) == [("1", "a"), ("1", "b"), ("2", ""), ("None", "c")]
     assert N.one_of_each(docs_of([])).count() == 0
+
+
+def fingerprints_apart(rng, pairs, bits):
+    """Pairs of fingerprints that differ in one bit less than would put more than the radius into every part of `bits` bits."""
+    out = []
+    for i in range(pairs):
+        a = rng.integers(0, 2**64, N.WORDS, np.uint64)
+        flip = np.zeros(N.WORDS * 64, np.uint8)
+        spare = int(rng.integers(N.PARTS))
+        for part in range(N.PARTS):
+            flip[part * 32 + rng.choice(bits, N.RADIUS[bits] + (part != spare), replace=False)] = 1
+        b = a ^ np.packbits(flip, bitorder="little").view(np.uint64)
+        out += [(2 * i, a.view(np.int64).tolist()), (2 * i + 1, b.view(np.int64).tolist())]
+    return out
+
+
+@pytest.mark.parametrize("bits", [24, 32])
+def test_tables_meet_every_pair_within_the_radius(spark, monkeypatch, bits):
+    monkeypatch.setattr(N, "FINE", 0 if bits == 32 else 1 << 20)
+    rows = fingerprints_apart(np.random.default_rng(bits), 60, bits)
+    got = N.candidates(spark.createDataFrame(rows, "node long, fp array<long>"), 1024).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r.key, set()).add(r.node)
+    assert {frozenset(g) for g in groups.values()} == {frozenset((2 * i, 2 * i + 1)) for i in range(60)}
+
+
+def test_larger_parts_keep_one_of_each_group_of_all_pairs(docs_of, monkeypatch):
+    monkeypatch.setattr(N, "FINE", 0)
+    monkeypatch.setattr(N, "GROUP", 16)
+    rows = made(random.Random(8), 120)
+    assert N.one_of_each(docs_of(rows)).count() == len(set(groups(rows)))

@@ -1,12 +1,14 @@
 """Near copies of texts: pairs whose sets of word shingles have a Jaccard similarity of at least `least`.
 
-A 64-bit SimHash can't carry a similarity of 0.8 (about 10 bits differ), so candidates come from several min-wise fingerprints:
-`BANDS` keys of `ROWS` minima each. A pair of similarity s shares a key with probability 1 - (1 - s^ROWS)^BANDS (0.9998 at 0.8).
+Candidates come from SimHash fingerprints by covering masks, as in simhash.py. Texts of similarity 0.8 differ in 15 of 100 bits of
+a SimHash, far more than masks over 64 bits can cover, so a fingerprint has 320 bits in ten parts, and each part has masks of its
+own that cover 3 differing bits of 24 (from a million nodes on 4 of 32, so that buckets stay small): a pair within 39 bits is met by
+some table for sure, others by chance (what of them is missed: README). Of a bucket those nodes go on that are close in 192 bits.
 Every candidate is verified with the exact similarity of the whole sets before it is linked.
 
-Skew: equal sets are one node before any key is made. A key with over `crowded` nodes is dealt out again by `FINE_BANDS` keys of
-`FINE_ROWS` other minima (a pair of similarity 0.8 is missed by all with probability 5e-6). Inside a key a spanning forest of the
-links is emitted, never all pairs. Only nodes that share a key send their sets, found again with a bit table of fixed size.
+Skew: equal sets are one node before any table is built. Groups that many tables find alike are verified once. Inside a group a
+spanning forest of the links is emitted, never all pairs. Only nodes of a group send their sets, found again with a bit table of
+fixed size.
 
 Nulls and texts without words have the empty set and are copies of each other. Shingles are 64-bit hashes.
 """
@@ -21,15 +23,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebars.llm import simhash
 from tidebars.llm.common import cut, parts, words_of
 from tidebars.llm.components import components
 from tidebars.llm.line_dedup import TABLE_BITS, bit_table, grouped, spark_xxhash64
 
 WIDTH, LEAST = 5, 0.8
-BANDS, ROWS = 16, 4
-FINE_BANDS, FINE_ROWS = 12, 2
 SEED = 42
-MULTIPLY, ADD = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS + FINE_BANDS * FINE_ROWS), np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
+#: A fingerprint has PARTS halves of WORDS words of 64 bits. FINE: from so many nodes on, parts of 32 bits rather than 24.
+WORDS, PARTS, FINE = 5, 10, 1 << 20
+#: Bits that may differ in a part so that a table surely finds it, by bits of the part.
+RADIUS = {24: 3, 32: 4}
+#: Words that entries of a table carry, and the bits of them that may differ in a candidate.
+SEEN, WITHIN = 3, 54
+#: Nodes of a table that are dealt to one group, about.
+GROUP = 1 << 16
+MULTIPLY, ADD = np.random.default_rng(SEED).integers(0, 2**63, (2, WORDS * 8), np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -51,15 +60,20 @@ def node_of(found: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
 
 
-def keys_of(found: np.ndarray) -> np.ndarray:
-    """The BANDS keys, then the FINE_BANDS ones."""
-    if not len(found):
-        return np.zeros(BANDS + FINE_BANDS, np.int64)
-    low = np.full(len(MULTIPLY), 2**64 - 1, np.uint64)
-    for at in range(0, len(found), 4096):  # long texts: piece by piece
-        low = np.minimum(low, (found[at : at + 4096, None] * MULTIPLY + ADD).min(axis=0))
-    cuts = [*range(0, BANDS * ROWS, ROWS), *range(BANDS * ROWS, len(low), FINE_ROWS), len(low)]
-    return np.array([xxhash.xxh3_64_intdigest(low[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)], np.uint64).view(np.int64)
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """SimHash of WORDS * 64 bits: the signs of as many sums, to which each shingle adds its hash bytes as signed numbers (plain
+    bits would set small sets further apart than their likeness)."""
+    sums = np.zeros(WORDS * 64, np.int64)
+    for at in range(0, len(found), 1024):  # long texts: piece by piece
+        h = found[at : at + 1024, None] * MULTIPLY + ADD
+        h = (h ^ h >> np.uint64(32)) * MULTIPLY[::-1]
+        sums += (h ^ h >> np.uint64(29)).view(np.int8).sum(axis=0, dtype=np.int32)
+    return np.packbits(sums > 0, bitorder="little").view(np.int64)
+
+
+def masks(bits: int) -> np.ndarray:
+    """Covering masks of a part of that many bits."""
+    return np.array(simhash.covering_masks(RADIUS[bits], SEED, bits), np.int64).astype(np.uint32)
 
 
 def forest(nodes: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
@@ -84,17 +98,83 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], least: float) -> list[tupl
     return edges
 
 
+def linked(seen: np.ndarray, crowded: int) -> list[np.ndarray]:
+    """Places of the nodes of each group that close fingerprints connect; nodes without a close one are left out. In buckets of
+    over `crowded` nodes each is held, breadth-first, against those left; in others nodes with a close one are picked out first."""
+    out, left = [], np.arange(len(seen))
+    if len(seen) <= crowded:
+        near = np.zeros((len(seen), len(seen)), np.int16)
+        for word in seen.T:
+            near += np.bitwise_count(word[:, None] ^ word)
+        left = np.flatnonzero((near <= WITHIN).sum(axis=1) > 1)
+    while len(left):
+        group, left = [left[:1]], left[1:]
+        todo = [int(group[0][0])]
+        while todo and len(left):
+            near = np.bitwise_count(seen[left] ^ seen[todo.pop()]).sum(axis=1, dtype=np.int64) <= WITHIN
+            if near.any():
+                group.append(left[near])
+                todo += left[near].tolist()
+                left = left[~near]
+        if len(group) > 1:
+            out.append(np.concatenate(group))
+    return out
+
+
+def candidates(nodes: DataFrame, crowded: int) -> DataFrame:
+    """(key, node): groups of nodes that meet under a mask of a part and have close fingerprints, each group once. nodes: (node, fp).
+    Tables travel packed: a row is the entries (node, words) of a batch that go to one group of keys of a table."""
+    spark = nodes.sparkSession
+    many = nodes.count()
+    bits = 32 if many > FINE else 24
+    cover, deals, n = masks(bits), max(1, many // GROUP), parts(spark)
+
+    def keyed(words: np.ndarray, table: int) -> np.ndarray:
+        part, mask = divmod(table, len(cover))
+        return words.view(np.uint32).reshape(len(words), -1)[:, part % 2] & cover[mask]
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if not len(f):
+                continue
+            node, fp = f["node"].to_numpy(np.int64), np.stack(f["fp"].to_numpy()).astype(np.int64)
+            for part in range(PARTS):
+                entries = np.column_stack([node, *[fp[:, (part // 2 + k) % WORDS] for k in range(SEEN)]])
+                rows = []
+                for table in range(part * len(cover), (part + 1) * len(cover)):
+                    key = keyed(np.ascontiguousarray(entries[:, 1:2]), table).astype(np.uint64)
+                    group = (key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(deals)
+                    order = np.argsort(group, kind="stable")
+                    cuts = np.flatnonzero(np.diff(group[order])) + 1
+                    rows += [(table, int(group[at[0]]), entries[at].tobytes()) for at in np.split(order, cuts)]
+                yield pd.DataFrame(rows, columns=["t", "deal", "entries"])
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in grouped(frames, ["t", "deal"]):
+            for (table, _), g in f.groupby(["t", "deal"], sort=False):
+                entries = np.frombuffer(b"".join(g["entries"]), np.int64).reshape(-1, SEEN + 1)
+                key = keyed(np.ascontiguousarray(entries[:, 1:2]), table)
+                order = np.argsort(key, kind="stable")
+                rows = []
+                for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+                    if len(at) > 1:
+                        bucket = entries[at]
+                        for places in linked(bucket[:, 1:].view(np.uint64), crowded):
+                            node = np.sort(bucket[places, 0])
+                            rows.append(pd.DataFrame({"key": node_of(node), "node": node}))
+                if rows:
+                    yield pd.concat(rows)
+
+    dealt = nodes.select("node", "fp").mapInPandas(deal, "t int, deal long, entries binary")
+    return dealt.repartition(n, "t", "deal").sortWithinPartitions("t", "deal").mapInPandas(meet, "key long, node long").distinct()
+
+
 def links(marked: DataFrame, docs: DataFrame, least: float, crowded: int) -> DataFrame:
-    """(src, dst) nodes: a graph with the components of all verified candidates. marked: (row, node, keys); docs: (row, text)."""
+    """(src, dst) nodes: a graph with the components of all verified candidates. marked: (row, node, fp); docs: (row, text)."""
     n = parts(marked.sparkSession)
-    nodes = marked.groupBy("node").agg(F.first("keys").alias("keys"), F.min("row").alias("row"))
-    first = nodes.select("node", "row", F.slice("keys", BANDS + 1, FINE_BANDS).alias("fine"), F.posexplode(F.slice("keys", 1, BANDS)).alias("band", "key"))
-    size = first.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    first = cut(first.join(size, ["band", "key"]))
-    fine = first.where(F.col("n") > crowded).select("node", "row", "band", "key", F.posexplode("fine").alias("b", "f"))
-    fine = fine.select("node", "row", "band", F.xxhash64("key", "b", "f").alias("key"))
-    dealt = first.where(F.col("n") <= crowded).select("node", "row", "band", "key").unionByName(fine)
-    rows = first.select(F.col("row").alias("node")).distinct()
+    nodes = cut(marked.groupBy("node").agg(F.first("fp").alias("fp"), F.min("row").alias("row")))
+    dealt = cut(candidates(nodes, crowded).join(nodes.select("node", "row"), "node"))
+    rows = dealt.select(F.col("row").alias("node")).distinct()
     shared = marked.sparkSession.sparkContext.broadcast(bit_table(rows).view(np.uint8))
 
     def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,17 +190,17 @@ def links(marked: DataFrame, docs: DataFrame, least: float, crowded: int) -> Dat
     sets = docs.mapInPandas(found, "row long, shingles array<long>").join(rows.withColumnRenamed("node", "row"), "row", "left_semi").dropDuplicates(["row"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in grouped(frames, ["band", "key"]):
+        for f in grouped(frames, ["key"]):
             edges = []
-            for _, g in f.groupby(["band", "key"], sort=False):
+            for _, g in f.groupby("key", sort=False):
                 if len(g) > 1:
                     edges += forest(g["node"].to_numpy(), [np.asarray(s, np.int64).view(np.uint64) for s in g["shingles"]], least)
             yield pd.DataFrame(sorted(set(edges)), columns=["src", "dst"], dtype="int64")
 
-    return dealt.join(sets, "row").select("band", "key", "node", "shingles").repartition(n, "band", "key").sortWithinPartitions("band", "key").mapInPandas(run, "src long, dst long").distinct()
+    return dealt.join(sets, "row").select("key", "node", "shingles").repartition(n, "key").sortWithinPartitions("key").mapInPandas(run, "src long, dst long").distinct()
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, crowded: int = 4096) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, crowded: int = 1024) -> DataFrame:
     """docs with one row of each component: the smallest by (id, nulls last; set; id and text by hash)."""
     row = F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
     src = docs.withColumn("_row", row).withColumn("_id", F.coalesce(F.col(id_col), F.lit(0)))
@@ -129,10 +209,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             sets = [shingles(t) for t in f["text"]]
-            yield pd.DataFrame({"row": f["row"], "node": np.array([node_of(s) for s in sets], np.int64), "keys": pd.Series([keys_of(s) for s in sets], dtype=object), "no_id": f["no_id"], "id": f["id"]})
+            yield pd.DataFrame({"row": f["row"], "node": np.array([node_of(s) for s in sets], np.int64), "fp": pd.Series([fingerprint(s) for s in sets], dtype=object), "no_id": f["no_id"], "id": f["id"]})
 
     read = src.select(F.col("_row").alias("row"), F.col(text_col).alias("text"), F.col(id_col).isNull().alias("no_id"), F.col("_id").alias("id"))
-    marked = cut(read.mapInPandas(mark, "row long, node long, keys array<long>, no_id boolean, id long"))
+    marked = cut(read.mapInPandas(mark, "row long, node long, fp array<long>, no_id boolean, id long"))
     roots = components(links(marked, texts, least, crowded))
     # copies are folded before nodes meet their roots
     best = marked.groupBy("node").agg(F.min(F.struct("no_id", "id", "node", "row")).alias("p"))

@@ -65,11 +65,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "fp")
 
 
-def covering_masks(radius: int, seed: int) -> list[int]:
-    """2^(radius+1) - 1 masks of 64 bits, as signed longs."""
+def covering_masks(radius: int, seed: int, width: int = 64) -> list[int]:
+    """2^(radius+1) - 1 masks of `width` bits, as signed longs."""
     dim = radius + 1
     # every non-zero vector equally often, dealt to the bits by the seed
-    vectors = np.resize(np.arange(1, 2**dim), 64)
+    vectors = np.resize(np.arange(1, 2**dim), width)
     np.random.default_rng(seed).shuffle(vectors)
     out = []
     for v in range(1, 2**dim):
