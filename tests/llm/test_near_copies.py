@@ -96,3 +96,28 @@ def test_larger_parts_keep_one_of_each_group_of_all_pairs(docs_of, monkeypatch):
     monkeypatch.setattr(N, "GROUP", 16)
     rows = made(random.Random(8), 120)
     assert N.one_of_each(docs_of(rows)).count() == len(set(groups(rows)))
+
+
+def test_each_node_of_a_cluster_is_sent_once_and_not_by_table(spark):
+    rng = np.random.default_rng(3)
+    middle = rng.integers(0, 2, N.WORDS * 64)
+    fps = [np.packbits(middle ^ (rng.random(N.WORDS * 64) < 0.03), bitorder="little").view(np.int64).tolist() for _ in range(200)]
+    nodes = spark.createDataFrame([(i, i, fp) for i, fp in enumerate(fps)], "node long, row long, fp array<long>")
+    assert N.candidates(nodes.select("node", "fp"), 1024).count() > 50 * 200  # what the tables have of them
+    dealt = N.dealt_in_blocks(N.clusters(nodes, 1024), 1024).collect()
+    assert sorted(r.node for r in dealt) == list(range(200)) and len({r.key for r in dealt}) == 1
+
+
+@pytest.mark.parametrize("block, large", [(8, 1 << 15), (8, 8)])
+def test_large_clusters_are_verified_in_blocks_or_by_table(docs_of, monkeypatch, block, large):
+    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "LARGE", large)
+    words = [f"w{i}" for i in range(500)]
+    rng = random.Random(9)
+    base = [rng.choice(words) for _ in range(120)]
+    rows = []
+    for i in range(60):  # a chain: each text differs from the one before by a word, so that the ends are far apart
+        base[rng.randrange(120)] = rng.choice(words)
+        rows.append((i, " ".join(base)))
+    rows += [(100 + i, t) for i, t in made(rng, 40)]
+    assert N.one_of_each(docs_of(rows)).count() == len(set(groups(rows)))

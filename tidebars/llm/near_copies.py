@@ -6,21 +6,22 @@ own that cover 3 differing bits of 24 (from a million nodes on 4 of 32, so that
 some table for sure, others by chance (what of them is missed: README). Of a bucket those nodes go on that are close in 192 bits.
 Every candidate is verified with the exact similarity of the whole sets before it is linked.
 
-Skew: equal sets are one node before any table is built. Groups that many tables find alike are verified once. Inside a group a
-spanning forest of the links is emitted, never all pairs. Only nodes of a group send their sets, found again with a bit table of
-fixed size.
+Skew: equal sets are one node before any table is built. Nodes that tables connect are a cluster, and each sends its set once, not
+once for every table that has it; a cluster of over BLOCK nodes is verified in pairs of blocks, one of over LARGE by the groups of
+its tables. Inside a group a spanning forest of the links is emitted, never all pairs. Only nodes of a cluster send their sets,
+found again with a bit table of fixed size.
 
 Nulls and texts without words have the empty set and are copies of each other. Shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.llm import simhash
@@ -38,6 +39,10 @@ RADIUS = {24: 3, 32: 4}
 SEEN, WITHIN = 3, 54
 #: Nodes of a table that are dealt to one group, about.
 GROUP = 1 << 16
+#: Nodes of a block, about, and those up to which a cluster is verified in pairs of blocks.
+BLOCK, LARGE = 1 << 10, 1 << 15
+#: Bits of a whole fingerprint that may differ in a pair that is verified (at similarity 0.8: 48, give or take 6).
+CLOSE = 90
 MULTIPLY, ADD = np.random.default_rng(SEED).integers(0, 2**63, (2, WORDS * 8), np.int64).view(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -76,8 +81,9 @@ def masks(bits: int) -> np.ndarray:
     return np.array(simhash.covering_masks(RADIUS[bits], SEED, bits), np.int64).astype(np.uint32)
 
 
-def forest(nodes: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among nodes: breadth-first, each against those left."""
+def forest(nodes: np.ndarray, sets: list[np.ndarray], fps: np.ndarray, sides: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links among nodes: breadth-first, each against those left. Sides of 0 and 1: links from
+    one side to the other only."""
     left, edges = np.arange(len(nodes)), []
     sizes = np.array([len(s) for s in sets])
     while len(left):
@@ -85,7 +91,8 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray], least: float) -> list[tupl
         while todo and len(left):
             x = todo.pop()
             # a set of another size than that can't be as similar
-            fit = left[(sizes[left] >= least * sizes[x] - 1e-9) & (sizes[x] >= least * sizes[left] - 1e-9)]
+            fit = left[((sides[left] != sides[x]) | (sides[x] < 0)) & (sizes[left] >= least * sizes[x] - 1e-9) & (sizes[x] >= least * sizes[left] - 1e-9)]
+            fit = fit[np.bitwise_count(fps[fit] ^ fps[x]).sum(axis=1, dtype=np.int64) <= CLOSE]
             if not len(fit):
                 continue
             flat = np.concatenate([sets[i] for i in fit])
@@ -121,9 +128,10 @@ def linked(seen: np.ndarray, crowded: int) -> list[np.ndarray]:
     return out
 
 
-def candidates(nodes: DataFrame, crowded: int) -> DataFrame:
-    """(key, node): groups of nodes that meet under a mask of a part and have close fingerprints, each group once. nodes: (node, fp).
-    Tables travel packed: a row is the entries (node, words) of a batch that go to one group of keys of a table."""
+def met(nodes: DataFrame, crowded: int, which: range, out: Callable[[np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """What `out` makes of the nodes of each group that meets under a mask of those parts and has close fingerprints, different
+    rows. nodes: (node, fp). Tables travel packed: a row is the entries (node, words) of a batch that go to one group of keys of
+    a table."""
     spark = nodes.sparkSession
     many = nodes.count()
     bits = 32 if many > FINE else 24
@@ -138,7 +146,7 @@ def candidates(nodes: DataFrame, crowded: int) -> DataFrame:
             if not len(f):
                 continue
             node, fp = f["node"].to_numpy(np.int64), np.stack(f["fp"].to_numpy()).astype(np.int64)
-            for part in range(PARTS):
+            for part in which:
                 entries = np.column_stack([node, *[fp[:, (part // 2 + k) % WORDS] for k in range(SEEN)]])
                 rows = []
                 for table in range(part * len(cover), (part + 1) * len(cover)):
@@ -160,21 +168,59 @@ def candidates(nodes: DataFrame, crowded: int) -> DataFrame:
                     if len(at) > 1:
                         bucket = entries[at]
                         for places in linked(bucket[:, 1:].view(np.uint64), crowded):
-                            node = np.sort(bucket[places, 0])
-                            rows.append(pd.DataFrame({"key": node_of(node), "node": node}))
+                            rows.append(out(np.unique(bucket[places, 0])))
                 if rows:
                     yield pd.concat(rows)
 
     dealt = nodes.select("node", "fp").mapInPandas(deal, "t int, deal long, entries binary")
-    return dealt.repartition(n, "t", "deal").sortWithinPartitions("t", "deal").mapInPandas(meet, "key long, node long").distinct()
+    return dealt.repartition(n, "t", "deal").sortWithinPartitions("t", "deal").mapInPandas(meet, schema).distinct()
+
+
+def candidates(nodes: DataFrame, crowded: int) -> DataFrame:
+    """(key, node): groups of nodes that meet under a mask of a part and have close fingerprints, each group once. nodes: (node, fp)."""
+    return met(nodes, crowded, range(PARTS), lambda node: pd.DataFrame({"key": node_of(node), "node": node}), "key long, node long")
+
+
+def clusters(nodes: DataFrame, crowded: int) -> DataFrame:
+    """(node, row, fp, root) of the nodes that tables connect. nodes: (node, row, fp). The tables of the first part come first; in
+    the others a node goes by its root there, so that a group that is connected already makes no row."""
+
+    def star(node: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"src": node[1:], "dst": node[0]})
+
+    first = components(met(nodes, crowded, range(1), star, "src long, dst long"))
+    known = cut(nodes.join(first, "node", "left").select("node", "row", "fp", F.coalesce("root", "node").alias("first"), F.col("root").isNotNull().alias("met")))
+    more = components(met(known.select(F.col("first").alias("node"), "fp"), crowded, range(1, PARTS), star, "src long, dst long"))
+    found = known.join(more.withColumnRenamed("node", "first"), "first", "left").where("met or root is not null")
+    return found.select("node", "row", "fp", F.coalesce("root", "first").alias("root"))
+
+
+def dealt_in_blocks(clustered: DataFrame, crowded: int) -> DataFrame:
+    """(key, node, row, fp, side): groups to verify, so that every pair of nodes that a table brings together is in one. side: 0 or 1
+    in a pair of blocks of a cluster, -1 where all nodes are held against each other."""
+    sized = cut(clustered.join(clustered.groupBy("root").agg(F.count("*").alias("n")), "root"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod("node", blocks).cast("int")
+
+    def with_other(other: Column) -> Column:
+        key = F.xxhash64("root", F.least(own, other), F.greatest(own, other))
+        return F.struct(key.alias("key"), F.when(own == other, -1).when(own < other, 0).otherwise(1).alias("side"))
+
+    groups = sized.where(F.col("n") <= LARGE).withColumn("_g", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), with_other)))
+    groups = groups.select("_g.key", "node", "row", "fp", "_g.side")
+    large = sized.where(F.col("n") > LARGE).select("node", "row", "fp")
+    if large.isEmpty():
+        return groups
+    return groups.unionByName(candidates(large, crowded).join(large, "node").withColumn("side", F.lit(-1)))
 
 
 def links(marked: DataFrame, docs: DataFrame, least: float, crowded: int) -> DataFrame:
     """(src, dst) nodes: a graph with the components of all verified candidates. marked: (row, node, fp); docs: (row, text)."""
     n = parts(marked.sparkSession)
     nodes = cut(marked.groupBy("node").agg(F.first("fp").alias("fp"), F.min("row").alias("row")))
-    dealt = cut(candidates(nodes, crowded).join(nodes.select("node", "row"), "node"))
-    rows = dealt.select(F.col("row").alias("node")).distinct()
+    clustered = cut(clusters(nodes, crowded))
+    dealt = dealt_in_blocks(clustered, crowded)
+    rows = clustered.select(F.col("row").alias("node")).distinct()
     shared = marked.sparkSession.sparkContext.broadcast(bit_table(rows).view(np.uint8))
 
     def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,10 +240,11 @@ def links(marked: DataFrame, docs: DataFrame, least: float, crowded: int) -> Dat
             edges = []
             for _, g in f.groupby("key", sort=False):
                 if len(g) > 1:
-                    edges += forest(g["node"].to_numpy(), [np.asarray(s, np.int64).view(np.uint64) for s in g["shingles"]], least)
+                    fps = np.stack(g["fp"].to_numpy()).astype(np.int64).view(np.uint64)
+                    edges += forest(g["node"].to_numpy(), [np.asarray(s, np.int64).view(np.uint64) for s in g["shingles"]], fps, g["side"].to_numpy(), least)
             yield pd.DataFrame(sorted(set(edges)), columns=["src", "dst"], dtype="int64")
 
-    return dealt.join(sets, "row").select("key", "node", "shingles").repartition(n, "key").sortWithinPartitions("key").mapInPandas(run, "src long, dst long").distinct()
+    return dealt.join(sets, "row").select("key", "node", "fp", "side", "shingles").repartition(n, "key").sortWithinPartitions("key").mapInPandas(run, "src long, dst long").distinct()
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, crowded: int = 1024) -> DataFrame:
