@@ -143,3 +143,18 @@ def test_components_raise_when_rounds_run_out(spark):
     assert {r.root for r in components(path).collect()} == {0}
     with pytest.raises(RuntimeError):
         components(path, rounds=1)
+
+
+def test_order_minhash_hashes_a_common_head_once(monkeypatch):
+    hashed, kmers = [], O.kmers
+    monkeypatch.setattr(O, "kmers", lambda points, k: hashed.append(len(points)) or kmers(points, k))
+    r = random.Random(4)
+    text = "".join(r.choice("abcdefgh ") for _ in range(12000))
+    edited = text[:9000] + text[:3000]
+    both = O.sketch_both(text, edited, O.K, O.LENGTH, O.HASHES)
+    assert sum(hashed) < 1.3 * len(text)
+    assert [x.tolist() for x in both] == [O.sketch(x).tolist() for x in (text, edited)]
+    for _ in range(200):  # short texts, also shorter than a k-mer, and heads of any length
+        x = "".join(r.choice("ab") for _ in range(r.randrange(30)))
+        y = x[: r.randrange(31)] + "".join(r.choice("ab") for _ in range(r.randrange(9)))
+        assert [z.tolist() for z in O.sketch_both(x, y, O.K, O.LENGTH, O.HASHES)] == [O.sketch(z).tolist() for z in (x, y)]

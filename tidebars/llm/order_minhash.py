@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from tidebars.llm.common import parts
 
 K, LENGTH, HASHES = 6, 2, 64
-CHUNK = 8192
+#: K-mers hashed at once: the hashes of all functions take 2 MB then.
+CHUNK = 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -83,42 +84,51 @@ def numbered(kmer: np.ndarray) -> np.ndarray:
     return out
 
 
-def smallest(values: np.ndarray, offset: int, length: int, hashes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each hash function its `length` smallest: hash values, places, k-mers. Padded with the largest value."""
+def smallest(values: np.ndarray, offset: int, length: int, hashes: int, picked: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each hash function its `length` smallest, of `picked` too: hash values, places, k-mers. Padded with the largest value."""
     top = np.iinfo(np.uint64).max
-    best = np.full((hashes, length), top, np.uint64)
-    place = np.full((hashes, length), -1, np.int64)
-    what = np.zeros((hashes, length), np.uint64)
+    best, place, what = picked or (np.full((hashes, length), top, np.uint64), np.full((hashes, length), -1, np.int64), np.zeros((hashes, length), np.uint64))
+    salts, factors = SALTS[:hashes, None], FACTORS[:hashes, None]
+    room = np.empty(hashes * min(CHUNK, len(values)), np.uint64)
     for lo in range(0, len(values), CHUNK):
         part = values[lo : lo + CHUNK]
-        h = (part[None, :] ^ SALTS[:hashes, None]) * FACTORS[:hashes, None]
+        h = room[: hashes * len(part)].reshape(hashes, -1)
+        np.bitwise_xor(part, salts, out=h)
+        np.multiply(h, factors, out=h)
         rows = np.arange(hashes)
-        for _ in range(min(length, len(part))):
+        new = np.full((hashes, length), top, np.uint64)
+        new_place = np.full((hashes, length), -1, np.int64)
+        for i in range(min(length, len(part))):
             at = h.argmin(axis=1)
-            got = h[rows, at]
-            better = got < best[:, -1]
-            if not better.any():
-                break
-            best = np.concatenate((best, np.where(better, got, top)[:, None]), axis=1)
-            place = np.concatenate((place, np.where(better, at + lo + offset, -1)[:, None]), axis=1)
-            what = np.concatenate((what, part[at][:, None]), axis=1)
-            order = np.argsort(best, axis=1, kind="stable")[:, :length]
-            best, place, what = (np.take_along_axis(x, order, 1) for x in (best, place, what))
-            h[rows, at] = top
+            each = np.arange(len(rows))
+            got = h[each, at]
+            better = got < best[rows, length - 1 - i]  # as i of this part come before it
+            if not better.all():
+                if not better.any():
+                    break
+                h, rows, at, got, each = h[better], rows[better], at[better], got[better], each[: np.count_nonzero(better)]
+            new[rows, i], new_place[rows, i] = got, at
+            h[each, at] = top
+        else:
+            i = length
+        if i == 0:
+            continue
+        new_what = np.where(new_place < 0, np.uint64(0), part[new_place])
+        new_place[new_place >= 0] += lo + offset
+        if best[:, 0].min() == top:  # nothing was picked before
+            best, place, what = new, new_place, new_what
+            continue
+        best, place, what = (np.concatenate(x, axis=1) for x in ((best, new), (place, new_place), (what, new_what)))
+        order = np.argsort(best, axis=1, kind="stable")[:, :length] + np.arange(hashes)[:, None] * best.shape[1]
+        best, place, what = (x.ravel()[order] for x in (best, place, what))
     return best, place, what
 
 
-def joined(a: tuple, b: tuple, length: int) -> tuple:
-    best, place, what = (np.concatenate(x, axis=1) for x in zip(a, b, strict=True))
-    order = np.argsort(best, axis=1, kind="stable")[:, :length]
-    return tuple(np.take_along_axis(x, order, 1) for x in (best, place, what))
-
-
 def signature(picked: tuple) -> np.ndarray:
     """32 bits per hash function: the tuple of picked k-mers in text order."""
     _, place, what = picked
-    order = np.argsort(place, axis=1, kind="stable")
-    what, place = np.take_along_axis(what, order, 1), np.take_along_axis(place, order, 1)
+    order = np.argsort(place, axis=1, kind="stable") + np.arange(len(place))[:, None] * place.shape[1]
+    what, place = what.ravel()[order], place.ravel()[order]
     out = np.zeros(len(what), np.uint64)
     for i in range(what.shape[1]):
         out = mix(out * np.uint64(31) + np.where(place[:, i] < 0, np.uint64(0), what[:, i] | np.uint64(1)))
@@ -132,15 +142,20 @@ def sketch(text: str, k: int = K, length: int = LENGTH, hashes: int = HASHES) ->
 
 def sketch_both(text: str, edited: str, k: int, length: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of a text and of one with the same head; equal to sketch() of each."""
-    a, b = (numbered(kmers(code_points(x), k)) for x in (text, edited))
+    points, others = code_points(text), code_points(edited)
+    n = min(len(points), len(others))
+    differ = np.flatnonzero(points[:n] != others[:n])
+    same = (int(differ[0]) if len(differ) else n) - k + 1  # k-mers that lie in the common head
+    a = kmers(points, k)
+    b = np.concatenate((a[:same], kmers(others[same:], k))) if 0 < same and len(others) - same >= k else kmers(others, k)
+    a, b = numbered(a), numbered(b)
     n = min(len(a), len(b))
     differ = np.flatnonzero(a[:n] != b[:n])
     head = int(differ[0]) if len(differ) else n
     shared = smallest(a[:head], 0, length, hashes)
-    out = []
-    for x in (a, b):
-        out.append(signature(joined(shared, smallest(x[head:], head, length, hashes), length)))
-    return out[0], out[1]
+    picked = [smallest(x[head:], head, length, hashes, shared) for x in (a, b)]
+    both = signature(tuple(np.concatenate(x) for x in zip(*picked, strict=True)))
+    return both[:hashes], both[hashes:]
 
 
 def likeness(a: bytes, b: bytes) -> float:
